@@ -2,7 +2,7 @@
 
 from dustledger.plans.registry import ORACLES, QUERIES
 from dustledger.plans import (  # noqa: F401
-    q_series,
+    q_economics, q_series,
 )
 
 __all__ = ["ORACLES", "QUERIES"]

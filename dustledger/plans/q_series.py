@@ -172,14 +172,14 @@ def _(t):
     return _round(out, "recovery_frac").withColumn("benefit_days", F.col("benefit_days").cast("long"))
 
 
-@query("e11_best_clean_date", ctes("weather", extra=_CAL + f""", c6 as (select cell_id, yr, clean_day, {m6('recovery_frac')} as recovery_frac from cal),
- b as (select *, row_number() over (partition by cell_id, yr order by recovery_frac desc, clean_day) as rn from c6)""")
-       + f"""select cell_id, yr, max(case when rn = 1 then clean_day end) as best_day, max(recovery_frac) as best_recovery_frac,
- min(recovery_frac) as worst_recovery_frac, {m6('avg(recovery_frac)')} as mean_recovery_frac, count(*) as n_candidates from b group by 1, 2""")
+@query("e11_best_clean_date", ctes("weather", extra=_CAL + """,
+ b as (select *, row_number() over (partition by cell_id, yr order by recovery_frac desc, clean_day) as rn from cal)""")
+       + f"""select cell_id, yr, max(case when rn = 1 then clean_day end) as best_day, {m6('max(recovery_frac)')} as best_recovery_frac,
+ {m6('min(recovery_frac)')} as worst_recovery_frac, {m6('avg(recovery_frac)')} as mean_recovery_frac, count(*) as n_candidates from b group by 1, 2""")
 def _(t):
     yearly = SO.equivalent_days(t.weather.withColumn("yr", F.year("day")), keys=("cell_id", "yr"))
-    cal = _round(SO.recovery_calendar(yearly, ("cell_id", "yr")), "recovery_frac")
-    return _round(SO.best_clean_day(cal, ("cell_id", "yr")), "mean_recovery_frac").drop("best_benefit_days")
+    best = SO.best_clean_day(SO.recovery_calendar(yearly, ("cell_id", "yr")), ("cell_id", "yr"))
+    return _round(best, "best_recovery_frac", "worst_recovery_frac", "mean_recovery_frac").drop("best_benefit_days")
 
 
 _BAND = """bl as (select *, sum(step) over (partition by cell_id, yr, seg order by day rows unbounded preceding) as load from (

@@ -89,3 +89,68 @@ def m6(expr: str) -> str:
 def r(expr: str, digits: int) -> str:
     """SQL twin of ``numeric.half_even``."""
     return f"round_even(({expr}) * 1e{digits}, 0) / 1e{digits}"
+
+
+view("arrays", ("part",), """
+select p_partkey as array_id,
+  cast(floor(p_partkey / 1000e0) as bigint) * 800 + (p_partkey * 7919) % 701 + 0e0 as minx,
+  (p_partkey * 104729) % 709 + 0e0 as miny,
+  cast(floor(p_partkey / 1000e0) as bigint) * 800 + (p_partkey * 7919) % 701 + 3 + p_size % 6 + 0e0 as maxx,
+  (p_partkey * 104729) % 709 + 3 + p_partkey % 5 + 0e0 as maxy,
+  (3 + p_size % 6) * (3 + p_partkey % 5) + 0e0 as area_m2,
+  ((p_partkey * 37) % 1000) / 1000e0 as risk_score,
+  case when p_partkey % 7 <> 0 then (10 + (p_size % 9) * 8) / 10e0 end as loss_pct_p50,
+  case when p_partkey % 7 <> 0 then (10 + (p_size % 9) * 8) / 25e0 end as loss_pct_p10,
+  case when p_partkey % 7 <> 0 then (10 + (p_size % 9) * 8) / 5e0 end as loss_pct_p90,
+  case when p_partkey % 4 = 0 then (20 + (p_partkey % 23) * 7) / 10e0 end as permit_kw,
+  case when p_partkey % 6 <> 0 then (p_partkey * 13) % 41 + 0e0 end as tilt_deg,
+  (p_partkey * 29) % 360 + 0e0 as azimuth_deg,
+  case when p_partkey % 5 <> 0 then 0.8e0 + (p_partkey % 40) / 100e0 end as poa_rel,
+  case when p_partkey % 9 <> 0 then (p_partkey % 50) / 50e0 end as canopy_frac,
+  case when p_partkey % 8 <> 0 then (p_partkey * 17) % 20 + 0e0 end as nearest_canopy_m,
+  (p_partkey * 41) % 900 + 0e0 as distance_to_agriculture_m,
+  (p_partkey * 43) % 600 + 0e0 as distance_to_highway_m
+from {part}""")
+
+view("sites", ("orders",), """
+select o_orderkey as site_id, o_custkey as owner_id,
+  0.5e0 + floor(o_totalprice / 1000e0) / 10e0 as system_kw,
+  0.5e0 + (o_orderkey % 97) / 10e0 as loss_pct,
+  4e0 + (o_custkey % 25) / 10e0 as sun_hours,
+  case when o_custkey % 3 <> 0 then cast(o_orderdate as date) + 8000 end as install_date
+from {orders}""")
+
+view("permits", ("orders",), """
+select o_orderkey as app_no, o_custkey as parcel_no,
+  substr(lpad(cast(o_custkey as string), 8, '0'), 1, 3) || '-' || substr(lpad(cast(o_custkey as string), 8, '0'), 4, 3)
+    || '-' || substr(lpad(cast(o_custkey as string), 8, '0'), 7, 2) as apn,
+  case when o_orderkey % 17 <> 0 then cast(o_orderdate as date) + 8000 end as issued,
+  case when o_orderkey % 11 <> 0 then floor(o_totalprice / 200e0) / 100e0 end as kw,
+  case when o_orderpriority = '1-URGENT' then 'ground-mount' when o_orderpriority in ('2-HIGH', '3-MEDIUM') then 'roof-mount' end as mount,
+  case when o_orderkey % 3 = 0 then 'install photovoltaic array' when o_orderkey % 3 = 1 then 'solar pool heater' else 'PV system 12 modules' end as description
+from {orders}""")
+
+view("scored", ("orders",), """
+select o_orderkey as row_id, o_custkey % 150 as station_id, cast(year(o_orderdate) as int) as yr,
+  o_custkey % 25 as county, case when o_custkey % 2 = 0 then 'A' else 'B' end as instrument,
+  floor(o_totalprice) % 1000 / 1000e0 as score,
+  case when o_orderstatus = 'F' or (o_totalprice > 300000 and o_orderkey % 3 = 0) then 1 else 0 end as label,
+  floor(o_totalprice / 100e0) / 500e0 as y,
+  floor(o_totalprice / 100e0) / 500e0 * 0.8e0 + ((o_orderkey * 17) % 100) / 50e0 as p50,
+  floor(o_totalprice / 100e0) / 500e0 * 0.8e0 + ((o_orderkey * 17) % 100) / 50e0 - 1e0 as p10,
+  floor(o_totalprice / 100e0) / 500e0 * 0.8e0 + ((o_orderkey * 17) % 100) / 50e0 + 1.25e0 as p90
+from {orders}""")
+
+
+def sql_piecewise(x: str, xs, ys) -> str:
+    """SQL twin of ``numeric.piecewise_linear``."""
+    parts = [f"when {x} <= {float(xs[0])!r}e0 then {float(ys[0])!r}e0"]
+    for i in range(1, len(xs)):
+        x0, x1, y0, y1 = (float(v) for v in (xs[i - 1], xs[i], ys[i - 1], ys[i]))
+        parts.append(f"when {x} <= {x1!r}e0 then {y0!r}e0 + ({x} - {x0!r}e0) / {x1 - x0!r}e0 * {y1 - y0!r}e0")
+    return f"case when {x} is null then null " + " ".join(parts) + f" else {float(ys[-1])}e0 end"
+
+
+def sql_draw(hex_expr: str, slot: int) -> str:
+    """SQL twin of ``numeric.uniform``."""
+    return f"((('0x' || substr({hex_expr}, {6 * slot + 1}, 6))::ubigint)::double + 0.5e0) / 16777216e0"
