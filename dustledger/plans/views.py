@@ -93,10 +93,10 @@ def r(expr: str, digits: int) -> str:
 
 view("arrays", ("part",), """
 select p_partkey as array_id,
-  cast(floor(p_partkey / 1000e0) as bigint) * 800 + (p_partkey * 7919) % 701 + 0e0 as minx,
-  (p_partkey * 104729) % 709 + 0e0 as miny,
-  cast(floor(p_partkey / 1000e0) as bigint) * 800 + (p_partkey * 7919) % 701 + 3 + p_size % 6 + 0e0 as maxx,
-  (p_partkey * 104729) % 709 + 3 + p_partkey % 5 + 0e0 as maxy,
+  cast(floor(p_partkey / 1000e0) as bigint) * 800 + ((p_partkey - p_partkey % 3) * 7919) % 701 + p_partkey % 3 * 6 + 0e0 as minx,
+  ((p_partkey - p_partkey % 3) * 104729) % 709 + p_partkey % 2 + 0e0 as miny,
+  cast(floor(p_partkey / 1000e0) as bigint) * 800 + ((p_partkey - p_partkey % 3) * 7919) % 701 + p_partkey % 3 * 6 + 3 + p_size % 6 + 0e0 as maxx,
+  ((p_partkey - p_partkey % 3) * 104729) % 709 + p_partkey % 2 + 3 + p_partkey % 5 + 0e0 as maxy,
   (3 + p_size % 6) * (3 + p_partkey % 5) + 0e0 as area_m2,
   ((p_partkey * 37) % 1000) / 1000e0 as risk_score,
   case when p_partkey % 7 <> 0 then (10 + (p_size % 9) * 8) / 10e0 end as loss_pct_p50,
@@ -141,6 +141,38 @@ select o_orderkey as row_id, o_custkey % 150 as station_id, cast(year(o_orderdat
   floor(o_totalprice / 100e0) / 500e0 * 0.8e0 + ((o_orderkey * 17) % 100) / 50e0 + 1.25e0 as p90
 from {orders}""")
 
+view("parcels", ("customer",), """
+select c_custkey as parcel_no,
+  cast(floor(c_custkey / 750e0) as bigint) * 800 + (c_custkey % 750 % 28) * 25 + 0e0 as minx,
+  cast(floor((c_custkey % 750) / 28e0) as bigint) * 25 + 0e0 as miny,
+  cast(floor(c_custkey / 750e0) as bigint) * 800 + (c_custkey % 750 % 28) * 25 + 25e0 as maxx,
+  cast(floor((c_custkey % 750) / 28e0) as bigint) * 25 + 25e0 as maxy
+from {customer} where c_custkey % 5 <> 0""")
+
+_BOXES = """select l_orderkey * 8 + l_linenumber as id, cast(floor(l_orderkey / 8e0) as bigint) as tile_id,
+    ((l_orderkey % 8) * 37 + l_linenumber * 13) % 200 + 0e0 as gx, (l_linenumber * 29 + (l_orderkey % 8) * 11) % 200 + 0e0 as gy,
+    20 + (l_orderkey % 5) * 4 + 0e0 as w, 20 + (l_linenumber % 4) * 5 + 0e0 as h, max(l_quantity) as q,
+    floor(max(l_discount) * 100 + 0.5e0) as d, floor(max(l_tax) * 100 + 0.5e0) as t, max(l_returnflag) as rf, max(l_linestatus) as ls
+  from {lineitem} group by l_orderkey, l_linenumber"""
+
+view("preds", ("lineitem",), f"""
+select id as det_id, tile_id, gx + d * 0.7e0 as minx, gy + t * 0.5e0 as miny, gx + d * 0.7e0 + w as maxx, gy + t * 0.5e0 + h as maxy,
+  q / 50e0 as score from ({_BOXES}) b where id % 9 <> 0""")
+
+view("truths", ("lineitem",), f"""
+select id as gt_id, tile_id, gx as minx, gy as miny, gx + w as maxx, gy + h as maxy, case when tile_id % 3 = 0 then 'val' else 'test' end as split
+from ({_BOXES}) b where id % 4 <> 0 and q > 8""")
+
+view("labelled", ("lineitem",), """
+select l_orderkey * 8 + l_linenumber as det_id, l_orderkey as tile_id, l_quantity / 50e0 as score,
+  case when l_returnflag = 'A' then 'tp' when l_returnflag = 'R' then 'fp' else 'fn' end as class,
+  case when l_returnflag = 'A' then 0.5e0 + l_tax * 5 end as iou,
+  case when l_returnflag <> 'N' and l_linenumber <> 6 then floor(l_extendedprice / 10e0) end as pred_area_px,
+  case when l_returnflag <> 'R' and l_linenumber <> 7 then floor(l_extendedprice / 12e0) end as gt_area_px,
+  case when l_linenumber <> 5 then l_quantity * 5 end as distance_to_image_edge_px,
+  case when l_linenumber <> 4 then l_linenumber - 1 end as num_other_panels_in_tile
+from {lineitem}""")
+
 
 def sql_piecewise(x: str, xs, ys) -> str:
     """SQL twin of ``numeric.piecewise_linear``."""
