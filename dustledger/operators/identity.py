@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from dustledger.operators.ranks import cumulative, value_table
+from dustledger.operators.ranks import rank_in_groups
 
 
 def stable_ids(df: DataFrame, id_col: str, x: str, y: str, area: str, namespace: str, step_m: float = 1.0) -> DataFrame:
@@ -19,13 +19,7 @@ def stable_ids(df: DataFrame, id_col: str, x: str, y: str, area: str, namespace:
     crowd = rows.groupBy("_base").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     single = rows.join(crowd, "_base", "left_anti").withColumn("stable_id", F.col("_base"))
     many = rows.join(crowd.select("_base"), "_base")
-    by_area = cumulative(value_table(many.withColumn("_na", -F.col(area)), ["_base"], "_na"), ["_base"]).select(
-        "_base", F.col("v").alias("_na"), F.col("n_below").alias("_a"))
-    by_id = cumulative(value_table(many.withColumn("_na", -F.col(area)), ["_base", "_na"], id_col), ["_base", "_na"]).select(
-        "_base", "_na", F.col("v").alias("_id"), F.col("n_below").alias("_b"))
-    ranked = (many.withColumns({"_na": -F.col(area).cast("double"), "_id": F.col(id_col).cast("double")})
-              .join(by_area, ["_base", "_na"]).join(by_id, ["_base", "_na", "_id"])
-              .withColumn("_r", (F.col("_a") + F.col("_b")).cast("string")))
+    ranked = rank_in_groups(many, ["_base"], area, id_col, "_rk").withColumn("_r", (F.col("_rk") - 1).cast("string"))
     suffixed = F.substring(F.sha2(F.concat_ws("|", F.col("_base"), F.col("_r")), 256), 1, 12)
     ranked = ranked.withColumn("stable_id", F.when(F.col("_r") == "0", F.col("_base")).otherwise(suffixed))
-    return single.drop("_base").unionByName(ranked.drop("_base", "_na", "_id", "_a", "_b", "_r"))
+    return single.drop("_base").unionByName(ranked.drop("_base", "_rk", "_r"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
-def covered_by_span(requests: DataFrame, spans: DataFrame, key: str, start: str, end: str, request_id: str) -> DataFrame:
+def covered_by_span(requests: DataFrame, spans: DataFrame, key: str, start: str, end: str) -> DataFrame:
     """Add covered: does some span of the same key contain [start, end]?
 
     Per (key, start day) only the furthest end matters, and the running maximum of ends over start
@@ -15,11 +15,11 @@ def covered_by_span(requests: DataFrame, spans: DataFrame, key: str, start: str,
     A key has at most one such row per calendar day, so the window is bounded by the calendar.
     """
     day = spans.groupBy(key, start).agg(F.max(end).alias("_far"))
-    marks = day.select(key, start, "_far", F.lit(0).alias("_q"), F.lit(None).cast(dict(requests.dtypes)[request_id]).alias(request_id), F.lit(None).cast("date").alias(end))
+    marks = day.select(key, start, "_far", F.lit(0).alias("_q"))
     # requests of one key and day share the answer, so they enter the window once
     ask = requests.groupBy(key, start).agg(F.lit(1).alias("_q"))
     asks = ask.select(key, start, F.lit(None).cast("date").alias("_far"), "_q")
-    both = marks.select(key, start, "_far", "_q").unionByName(asks)
+    both = marks.unionByName(asks)
     reach = F.max("_far").over(W.partitionBy(key).orderBy(start, "_q").rowsBetween(W.unboundedPreceding, 0))
     answered = both.withColumn("_reach", reach).filter("_q = 1").select(key, start, "_reach")
     return requests.join(answered, [key, start]).withColumn("covered", F.coalesce(F.col("_reach") >= F.col(end), F.lit(False))).drop("_reach")
@@ -118,7 +118,6 @@ def resolve_gamma(modules: DataFrame, catalogue: DataFrame, key: str) -> DataFra
     brand = F.lit(None).cast("string")
     for b in sorted(BRAND_PREFIX, key=len):
         brand = F.when(joined.contains(b), b).otherwise(brand)
-    by_brand = None
     tags = F.array_compact(F.array(*[F.when(F.col("key_norm").rlike(p), F.lit(b)) for b, p in BRAND_PREFIX.items()]))
     by_brand = cat.withColumn("brand", F.explode(tags)).groupBy("brand").agg(F.percentile("gamma_pdc", F.lit(0.5)).alias("g2"))
     tech = F.create_map(*[F.lit(x) for kv in TECHNOLOGY_CLASS.items() for x in kv])

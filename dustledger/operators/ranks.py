@@ -102,6 +102,24 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str = "r
                          "n", "n_total")
 
 
+def rank_in_groups(df: DataFrame, keys: Sequence[str], value: str, tie_id: str, name: str = "rank",
+                   descending: bool = True) -> DataFrame:
+    """Add the 1-based row number inside each group by value, then by a unique numeric id.
+
+    Distinct values are ranked first; rows that share a value are ranked by id among themselves.
+    Null values are not expected.
+    """
+    keys = list(keys)
+    sign = -1.0 if descending else 1.0
+    rows = df.withColumns({"_v": sign * F.col(value).cast("double"), "_i": F.col(tie_id).cast("double")})
+    by_value = cumulative(value_table(rows, keys, "_v"), keys).select(*keys, F.col("v").alias("_v"), F.col("n_below").alias("_a"), F.col("n").alias("_n"))
+    j = rows.join(by_value, [*keys, "_v"])
+    tied = j.filter("_n > 1").select(*keys, "_v", "_i")
+    inner = cumulative(value_table(tied, [*keys, "_v"], "_i"), [*keys, "_v"]).select(*keys, "_v", F.col("v").alias("_i"), F.col("n_below").alias("_b"))
+    out = j.join(inner, [*keys, "_v", "_i"], "left")
+    return out.withColumn(name, F.col("_a") + F.coalesce("_b", F.lit(0)) + 1).drop("_v", "_i", "_a", "_n", "_b")
+
+
 def row_numbers(df: DataFrame, order_value: str, tie_id: str, name: str = "rank",
                 descending: bool = True) -> DataFrame:
     """Global 1-based row number by value then by a unique numeric id, over any number of rows.

@@ -141,3 +141,36 @@ def median_interval_seconds(readings: DataFrame, keys: Sequence[str], ts: str) -
             .withColumn("gap_s", F.col(ts).cast("double")
                         - F.coalesce("_prev", "_carry").cast("double")))
     return gaps.filter("gap_s IS NOT NULL")
+
+
+def feature_matrix(entities: DataFrame, daily: DataFrame, entity_id: str, as_of: str = "as_of",
+                   windows: Sequence[int] = K.FEATURE_WINDOWS) -> DataFrame:
+    """All cell features for every (entity, as_of), each cell series computed once.
+
+    ``entities`` (id, cell_id, as_of, ...static). As-of days without a reading are added to the
+    series as empty rows, so calendar windows end exactly on them; physics series are computed on
+    the readings alone and looked up as the last value.
+    """
+    from dustledger.operators.soiling import equivalent_days, kimber_ratio
+
+    asked = entities.select(CELL, F.col(as_of).alias(DAY)).distinct().withColumn("_asked", F.lit(True))
+    base = kimber_ratio(equivalent_days(daily)).drop("seg", "s_log").withColumn("_real", F.lit(True))
+    full = base.join(asked, [CELL, DAY], "full").withColumn("day_no", day_number())
+    full = trailing_features(full, windows)
+    humid = F.coalesce(F.col("relative_humidity_2m_mean") >= K.DEW_HUMIDITY_PCT, F.lit(False))
+    dew = humid & (F.coalesce(F.col("precipitation_sum"), F.lit(0.0)) < 1.0)
+    cols = {}
+    for d in windows:
+        w = trailing(d)
+        cols[f"humid_days_{d}d"] = F.sum(F.when(F.col("_real"), humid.cast("long"))).over(w)
+        cols[f"dew_no_rain_days_{d}d"] = F.sum(F.when(F.col("_real"), dew.cast("long"))).over(w)
+        cols[f"kimber_iwsr_{d}d_mean"] = F.avg("kimber_ratio").over(w)
+    for d in (7, 30):
+        cols[f"soiling_loss_{d}d_mean"] = F.avg("soiling_loss").over(trailing(d))
+    sofar = W.partitionBy(CELL).orderBy(DAY).rowsBetween(W.unboundedPreceding, 0)
+    cols["soiling_loss_last"] = F.last("soiling_loss", ignorenulls=True).over(sofar)
+    full = rain_streaks(full.withColumns(cols)).filter("_asked")
+    drop = ["_asked", "_real", "day_no", "eq_days", "soiling_loss", "kimber_ratio", "precipitation_sum", "pm10", "pm2_5",
+            "wind_speed_10m_max", "relative_humidity_2m_mean", "temperature_2m_max"]
+    feats = full.drop(*drop).withColumnRenamed(DAY, as_of)
+    return entities.join(feats, [CELL, as_of]).withColumn("month_of_year", F.month(as_of))

@@ -125,17 +125,13 @@ def balanced_owners(tiles: DataFrame, split: str, order: str, id_col: str, owner
     """Two owners per split, each a contiguous west-to-east half; the larger half alternates over odd splits."""
     from pyspark.sql import Window as W
 
-    from dustledger.operators.ranks import cumulative, value_table
+    from dustledger.operators.ranks import rank_in_groups
 
     sizes = tiles.groupBy(split).agg(F.count(F.lit(1)).alias("_n"))
     # one row per split
     flips = F.coalesce(F.sum(F.col("_n") % 2).over(W.orderBy(split).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.withColumn("_first", flips % 2)
-    by_x = cumulative(value_table(tiles, [split], order), [split]).select(split, F.col("v").alias("_x"), F.col("n_below").alias("_a"))
-    by_id = cumulative(value_table(tiles.withColumn("_x", F.col(order).cast("double")), [split, "_x"], id_col), [split, "_x"]).select(
-        split, "_x", F.col("v").alias("_i"), F.col("n_below").alias("_b"))
-    r = (tiles.withColumns({"_x": F.col(order).cast("double"), "_i": F.col(id_col).cast("double")})
-         .join(by_x, [split, "_x"]).join(by_id, [split, "_x", "_i"]).join(sizes, split))
-    head = (F.col("_a") + F.col("_b")) < F.floor((F.col("_n") + 1) / 2)
+    r = rank_in_groups(tiles, [split], order, id_col, "_rk", descending=False).join(sizes, split)
+    head = F.col("_rk") <= F.floor((F.col("_n") + 1) / 2)
     pick = F.when(head, F.col("_first")).otherwise(1 - F.col("_first"))
-    return r.withColumn("owner", F.when(pick == 0, owners[0]).otherwise(owners[1])).drop("_x", "_i", "_a", "_b", "_n", "_first")
+    return r.withColumn("owner", F.when(pick == 0, owners[0]).otherwise(owners[1])).drop("_rk", "_n", "_first")

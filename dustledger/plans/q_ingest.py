@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dustledger import constants as K
-from dustledger.functions import geo, pv, text as TX
-from dustledger.functions.numeric import half_even, micro, piecewise_linear
+from dustledger.functions import pv, text as TX
+from dustledger.functions.numeric import half_even, micro
 from dustledger.operators import contracts as C, rollup as RU, tiles as TI
-from dustledger.plans.q_spatial import with_ring
+from dustledger.plans.q_economics import pro_cost_sql, rinse_cost_sql
 from dustledger.plans.registry import query
-from dustledger.plans.views import ctes, m6, sql_draw, sql_piecewise, view
+from dustledger.plans.views import ctes, m6, r, sql_draw, sql_piecewise, view
 from dustledger.sources import permits as PE, polygons as PO, readers as RD, stations as SN
 
 
@@ -225,7 +225,7 @@ def _(t):
     return t.sql("sites").select("site_id", pv.inverter_architecture(F.year(_D)).alias("architecture"))
 
 
-@query("b20_age_and_degradation", ctes("sites", extra=f"a as (select site_id, greatest(0e0, datediff('day', {_D}, date '2026-01-01') / 365.25e0) as age, cast(year({_D}) as double) as yr from sites)")
+@query("b20_age_and_degradation", ctes("sites", extra=f"a as (select site_id, case when {_D} is not null then greatest(0e0, datediff('day', {_D}, date '2026-01-01') / 365.25e0) end as age, cast(year({_D}) as double) as yr from sites)")
        + f"select site_id, {m6('age')} as age_years, {m6('case when age is null then 1e0 else power(0.995e0, age) end')} as production_factor, {m6(sql_piecewise('yr', K.VINTAGE_YEARS, K.VINTAGE_W_PER_M2))} as module_w_per_m2 from a")
 def _(t):
     age = pv.age_years(F.col(_D), F.to_date(F.lit("2026-01-01")))
@@ -244,7 +244,7 @@ def _(t):
                                   micro(pv.canopy_score(c, n)).alias("canopy_score"), micro(pv.persistent_score(a, c, n)).alias("persistent_score"))
 
 
-@query("b22_cost_ladder", None)
+@query("b22_cost_ladder", ctes("sites") + f"select site_id, cast(greatest(1e0, round_even(system_kw / 0.44e0, 0)) as bigint) as panels, {r(pro_cost_sql('system_kw'), 2)} as professional_usd, {r(rinse_cost_sql('system_kw'), 2)} as rinse_usd from sites")
 def _(t):
     kw = F.col("system_kw")
     return t.sql("sites").select("site_id", pv.panels(kw).cast("long").alias("panels"), half_even(pv.professional_cost(kw), 2).alias("professional_usd"), half_even(pv.rinse_cost(kw), 2).alias("rinse_usd"))
@@ -283,7 +283,8 @@ def _(t):
     return t.sql("permits").select("app_no", TX.site_key(site, "salt").alias("site_key"))
 
 
-@query("b32_feature_groups", "select cell_id, count(*) as n_days from (select l_suppkey as cell_id, cast(l_shipdate as date) as d from lineitem group by 1, 2) group by 1" if False else None)
+@query("b32_feature_groups", ctes("weather") + "select cell_id, " + ", ".join(m6(f"avg({c})") + f" as {c}" for c in (
+    "precipitation_sum", "pm10", "pm2_5", "wind_speed_10m_max", "relative_humidity_2m_mean", "temperature_2m_max")) + " from weather group by 1")
 def _(t):
     """Weather-group columns picked by name, averaged per cell."""
     w = t.weather
@@ -335,7 +336,7 @@ def _(t):
     n = t.read("supplier").agg(F.count(F.lit(1)).alias("_n"))
     q = attach_row(t.read("orders"), n).select((F.col("o_custkey") % F.col("_n")).alias("cell"), "o_orderkey", F.to_date("o_orderdate").alias("s"))
     q = q.withColumn("e", F.date_add("s", 700))
-    return covered_by_span(q, f, "cell", "s", "e", "o_orderkey").select("o_orderkey", "covered")
+    return covered_by_span(q, f, "cell", "s", "e").select("o_orderkey", "covered")
 
 
 @query("c15_feedback_labels", f"""with e as (select user_id as array_id, value, event_id from events where event_type = 'purchase')
@@ -444,8 +445,9 @@ def _(t):
     return RU.censoring_by_span(t.read("customer").select((k % 4 == 0).alias("censored"), F.when(k % 9 != 0, k % 90).alias("months")))
 
 
-@query("d19_sawtooth_closure", f"""with s as (select l_suppkey as st, avg(abs(round_even(l_discount * 100, 0) - 3)) / 1000e0 as rate, 0.9e0 + l_suppkey % 10 / 100e0 as iwsr from lineitem where l_linenumber = 1 and l_orderkey % 40 = 0 group by l_suppkey)
-select st, {m6('rate * 100e0')} as rate_pct_per_day, {m6('(1e0 - iwsr) * 100e0')} as loss_pct, {m6('2e0 * (1e0 - iwsr) / rate')} as implied_days from s where rate > 0""" if False else None)
+@query("d19_sawtooth_closure", f"""with m as (select l_suppkey as st, month(l_shipdate) as m, avg(round_even(l_discount * 100, 0)) / 1000e0 - 0.004e0 as rate from lineitem group by 1, 2),
+ s as (select st, avg(abs(rate)) as rate, 0.9e0 + st % 10 / 100e0 as iwsr from m group by 1)
+select st, {m6('rate * 100e0')} as rate_pct_per_day, {m6('(1e0 - iwsr) * 100e0')} as loss_pct, {m6('2e0 * (1e0 - iwsr) / rate')} as implied_days from s where rate > 0""")
 def _(t):
     """Twelve monthly rates per station, taken as the months' summed discounts."""
     m = t.read("lineitem").groupBy(F.col("l_suppkey").alias("st"), F.month("l_shipdate").alias("m")).agg((F.avg(F.rint(F.col("l_discount") * 100)) / 1000.0 - 0.004).alias("rate"))

@@ -39,3 +39,8 @@ def durable(df: DataFrame) -> DataFrame:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="dustledger-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def work_folder(spark: SparkSession) -> str:
+    """Folder for written intermediate tables: the cluster's checkpoint folder, else a new local one."""
+    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="dustledger-work-")
