@@ -37,6 +37,8 @@ def trimmed_planes(points: DataFrame, key: str, rounds: int = 3, sigma: float =
     ``points`` (key, x, y, z) in true metres. A round refits, then keeps the points within
     ``sigma`` population deviations, unless too few would remain or nothing changes.
     """
+    from dustledger.session import durable
+
     p = points.select(key, "x", "y", "z").withColumns({"keep": F.lit(True), "live": F.lit(True)})
     total = points.groupBy(key).agg(F.count(F.lit(1)).alias("n_points"))
     fit = None
@@ -46,7 +48,8 @@ def trimmed_planes(points: DataFrame, key: str, rounds: int = 3, sigma: float =
         resid = F.col("z") - (F.col("a") * F.col("x") + F.col("b") * F.col("y") + F.col("c"))
         p = p.withColumn("resid", resid)
         new = F.coalesce((F.abs("resid") <= sigma * F.col("s")) & (F.col("s") > 0), F.lit(False))
-        p = p.withColumn("new", new)
+        # the points feed both the counts and the next fit: cut the lineage once per round
+        p = durable(p.withColumn("new", new))
         n = p.groupBy(key).agg(F.sum(F.col("new").cast("int")).alias("n_new"),
                                F.sum((F.col("new") != F.col("keep")).cast("int")).alias("n_diff"), F.max("s").alias("_s"))
         go = n.select(key, ((F.col("n_new") >= MIN_POINTS) & (F.col("n_diff") > 0) & (F.col("_s") > 0)).alias("go"))

@@ -138,8 +138,8 @@ def median_interval_seconds(readings: DataFrame, keys: Sequence[str], ts: str) -
             .withColumn("_carry", F.lag("_last").over(W.partitionBy(*keys).orderBy("_m")))
             .select(*keys, "_m", "_carry"))
     gaps = (rows.withColumn("_prev", F.lag(ts).over(part)).join(last, [*keys, "_m"])
-            .withColumn("gap_s", F.col(ts).cast("double")
-                        - F.coalesce("_prev", "_carry").cast("double")))
+            .withColumn("gap_s", (F.unix_micros(F.col(ts).cast("timestamp"))
+                                  - F.unix_micros(F.coalesce("_prev", "_carry").cast("timestamp"))) / 1e6))
     return gaps.filter("gap_s IS NOT NULL")
 
 

@@ -68,15 +68,12 @@ def lookup_orientation(arrays: DataFrame, grid: DataFrame, tilt: str, azimuth: s
     wt, wa = t / tilt_step - F.col("_ti"), a / az_step - F.col("_ai")
     node = lambda i, j: F.try_element_at("_grid", (F.col("_ti") + i) * (na + 1) + F.col("_ai") + j)
     value = (node(0, 0) * (1 - wt) * (1 - wa) + node(1, 0) * wt * (1 - wa) + node(0, 1) * (1 - wt) * wa + node(1, 1) * wt * wa)
-    return d.withColumn("poa_rel", value).drop("_grid", "_ti", "_ai")
+    known = F.col(tilt).isNotNull() & F.col(azimuth).isNotNull()
+    return d.withColumn("poa_rel", F.when(known, value)).drop("_grid", "_ti", "_ai")
 
 
 def daily_weight(days: DataFrame, day: str, lat: float, lon: float, tilt: float = 20.0) -> DataFrame:
-    """Add clear-sky production weight of each day (sum over its hours, folded in the row)."""
-    doy = F.dayofyear(day)
-    hours = [clearsky_poa(doy, F.lit(h), lat, lon, tilt, 180.0) for h in range(24)]
-    total = hours[0]
-    for h in hours[1:]:
-        total = total + h
-    distinct = days.select(day).distinct().withColumn("clearsky_weight", total)
-    return days.join(distinct, day)
+    """Add clear-sky production weight of each day (sum over its hours), computed once per distinct day."""
+    d = days.select(day).distinct().withColumn("_h", F.explode(F.sequence(F.lit(0), F.lit(23))))
+    w = d.groupBy(day).agg(F.sum(clearsky_poa(F.dayofyear(day), F.col("_h"), lat, lon, tilt, 180.0)).alias("clearsky_weight"))
+    return days.join(w, day)

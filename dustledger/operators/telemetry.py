@@ -113,18 +113,22 @@ def soiling_intervals(index: DataFrame, key: str, window: int = 13, min_days: in
         F.sum("insolation").alias("w"), F.sum(F.col("insolation") * F.col("dn")).alias("wt"))
     out_schema = f"{key} {dict(index.dtypes)[key]}, run long, {FIT_SCHEMA}"
 
+    names = [c.split()[0] for c in out_schema.split(", ")]
+
     def fit(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        # one run of one system: bounded by the calendar
-        pdf = pdf.sort_values("dn")
-        t, y = pdf["dn"].to_numpy(float), pdf["pin"].to_numpy(float)
-        if len(t) < 3:
-            return pd.DataFrame([[keys[0], keys[1], len(t), None, None, None, None, None]], columns=[c.split()[0] for c in out_schema.split(", ")])
-        s, lo, hi = _theil_sen(t, y)
-        level = float(np.median(y - s * (t - t[0])))
-        return pd.DataFrame([[keys[0], keys[1], len(t), s, lo, hi, level, level + s * (t[-1] - t[0])]],
-                            columns=[c.split()[0] for c in out_schema.split(", ")])
-
-    fits = d.filter("pin IS NOT NULL").select(key, "run", "dn", "pin").groupBy(key, "run").applyInPandas(fit, out_schema)
+        # the days of one system: bounded by the calendar
+        rows = []
+        for run, g in pdf.sort_values("dn").groupby("run"):
+            t, y = g["dn"].to_numpy(float), g["pin"].to_numpy(float)
+            if len(t) < 3:
+                rows.append([keys[0], run, len(t), None, None, None, None, None])
+                continue
+            s, lo, hi = _theil_sen(t, y)
+            level = float(np.median(y - s * (t - t[0])))
+            rows.append([keys[0], run, len(t), s, lo, hi, level, level + s * (t[-1] - t[0])])
+        return pd.DataFrame(rows, columns=names)
+
+    fits = d.filter("pin IS NOT NULL").select(key, "run", "dn", "pin").groupBy(key).applyInPandas(fit, out_schema)
     j = fits.join(sums, [key, "run"])
     err = F.abs((F.col("slope_hi") - F.col("slope_lo")) / F.nullif(F.col("slope"), F.lit(0.0)))
     prev_stop = F.lag("stop").over(W.partitionBy(key).orderBy("run"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from dustledger import constants as K
 from dustledger.functions import pv
-from dustledger.functions.numeric import micro
+from dustledger.functions.numeric import half_even, micro
 from dustledger.operators import lidar as LI, series as S, soiling as SO, solar_tables as SOL, telemetry as TE
 from dustledger.operators.ranks import attach_row, exact_quantiles
 from dustledger.plans.q_series import KIMBER, eq_sql
@@ -38,13 +38,14 @@ _ENT = "ent as (select o_orderkey as id, o_custkey % (select count(*) from suppl
  n as (select *, count(precipitation_sum) over (partition by cell_id order by day rows unbounded preceding) as n from weather),
  s as (select u.cell_id, u.as_of, count(n.precipitation_sum) - coalesce(max(case when n.precipitation_sum >= 1 then n.n end), 0) as dry_day_streak from u left join n on n.cell_id = u.cell_id and n.day <= u.as_of group by 1, 2)""")
        + f"""select e.id, e.cell_id, e.as_of, {m6('precip_30d_mm')} as precip_30d_mm, {m6('pm10_30d_mean')} as pm10_30d_mean, case when real_days > 0 then humid_days_30d end as humid_days_30d,
- {m6('kimber_iwsr_30d_mean')} as kimber_iwsr_30d_mean, {m6('soiling_loss_last')} as soiling_loss_last, dry_day_streak, cast(month(e.as_of) as int) as month_of_year
+ round_even(kimber_iwsr_30d_mean * 1e9, 0) / 1e9 as kimber_iwsr_30d_mean, {m6('soiling_loss_last')} as soiling_loss_last, dry_day_streak, cast(month(e.as_of) as int) as month_of_year
 from ent e left join w30 using (cell_id, as_of) left join k30 using (cell_id, as_of) left join l using (cell_id, as_of) left join s using (cell_id, as_of)""")
 def _(t):
     n = t.read("supplier").agg(F.count(F.lit(1)).alias("_n"))
     e = attach_row(t.read("orders"), n).select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % F.col("_n")).alias("cell_id"), F.to_date("o_orderdate").alias("as_of"))
     m = S.feature_matrix(e, t.weather, "id")
-    out = _round(m, "precip_30d_mm", "pm10_30d_mean", "kimber_iwsr_30d_mean", "soiling_loss_last")
+    out = _round(m, "precip_30d_mm", "pm10_30d_mean", "soiling_loss_last").withColumn(
+        "kimber_iwsr_30d_mean", half_even(F.col("kimber_iwsr_30d_mean"), 9))
     return out.select("id", "cell_id", "as_of", "precip_30d_mm", "pm10_30d_mean", "humid_days_30d", "kimber_iwsr_30d_mean", "soiling_loss_last", "dry_day_streak", "month_of_year")
 
 
@@ -72,16 +73,16 @@ def _(t):
     return _round(SOL.production_shares(p, "k", "lat", "lon", "tilt", "az"), "summer_peak", "summer_offpeak", "winter_peak", "winter_offpeak", "retail_usd_per_kwh")
 
 
-@query("e12_orientation_lookup", ctes("arrays", extra=f"""g as (select ti, ai, sum({poa_sql('doy', 'hour', '36.97e0', '-122.03e0', 'ti * 5e0', 'ai * 15e0')}) as poa from range(0, 13) a(ti), range(0, 25) b(ai), range(1, 366) d(doy), range(0, 24) h(hour) group by 1, 2),
+@query("e12_orientation_lookup", ctes("arrays", extra=f"""g as (select ti, ai, sum({poa_sql('doy', 'hour', '36.97e0', '-122.03e0', 'ti * 10e0', 'ai * 30e0')}) as poa from range(0, 7) a(ti), range(0, 13) b(ai), range(1, 366) d(doy), range(0, 24) h(hour) group by 1, 2),
  rf as (select sum({poa_sql('doy', 'hour', '36.97e0', '-122.03e0', '20e0', '180e0')}) as r from range(1, 366) d(doy), range(0, 24) h(hour)),
  gr as (select ti, ai, poa / r as v from g, rf),
- q as (select array_id, tilt_deg as tt, azimuth_deg as aa, greatest(0, least(11, cast(ceil(tilt_deg / 5e0) as int) - 1)) as i, greatest(0, least(23, cast(ceil(azimuth_deg / 15e0) as int) - 1)) as j from arrays)""")
-       + f"""select q.array_id, {m6('a.v * (1 - (tt / 5e0 - i)) * (1 - (aa / 15e0 - j)) + b.v * (tt / 5e0 - i) * (1 - (aa / 15e0 - j)) + c.v * (1 - (tt / 5e0 - i)) * (aa / 15e0 - j) + d.v * (tt / 5e0 - i) * (aa / 15e0 - j)')} as poa_rel
+ q as (select array_id, tilt_deg as tt, azimuth_deg as aa, case when tilt_deg is not null then 1 end as known, greatest(0, least(5, cast(ceil(tilt_deg / 10e0) as int) - 1)) as i, greatest(0, least(11, cast(ceil(azimuth_deg / 30e0) as int) - 1)) as j from arrays)""")
+       + f"""select q.array_id, {m6('a.v * (1 - (tt / 10e0 - i)) * (1 - (aa / 30e0 - j)) + b.v * (tt / 10e0 - i) * (1 - (aa / 30e0 - j)) + c.v * (1 - (tt / 10e0 - i)) * (aa / 30e0 - j) + d.v * (tt / 10e0 - i) * (aa / 30e0 - j)')} as poa_rel
 from q left join gr a on a.ti = i and a.ai = j left join gr b on b.ti = i + 1 and b.ai = j left join gr c on c.ti = i and c.ai = j + 1 left join gr d on d.ti = i + 1 and d.ai = j + 1""")
 def _(t):
-    grid = SOL.orientation_grid(t.spark, K.SITE_LAT, K.SITE_LON, 5.0, 15.0)
+    grid = SOL.orientation_grid(t.spark, K.SITE_LAT, K.SITE_LON, 10.0, 30.0)
     a = t.sql("arrays").select("array_id", "tilt_deg", "azimuth_deg")
-    return _round(SOL.lookup_orientation(a, grid, "tilt_deg", "azimuth_deg", 5.0, 15.0), "poa_rel").select("array_id", "poa_rel")
+    return _round(SOL.lookup_orientation(a, grid, "tilt_deg", "azimuth_deg", 10.0, 30.0), "poa_rel").select("array_id", "poa_rel")
 
 
 @query("b26_clearsky_irradiance", f"select o_orderkey, {m6(poa_sql('dayofyear(o_orderdate)', '(o_orderkey % 24)', '(30e0 + o_custkey % 15)', '(-122e0 + o_custkey % 7)', '(o_orderkey % 45)', '(o_custkey % 360)'))} as poa from orders")
@@ -183,7 +184,7 @@ def soiled_index(t):
 @query("e21_soiling_ratio", None)
 def _(t):
     iv = TE.soiling_intervals(soiled_index(t), "system_id")
-    out = TE.soiling_ratio(iv, "system_id", reps=50)
+    out = TE.soiling_ratio(iv, "system_id", reps=20)
     return _round(out, "soiling_ratio", "ci_lo", "ci_hi", "loss_pct")
 
 
@@ -225,10 +226,11 @@ def _(t):
     return TE.fahrenheit_to_celsius(v, "src", "v").groupBy("src", "unit_note").agg(F.count(F.lit(1)).alias("n"), micro(F.sum("celsius")).alias("total_c"))
 
 
-@query("e27_median_interval", f"with g as (select user_id, epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) over (partition by user_id order by ts) as gap from events) select user_id, count(gap) as n, {m6('quantile_cont(gap, 0.5)')} as median_gap_s from g where gap is not null group by 1")
+@query("e27_median_interval", f"with g as (select user_id, (epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts)) / 1e6 as gap from events) select user_id, count(gap) as n, round_even(quantile_cont(gap, 0.5) * 1e7, 0) / 1e7 as median_gap_s from g where gap is not null group by 1")
 def _(t):
     g = S.median_interval_seconds(t.read("events"), ["user_id"], "ts")
-    return _round(exact_quantiles(g, ["user_id"], "gap_s", {"median_gap_s": 0.5}), "median_gap_s")
+    q = exact_quantiles(g, ["user_id"], "gap_s", {"median_gap_s": 0.5})
+    return q.withColumn("median_gap_s", half_even(F.col("median_gap_s"), 7))
 
 
 @query("e28_coverage_by_year", ctes("indexed") + f"select system_id, cast(year(day) as int) as year, count(pi) as n, {m6('quantile_cont(pi, 0.95)')} as p95, {m6('max(pi)')} as max_value from indexed group by 1, 2 having count(pi) >= 60")
@@ -332,7 +334,7 @@ def _(t):
     schema = t.read("events").schema
     ev = t.spark.readStream.schema(schema).parquet(f"{t.sf_dir}/event*.parquet").filter("event_type = 'purchase'")
     fb = ev.select(F.col("user_id").alias("array_id"), F.lit("p").alias("partner_id"), F.to_date("ts").alias("cleaned_at"), (1.0 + F.col("event_id") % 90).alias("pre_clean_kwh_7d"),
-                   F.col("value").alias("post_clean_kwh_7d"), F.col("ts").alias("submitted_at"))
+                   F.col("value").alias("post_clean_kwh_7d"), F.col("ts").cast("timestamp").alias("submitted_at"))
     out = _run_stream(t.spark, feedback_stream(fb, "40 days"), "feedback")
     return out.groupBy("array_id").agg(F.count(F.lit(1)).alias("n_kept"))
 
@@ -343,5 +345,5 @@ def _(t):
     from dustledger.streaming.jobs import telemetry_means
 
     ev = t.spark.readStream.schema(t.read("events").schema).parquet(f"{t.sf_dir}/event*.parquet")
-    r = ev.select(F.col("user_id").alias("system_id"), "ts", F.col("event_type").alias("channel"), "value")
+    r = ev.select(F.col("user_id").alias("system_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("channel"), "value")
     return _round(_run_stream(t.spark, telemetry_means(r), "means"), "mean_value")
