@@ -9,7 +9,7 @@ from dustledger.functions.numeric import clip, half_even, piecewise_linear
 
 # Fixed value: production-weighted retail rate, the result of operators.solar_tables
 # .production_shares at the default site dotted with TOU_USD_PER_KWH (pinned by a test).
-RETAIL_USD_PER_KWH = 0.4572813
+RETAIL_USD_PER_KWH = 0.4573372516409828
 
 
 # ---- age, vintage, architecture -----------------------------------------------------------------

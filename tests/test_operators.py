@@ -86,7 +86,8 @@ def test_concave_ring(spark):
 def test_projections(spark):
     x, y = geo.to_utm10n(F.lit(-123.0), F.lit(37.0))
     assert one(spark, x) == pytest.approx(500000.0, abs=1e-6)
-    assert one(spark, y) == pytest.approx(4094989.7, abs=2.0)
+    # meridian arc 111132.954 * 37 - 16038.5 sin 74 + 16.8 sin 148, times 0.9996
+    assert one(spark, y) == pytest.approx(4094872.4, abs=1.0)
     ax, ay = geo.to_albers_california(F.lit(-120.0), F.lit(38.0))
     assert one(spark, ax) == pytest.approx(0.0, abs=1e-6)
     assert -4000000 < one(spark, ay) < 500000
@@ -151,7 +152,7 @@ def test_monte_carlo_is_the_same_on_any_partitioning(spark):
 def test_known_planes(spark, tilt, azimuth):
     rnd = random.Random(tilt)
     g = np.tan(np.radians(tilt))
-    a, b = -g * np.sin(np.radians(azimuth)), -g * np.cos(np.radians(azimuth))
+    a, b = float(-g * np.sin(np.radians(azimuth))), float(-g * np.cos(np.radians(azimuth)))
     pts = [(1, x, y, a * x + b * y + rnd.gauss(0, 0.01) + (3.0 if i % 15 == 0 else 0.0), 6, 1) for i in range(120) for x, y in [(rnd.uniform(0, 8), rnd.uniform(0, 6))]]
     row = LI.roof_planes(spark.createDataFrame(pts, "id long, x double, y double, z double, cls int, ret int"), "id").first()
     assert row.fit_ok and row.tilt_deg == pytest.approx(tilt, abs=0.3)
