@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from dustledger import constants as K
 from dustledger.functions import pv
 from dustledger.functions.numeric import cents, draw_key, gauss_pair, half_even, uniform
+from dustledger.session import spread
 
 ACTIONS = ("no_clean", "rinse_service", "professional")
 COSTS: dict[str, Callable[[Column], Column]] = {
@@ -67,7 +68,7 @@ def net_draws(df: DataFrame, key: str, n_samples: int, seed: int) -> DataFrame:
     Needs system_kw, loss_p10, loss_p50, loss_p90, sun_hours, rate_lo, rate_hi, rec_rinse, rec_pro.
     Draws are functions of (site, draw, seed): the same on any partitioning or retry.
     """
-    d = df.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n_samples))))
+    d = spread(df, key).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n_samples))))
     d = d.withColumn("_k", draw_key(F.col(key), F.col("draw"), seed))
     d = d.withColumns({f"_u{i}": uniform(F.col("_k"), i) for i in range(5)})
     z1, z2 = gauss_pair(F.col("_u1"), F.col("_u2"))
@@ -97,9 +98,9 @@ def nearest_rank(n: int, q: float) -> int:
 def monte_carlo(df: DataFrame, key: str, n_samples: int = 2000, seed: int = 42) -> DataFrame:
     """Spread of the net per site, for the point action or else the best paid strategy.
 
-    ``df`` has one row per site (needs the columns of ``net_draws`` and recommended_action). All
-    draws of a site come from its one input row, so they meet in that task's partial aggregate and
-    the arrays (n_samples long) are what is shuffled.
+    ``df`` has one row per site (needs the columns of ``net_draws`` and recommended_action). Sites
+    are hash-partitioned before they are multiplied, so the aggregation runs in place and neither
+    the draws nor the arrays of n_samples values are shuffled.
     """
     d = net_draws(df, key, n_samples, seed)
     pos = F.greatest(F.lit(0.0), F.col("net_rinse"), F.col("net_pro")) > 0

@@ -6,13 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dustledger import constants as K
 from dustledger.functions.solar import clearsky_poa
-
-
-def year_hours(spark: SparkSession) -> DataFrame:
-    """8,760 rows (doy, hour, month) of a 365-day year."""
-    h = spark.range(8760)
-    d = h.select((F.floor(F.col("id") / 24) + 1).cast("int").alias("doy"), (F.col("id") % 24).cast("int").alias("hour"))
-    return d.withColumn("month", F.month(F.date_add(F.to_date(F.lit("2023-01-01")), F.col("doy") - 1)))
+from dustledger.session import spread
 
 
 def production_shares(places: DataFrame, key: str, lat: str, lon: str, tilt: str, azimuth: str) -> DataFrame:
@@ -20,7 +14,7 @@ def production_shares(places: DataFrame, key: str, lat: str, lon: str, tilt: str
 
     Hours are exploded from literals inside each row's task and summed there.
     """
-    d = places.withColumn("doy", F.explode(F.sequence(F.lit(1), F.lit(365)))).withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23))))
+    d = spread(places, key).withColumn("doy", F.explode(F.sequence(F.lit(1), F.lit(365)))).withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23))))
     d = d.withColumn("month", F.month(F.date_add(F.to_date(F.lit("2023-01-01")), F.col("doy") - 1)))
     d = d.withColumn("poa", clearsky_poa(F.col("doy"), F.col("hour"), F.col(lat), F.col(lon), F.col(tilt), F.col(azimuth)))
     summer, peak = F.col("month").isin(*K.SUMMER_MONTHS), F.col("hour").isin(*K.PEAK_HOURS)
@@ -40,7 +34,7 @@ def orientation_grid(spark: SparkSession, lat: float, lon: float, tilt_step: flo
     all_nodes = nodes.unionByName(ref)
     tilt = F.when(F.col("ti") < 0, F.lit(20.0)).otherwise(F.col("ti") * tilt_step)
     azimuth = F.when(F.col("ai") < 0, F.lit(180.0)).otherwise(F.col("ai") * az_step)
-    d = (all_nodes.withColumns({"tilt": tilt, "az": azimuth}).repartition("ti", "ai")
+    d = (spread(all_nodes.withColumns({"tilt": tilt, "az": azimuth}), "ti", "ai")
          .withColumn("doy", F.explode(F.sequence(F.lit(1), F.lit(365)))).withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23)))))
     s = d.groupBy("ti", "ai").agg(F.sum(clearsky_poa(F.col("doy"), F.col("hour"), lat, lon, F.col("tilt"), F.col("az"))).alias("poa"))
     from dustledger.operators.ranks import attach_row

@@ -12,7 +12,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dustledger.functions.numeric import draw_key, safe_div, uniform
-from dustledger.operators.ranks import attach_row, average_ranks, cumulative, exact_quantiles, value_table
+from dustledger.operators.ranks import attach_row, cumulative, exact_quantiles, value_table
+from dustledger.session import spread
 
 
 # ---- discrimination -------------------------------------------------------------------------------
@@ -146,11 +147,10 @@ def cluster_bootstrap(clusters: DataFrame, id_col: str, sums: Sequence[str], met
     metrics of one draw share the same picks (paired comparisons). Draws whose metric is null are
     dropped.
     """
-    spark = clusters.sparkSession
     size = clusters.agg(F.count(F.lit(1)).alias("_g"))
     indexed = clusters.withColumn("_id", F.col(id_col).cast("double")).join(dense_index(clusters, id_col), "_id")
     slots = indexed.select(F.col("idx").alias("slot"))
-    picks = attach_row(slots, size).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    picks = spread(attach_row(slots, size), "slot").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     pick = F.floor(uniform(draw_key(F.col("b"), F.col("slot"), seed)) * F.col("_g"))
     counted = picks.select("b", pick.alias("idx")).groupBy("b", "idx").agg(F.count(F.lit(1)).alias("_w"))
     joined = counted.join(indexed.select("idx", *sums), "idx")

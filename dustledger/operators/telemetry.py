@@ -16,6 +16,7 @@ from dustledger.functions import solar
 from dustledger.functions.numeric import draw_key, gauss_pair, uniform
 from dustledger.operators.ranks import exact_quantiles
 from dustledger.operators.series import day_number, densify
+from dustledger.session import spread
 
 # Open-rack cell temperature model, ground reflectance, plane temperature coefficient.
 CELL_A, CELL_B, CELL_DT = -2.98, -0.0471, 1.0
@@ -147,7 +148,7 @@ def soiling_ratio(intervals: DataFrame, key: str, method: str = "half_norm_clean
     run = F.struct("run", "slope", ((F.col("slope_hi") - F.col("slope_lo")) / 2.0).alias("se"), "w",
                    (F.col("wt") - F.col("d0") * F.col("w")).alias("wt"), (F.col("d1") - F.col("d0")).alias("len"), "recovery")
     per = valid.groupBy(key).agg(F.array_sort(F.collect_list(run)).alias("runs"))
-    draws = per.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    draws = spread(per, key).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
 
     def step(acc: Column, r: Column) -> Column:
         k = draw_key(F.col(key), F.col("rep"), r["run"], seed)

@@ -44,3 +44,13 @@ def durable(df: DataFrame) -> DataFrame:
 def work_folder(spark: SparkSession) -> str:
     """Folder for written intermediate tables: the cluster's checkpoint folder, else a new local one."""
     return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="dustledger-work-")
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by ``keys`` over all shuffle partitions before rows are multiplied in place.
+
+    The count is explicit, so a small input with much work per row is not merged into few tasks, and
+    a later aggregation by the same keys needs no further exchange.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
