@@ -123,6 +123,7 @@ def persistent_screen(planes: DataFrame, canopy: DataFrame, key: str, fraction:
     from dustledger import constants as K
     from dustledger.functions import pv
     from dustledger.operators.ranks import flag_top_fraction
+    from dustledger.session import durable
 
     j = planes.filter("fit_ok").join(canopy, key)
     tilt, frac, near = F.col("tilt_deg"), F.col("canopy_frac"), F.col("nearest_canopy_m")
@@ -131,5 +132,6 @@ def persistent_screen(planes: DataFrame, canopy: DataFrame, key: str, fraction:
         "persistent_soiling_score": F.rint(pv.persistent_score(tilt, frac, near) * 1e9) / 1e9,
         "tilt_weight": F.lit(K.TILT_WEIGHT), "canopy_weight": F.lit(K.CANOPY_WEIGHT),
         "canopy_radius_m": F.lit(K.CANOPY_RADIUS_M), "inspection_fraction": F.lit(fraction)})
-    return flag_top_fraction(s, "persistent_soiling_score", key, fraction).withColumnsRenamed(
+    # the ranking reads its input several times; the planes behind it are costly
+    return flag_top_fraction(durable(s), "persistent_soiling_score", key, fraction).withColumnsRenamed(
         {"rank": "persistent_soiling_rank", "top_fraction": "persistent_soiling_top_decile"})

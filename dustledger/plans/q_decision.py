@@ -11,6 +11,7 @@ from dustledger.operators import decision as DE, learn as LE, matching as MA, re
 from dustledger.operators.ranks import attach_row, flag_top_fraction
 from dustledger.plans.q_economics import MIX, NBT, NEM2, mc_sql, priced_sql
 from dustledger.plans.q_series import eq_sql
+from dustledger.plans.q_spatial import _GREEDY, _recursive
 from dustledger.plans.registry import query
 from dustledger.plans.views import ctes, m6, r, sql_draw, view
 
@@ -302,12 +303,19 @@ def _sweep(t):
     return LE.threshold_sweep(m, "split", n, [0.1, 0.3, 0.5, 0.7, 0.9])
 
 
-@query("f21_threshold_sweep", None)
+_SWEEP = _GREEDY + """, g as (select * from (values (0.1e0), (0.3e0), (0.5e0), (0.7e0), (0.9e0)) v(conf)),
+ m as (select case when p.tile_id % 3 = 0 then 'val' else 'test' end as split, p.score, s.gt_id from preds p join st s on s.det_id = p.det_id),
+ c as (select split, conf, count(gt_id) as tp, count(*) - count(gt_id) as fp from m join g on m.score >= g.conf group by 1, 2),
+ n as (select split, count(*) as n from truths group by 1), w as (select n.split, g.conf, coalesce(tp, 0) as tp, coalesce(fp, 0) as fp, n.n - coalesce(tp, 0) as fn from n join g on true left join c on c.split = n.split and c.conf = g.conf)"""
+
+
+@query("f21_threshold_sweep", _recursive(ctes("preds", "truths", extra=_SWEEP) + f"select split, conf, tp, fp, fn, {m6('case when tp + fp > 0 then tp * 1e0 / (tp + fp) else 0e0 end')} as precision, {m6('tp * 1e0 / (tp + fn)')} as recall, {m6('2e0 * tp / (2 * tp + fp + fn)')} as f1 from w"))
 def _(t):
     return _round(_sweep(t), "precision", "recall", "f1")
 
 
-@query("f21_tune_and_report", None)
+@query("f21_tune_and_report", _recursive(ctes("preds", "truths", extra=_SWEEP + """, f as (select *, 2e0 * tp / (2 * tp + fp + fn) as f1 from w), b as (select conf, f1 from f where split = 'val' order by round_even(f1 * 1e12, 0) desc, conf limit 1)""")
+       + f"select f.conf, {m6('b.f1')} as tuned_f1, {m6('tp * 1e0 / (tp + fp)')} as report_precision, {m6('tp * 1e0 / (tp + fn)')} as report_recall, {m6('f.f1')} as report_f1, {m6('(select max(f1) from f where split = ' + chr(39) + 'test' + chr(39) + ') - f.f1')} as tuning_penalty from f join b on b.conf = f.conf where split = 'test'"))
 def _(t):
     out = LE.tune_and_report(_sweep(t), "split", "val", "test")
     return _round(out, "tuned_f1", "report_precision", "report_recall", "report_f1", "tuning_penalty")

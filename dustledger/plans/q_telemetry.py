@@ -153,7 +153,17 @@ def _(t):
 
 
 # ---- telemetry ------------------------------------------------------------------------------------------------------
-@query("e19_modelled_daily_energy", None)
+_B19 = "radians(360e0 * (doy - 81) / 364e0)"
+_OM19 = f"radians(15e0 * ((hr + 0.5e0 + (4e0 * (lon + 120e0) + (9.87e0 * sin(2 * {_B19}) - 7.53e0 * cos({_B19}) - 1.5e0 * sin({_B19}))) / 60e0) - 12e0))"
+
+
+@query("e19_modelled_daily_energy", f"""with h as (select user_id as k, date_trunc('hour', ts) as t, 34e0 + user_id % 5 as lat, -121e0 + user_id % 4 as lon, radians(10e0 + user_id % 25) as be, radians(150e0 + user_id % 60 - 180e0) as ga, 2e0 + user_id % 7 as kw,
+   least(900e0, value * 4) as dni, least(200e0, value) as dhi, least(800e0, value * 3) as ghi, 8e0 + event_id % 20 as tc from events),
+ a as (select *, dayofyear(t) as doy, hour(t) as hr, radians(lat) as phi from h), b as (select *, {_OM19} as om, radians(23.45e0 * sin(radians(360e0 * (doy + 284) / 365e0))) as de from a),
+ c as (select *, sin(phi) * sin(de) + cos(phi) * cos(de) * cos(om) as cz, sin(de) * (sin(phi) * cos(be) - cos(phi) * sin(be) * cos(ga)) + cos(de) * cos(om) * (cos(phi) * cos(be) + sin(phi) * sin(be) * cos(ga)) + cos(de) * sin(om) * sin(be) * sin(ga) as ai from b),
+ d as (select *, greatest(0e0, case when cz > 0 then greatest(0e0, ai) * dni else 0e0 end + dhi * (1e0 + cos(be)) / 2e0 + ghi * 0.2e0 * (1e0 - cos(be)) / 2e0) as poa from c),
+ e as (select *, poa * exp(-2.98e0 - 0.0471e0 * 2.5e0) + tc + poa / 1000e0 as cell from d)
+select k as system_id, cast(t as date) as day, {m6('sum(greatest(0e0, kw * (poa / 1000e0) * (1e0 - 0.004e0 * (cell - 25e0))))')} as e_model_kwh, {m6('sum(poa) / 1000e0')} as insolation_kwh_m2 from e group by 1, 2""")
 def _(t):
     """Irradiance readings per user and hour drive the modelled energy of that user's system."""
     e, k = t.read("events"), F.col("user_id")
