@@ -27,23 +27,27 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: st
     return spark
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the cluster's checkpoint folder and cut its lineage.
+def work_folder(spark: SparkSession) -> str:
+    """Folder for checkpoints and written intermediate tables.
 
-    The folder comes from ``spark.checkpoint.dir`` (shared storage, so the data outlives a lost
-    executor). Only where that is unset, as in tests, a new folder is made for this session.
+    It comes from ``spark.checkpoint.dir`` (shared storage, so the data outlives a lost executor).
+    Where that is unset a new local folder is made, but only under a local master: on a cluster
+    every executor would write to its own disk.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="dustledger-checkpoint-"))
-    return df.checkpoint(eager=True)
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="dustledger-work-")
 
 
-def work_folder(spark: SparkSession) -> str:
-    """Folder for written intermediate tables: the cluster's checkpoint folder, else a new local one."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="dustledger-work-")
+def durable(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the cluster's checkpoint folder and cut its lineage."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(work_folder(spark))
+    return df.checkpoint(eager=True)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
