@@ -87,9 +87,9 @@ def mixing_plan(units: DataFrame, entropy: float | None = None, repetition: floa
     if budget is None:
         # tokens / weight is largest for the largest source, so that one is read exactly once
         scale = (most or 1) / (math.exp(math.log((most or 1) / (total or 1)) * x) / whole)
-        target = F.greatest(F.col("tokens"), F.floor(weight * F.lit(scale)))
+        target = F.greatest(F.col("tokens"), F.floor(weight * F.lit(scale) + 0.5))
     else:
-        target = F.floor(weight * F.lit(float(budget)))
+        target = F.floor(weight * F.lit(float(budget)) + 0.5)
         if count and repetition is not None and math.exp(math.log(least / total) * x) / whole * budget > repetition * least * (1 + 1e-9):
             raise ValueError("the budget needs more repetitions than allowed")
     plan = sources.select("source", "tokens", "docs", F.lit(x).alias("exponent"), weight.alias("weight"), target.cast("long").alias("budget"))

@@ -59,8 +59,10 @@ def _signed(docs: DataFrame, n: int, trees: int, depth: int) -> DataFrame:
                 yield pd.DataFrame({"doc_id": own["doc_id"], "digest": own["digest"], "weight": counts,
                                     "keys": [row if count else [] for row, count in zip(keys, counts)]})
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text", F.md5("text").alias("digest"))
-    return rows.mapInPandas(sign, "doc_id long, digest string, weight long, keys array<long>")
+    # ids pass through pandas as text: a null would turn a whole batch of longs into doubles
+    rows = docs.select(F.col("doc_id").cast("string"), "text", F.md5("text").alias("digest"))
+    signed = rows.mapInPandas(sign, "doc_id string, digest string, weight long, keys array<long>")
+    return signed.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def similar_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float, step: int = 512) -> np.ndarray:

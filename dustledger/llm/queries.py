@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from dustledger.llm import decontaminate, language, mixing, ngram_join, sharding
+from dustledger.llm import (
+    decontaminate, language, line_dedup, mixing, ngram_join, quality, secret_scan, sharding, url_reputation, vector_dedup,
+)
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -37,6 +39,59 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.document_shards(_table(spark, sf_dir, "documents"), shards=40)
 
 
+@_query("op2_winnowed_line_runs")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.drop_repeated_runs(_table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return cut.select("doc_id", "n_lines", "n_removed", "n_runs", spans.alias("spans"), F.sha2("text", 256).alias("text_sha256"))
+
+
+@_query("op3_host_reputation", r"""
+WITH split AS (
+  SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)\A.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '(?s)\A.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+rules(verdict, rhost, rpath) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+fits AS (
+  SELECT s.*, (SELECT rhost || rpath || ' ' || verdict FROM rules
+               WHERE (s.host = rhost OR ends_with(s.host, '.' || rhost)) AND starts_with(s.path, rpath) ORDER BY length(rhost || rpath) DESC LIMIT 1) AS fit FROM split s),
+outcomes AS (
+  SELECT s.host, CASE WHEN l.quality = 1 AND coalesce(l.toxic, 0) <> 1 THEN 1 ELSE 0 END AS good
+  FROM split s JOIN labels l ON TRY_CAST(nullif(regexp_extract(s.path, '/([0-9]{1,18})(?:[/.]|$)', 1), '') AS BIGINT) = l.doc_id WHERE l.quality IS NOT NULL),
+host AS (
+  SELECT host, CASE WHEN list_slice(string_split(host, '.'), -2, -1) IN (['co', 'uk'], ['com', 'au']) THEN array_to_string(list_slice(string_split(host, '.'), -3, -1), '.')
+                    ELSE array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') END AS domain,
+         string_split(host, '.')[-1] AS suffix, count(*)::DOUBLE AS n, sum(good)::DOUBLE AS good FROM outcomes GROUP BY host),
+domain AS (SELECT domain, suffix, sum(n) AS n, sum(good) AS good FROM host GROUP BY ALL),
+suffix AS (SELECT suffix, sum(n) AS n, sum(good) AS good FROM domain GROUP BY ALL),
+whole AS (SELECT (coalesce(sum(good), 0) + 0.5) / (coalesce(sum(n), 0) + 1) AS prior FROM suffix),
+s1 AS (SELECT s.*, w.prior FROM suffix s, whole w),
+m1 AS (SELECT (1 - r) / r AS m FROM (SELECT greatest(0.0001, least(0.9999, CASE WHEN sum(n - 1) > 0 THEN (round(sum(CASE WHEN prior * (1 - prior) > 0 THEN pow(good / n - prior, 2) * n / (prior * (1 - prior)) ELSE 1 END), 6) - count(*)) / sum(n - 1) ELSE 0.0001 END)) AS r FROM s1)),
+p1 AS (SELECT suffix, (m * prior + good) / (m + n) AS mean FROM s1, m1),
+s2 AS (SELECT d.*, p.mean AS prior FROM domain d JOIN p1 p USING (suffix)),
+m2 AS (SELECT (1 - r) / r AS m FROM (SELECT greatest(0.0001, least(0.9999, CASE WHEN sum(n - 1) > 0 THEN (round(sum(CASE WHEN prior * (1 - prior) > 0 THEN pow(good / n - prior, 2) * n / (prior * (1 - prior)) ELSE 1 END), 6) - count(*)) / sum(n - 1) ELSE 0.0001 END)) AS r FROM s2)),
+p2 AS (SELECT domain, (m * prior + good) / (m + n) AS mean FROM s2, m2),
+s3 AS (SELECT h.*, p.mean AS prior FROM host h JOIN p2 p USING (domain)),
+m3 AS (SELECT (1 - r) / r AS m FROM (SELECT greatest(0.0001, least(0.9999, CASE WHEN sum(n - 1) > 0 THEN (round(sum(CASE WHEN prior * (1 - prior) > 0 THEN pow(good / n - prior, 2) * n / (prior * (1 - prior)) ELSE 1 END), 6) - count(*)) / sum(n - 1) ELSE 0.0001 END)) AS r FROM s3)),
+ab AS (SELECT host, n, m * prior + good AS a, m * (1 - prior) + n - good AS b FROM s3, m3),
+p3 AS (SELECT host, n, a / (a + b) AS mean, a / (a + b) + 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS high FROM ab)
+SELECT f.page_id, f.host, f.path, split_part(f.fit, ' ', 1) AS rule, CASE WHEN f.fit IS NOT NULL THEN split_part(f.fit, ' ', 2) WHEN p.high < 0.5 THEN 'block' ELSE 'allow' END AS verdict,
+       coalesce(p.n, 0)::BIGINT AS n_outcomes, round(p.mean, 6) AS reputation, round(p.high, 6) AS bound
+FROM fits f LEFT JOIN p3 p ON f.host = p.host""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return url_reputation.page_verdicts(pages, url_reputation.labelled_outcomes(pages, _table(spark, sf_dir, "labels")))
+
+
+@_query("op4_markov_secrets")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.document_secrets(_table(spark, sf_dir, "documents"))
+
+
+@_query("op5_pivot_permutations")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 @_query("op6_temperature_mix", """
 WITH RECURSIVE units AS (
   SELECT doc_id, md5(coalesce(text, '')) AS digest, source,
@@ -64,7 +119,7 @@ exponent AS (
 raised AS (SELECT s.*, exp(ln(s.tokens / w.total) * x.x) AS r, w.total FROM sources s, whole w, exponent x),
 plan AS (
   SELECT source, tokens::BIGINT AS volume, ceil(sqrt(docs))::BIGINT AS blocks,
-         floor(r / (SELECT sum(r) FROM raised) * total)::BIGINT AS budget FROM raised),
+         floor(r / (SELECT sum(r) FROM raised) * total + 0.5)::BIGINT AS budget FROM raised),
 passes AS (SELECT *, budget // volume AS passes, budget - (budget // volume) * volume AS rest FROM plan),
 known AS (
   SELECT k.source, k.key, k.doc_id, k.tokens, p.passes, p.rest, p.volume, p.budget,
@@ -87,6 +142,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_order(_table(spark, sf_dir, "documents"), entropy=0.95, budget="corpus")
 
 
+@_query("op7_quadratic_quality")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.document_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 @_query("op8_family_then_language")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.document_languages(_table(spark, sf_dir, "documents"))
