@@ -116,18 +116,17 @@ def _sample(labelled: DataFrame, per_language: int) -> DataFrame:
     """
     hashed = labelled.withColumn("_h", F.pmod(F.xxhash64("text"), F.lit(1 << 40)))
     size = hashed.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
-    near = hashed.join(F.broadcast(size), "lang").filter(F.col("_h") * F.col("_n") <= float(4 * per_language) * (1 << 40))
+    near = hashed.join(size, "lang").filter(F.col("_h") * F.col("_n") <= float(4 * per_language) * (1 << 40))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("_h", "text"))
     return near.withColumn("_r", rank).filter(F.col("_r") <= per_language).select("text", "lang")
 
 
-def fit_language_model(labelled: DataFrame, per_language: int = 800) -> LanguageModel:
+def fit_language_model(labelled: DataFrame, per_language: int = 800, most_languages: int = 500) -> LanguageModel:
     """Fit on (text, lang) rows. Rows with a null text or lang, or without letters, teach nothing.
 
     Each machine is trained by one task on a bounded sample (``per_language`` texts of each language, up
-    to ``per_language`` of each family, as sparse n-gram vectors); the number of languages is taken to be
-    a few hundred at most, as are their codes in the label column. No labelled row gives a model that
-    answers ``und``.
+    to ``per_language`` of each family, as sparse n-gram vectors). More than ``most_languages`` different labels are an
+    error, since the model is broadcast. No labelled row gives a model that answers ``und``.
     """
     spark = labelled.sparkSession
     usable = labelled.select("text", "lang").filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
@@ -139,7 +138,9 @@ def fit_language_model(labelled: DataFrame, per_language: int = 800) -> Language
             yield pd.DataFrame({"lang": part["lang"], "slot": slots, "value": [v[s] for v, s in zip(vectors, slots)]})
 
     sample = _sample(usable, per_language).mapInPandas(sparse, "lang string, slot array<int>, value array<float>")
-    languages = sorted(r[0] for r in usable.select("lang").distinct().collect())
+    languages = sorted(r[0] for r in usable.select("lang").distinct().limit(most_languages + 1).collect())
+    if len(languages) > most_languages:
+        raise ValueError(f"more than {most_languages} different language labels")
     families: dict[str, list[str]] = {}
     for lang in languages:
         families.setdefault(family_of(lang), []).append(lang)

@@ -175,7 +175,7 @@ def near_duplicates(
     head = members.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("tail")).filter("head < tail")
     bucketed = durable(members.join(head, "key").select("node", "head", "key").distinct())
     candidate = durable(connected_components(bucketed.select(F.col("node").alias("u"), F.col("head").alias("v"))))
-    sized = nodes.select("node", "digest", "least", "copies", (F.col("weight") + 64).alias("weight"), F.col("keys")[0].alias("trie")).join(candidate, "node")
+    sized = nodes.select("node", "digest", "least", "copies", (F.col("weight") + 64).alias("weight"), F.get("keys", F.lit(0)).alias("trie")).join(candidate, "node")
     load = sized.groupBy("component").agg(F.ceil(F.sum("weight") / block).alias("parts"))
     twig = sized.groupBy("component", "trie").agg(F.ceil(F.sum("weight") / block).alias("cuts"))
     chunked = sized.join(load, "component").join(twig, ["component", "trie"]).withColumn("chunk", F.pmod(

@@ -89,11 +89,12 @@ def _pair_codes(token: Column) -> Column:
                        + F.instr(F.lit(ALPHABET), token.substr(i, F.lit(1))))
 
 
-def fit_models(samples: DataFrame, pseudo: float = 2.0) -> list[float]:
+def fit_models(samples: DataFrame, mixed: float = 0.5, pseudo: float = 100.0) -> list[float]:
     """Log-likelihood ratios (random over ordinary) of every character pair, from (token, is_random) rows.
 
-    Both models are first-order chains. Unseen pairs of random strings fall back to a uniform character, those of ordinary
-    strings to its own character frequencies. Pairs are counted over all samples: tokens are counted first,
+    Both models are first-order chains. That of random strings is mixed with uniform characters by ``mixed``, because labelled
+    secrets cover few alphabets; that of ordinary strings is smoothed by ``pseudo`` counts of its own character frequencies, so that
+    a random string among the ordinary samples does not explain itself. Pairs are counted over all samples: tokens are counted first,
     then their pairs, and at most 2 * WIDTH^2 counts reach the driver. Without samples every ratio is 0.
     """
     tokens = samples.filter(F.length("token") > 1).groupBy("token", "is_random").agg(F.count(F.lit(1)).alias("times"))
@@ -112,7 +113,7 @@ def fit_models(samples: DataFrame, pseudo: float = 2.0) -> list[float]:
         random_row = sum(seen[True][a * WIDTH:(a + 1) * WIDTH])
         ordinary_row = sum(seen[False][a * WIDTH:(a + 1) * WIDTH])
         for b in range(WIDTH):
-            p = (seen[True][a * WIDTH + b] + pseudo * uniform) / (random_row + pseudo)
+            p = mixed * uniform + (1 - mixed) * (seen[True][a * WIDTH + b] + uniform) / (random_row + 1.0)
             q = (seen[False][a * WIDTH + b] + pseudo * share[b]) / (ordinary_row + pseudo)
             out.append(round(math.log(p / q), 6))
     return out
