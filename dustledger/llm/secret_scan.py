@@ -89,7 +89,7 @@ def _pair_codes(token: Column) -> Column:
                        + F.instr(F.lit(ALPHABET), token.substr(i, F.lit(1))))
 
 
-def fit_models(samples: DataFrame, mixed: float = 0.5, pseudo: float = 100.0) -> list[float]:
+def fit_models(samples: DataFrame, mixed: float = 0.5, pseudo: float = 1000.0) -> list[float]:
     """Log-likelihood ratios (random over ordinary) of every character pair, from (token, is_random) rows.
 
     Both models are first-order chains. That of random strings is mixed with uniform characters by ``mixed``, because labelled
@@ -128,7 +128,7 @@ def secret_spans(docs: DataFrame, least: int = 16, bound: float = 12.0, known: D
     """(doc_id, base, extra) with arrays of (start, kind, end, value) per document, ordered by start and kind.
 
     ``base`` holds the matches of the fixed patterns; ``extra`` the other runs of ``least`` or more token characters whose
-    log-likelihood ratio of random string over ordinary identifier is above ``bound``. The two models are trained from
+    log-likelihood ratio of random string over ordinary identifier is above ``bound`` (a number alone is never one). The two models are trained from
     labelled samples: the values of all base matches are random strings, all other runs of the corpus are ordinary
     ones; ``known`` (token, is_random) adds further samples. Each text is scanned once; what is trained and scored is the
     written list of its runs.
@@ -141,7 +141,7 @@ def secret_spans(docs: DataFrame, least: int = 16, bound: float = 12.0, known: D
     if known is not None:
         samples = samples.unionByName(known.select("token", "is_random"))
     ratios = fit_models(samples)
-    extra = F.filter("loose", lambda s: likelihood_ratio(s["value"], ratios) > bound)
+    extra = F.filter("loose", lambda s: s["value"].rlike("[A-Za-z]") & (likelihood_ratio(s["value"], ratios) > bound))
     return told.select("doc_id", F.array_sort("base").alias("base"), extra.alias("extra"))
 
 

@@ -182,7 +182,7 @@ def test_markov_models_find_random_strings_and_leave_identifiers(spark):
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     random_token = "".join(rng.choice(letters) for _ in range(40))
     rows = [(k, f"{sentence(rng, 5)} some_ordinary_identifier_{rng.choice('abc')} internationalization password={''.join(rng.choice('0123456789abcdef') for _ in range(20))}", "en", "a") for k in range(200)]
-    rows.append((900, f"see {random_token} here", "en", "a"))
+    rows += [(900, f"see {random_token} here", "en", "a"), (901, "call 4418452524842581 now", "en", "a")]
     got = {r["doc_id"]: r for r in secret_scan.document_secrets(frame(spark, rows)).collect()}
     assert got[900]["spans"] == "random:4:44" and sum(r["n_random"] for r in got.values()) == 1
 
