@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
-TWO24 = 16777216.0
+TWO24, TWO52 = 16777216.0, 4503599627370496.0
 
 
 def half_even(value: Column, digits: int = 0) -> Column:
@@ -61,6 +61,11 @@ def uniform(key: Column, slot: int = 0) -> Column:
     return (digits + 0.5) / TWO24
 
 
+def uniform_fine(key: Column) -> Column:
+    """The first 52 bits of a draw key as a uniform number strictly inside (0, 1), for picks among very many rows."""
+    return (F.conv(F.substring(key, 1, 13), 16, 10).cast("double") + 0.5) / TWO52
+
+
 def gauss_pair(u1: Column, u2: Column) -> tuple[Column, Column]:
     """Two independent standard normals from two uniforms (Box-Muller)."""
     radius = F.sqrt(F.lit(-2.0) * F.log(u1))

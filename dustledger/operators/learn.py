@@ -172,7 +172,7 @@ def best_physics(table: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def stratified_sample(df: DataFrame, value: str, id_col: str, bins: int, per_bin: int, seed: int) -> DataFrame:
     """Quantile bins of ``value`` and ``per_bin`` rows of each by seeded hash order (a sampling operator)."""
-    from dustledger.functions.numeric import draw_key, uniform
+    from dustledger.functions.numeric import draw_key, uniform_fine
     from dustledger.operators.ranks import exact_quantiles
 
     edges = exact_quantiles(df, [], value, {f"e{i}": i / bins for i in range(1, bins)}).drop("n")
@@ -180,7 +180,7 @@ def stratified_sample(df: DataFrame, value: str, id_col: str, bins: int, per_bin
     b = F.lit(0)
     for i in range(1, bins):
         b = b + F.when(F.col(value) > F.col(f"e{i}"), 1).otherwise(0)
-    d = d.withColumns({"bin": b, "_u": uniform(draw_key(F.col(id_col), seed))})
+    d = d.withColumns({"bin": b, "_u": uniform_fine(draw_key(F.col(id_col), seed))})
     # the n-th smallest draw of a bin bounds the sample; draws are spread evenly over (0, 1)
     c = cumulative(value_table(d, ["bin"], "_u"), ["bin"]).filter(F.col("n_below") < per_bin).groupBy("bin").agg(F.max("v").alias("_cut"))
     return d.join(c, "bin").filter(F.col("_u") <= F.col("_cut")).select(*df.columns, "bin")

@@ -15,8 +15,6 @@ from dustledger.functions import geo
 from dustledger.operators.spatial import BOX, box_pairs, left_box, right_box
 from dustledger.session import durable
 
-MAX_ROUNDS = 200
-
 
 def iou_candidates(preds: DataFrame, truths: DataFrame, pred_id: str, truth_id: str, threshold: float,
                    cell: float, keys: Sequence[str] = ("tile_id",)) -> DataFrame:
@@ -34,20 +32,21 @@ def greedy_matches(candidates: DataFrame, priority: DataFrame) -> DataFrame:
     truth keeps its best proposer, and every pair the holder outranks is dropped for good.
     """
     live = durable(candidates.select("l", "r", "iou").join(priority.select("l", "score"), "l"))
+    size = live.count()
     order = lambda: F.struct(-F.col("score"), F.col("l"))
-    for _ in range(MAX_ROUNDS):
+    while True:
         best = F.min(F.struct((-F.col("iou")).alias("k"), F.col("r"), F.col("score")))
         proposal = live.groupBy("l").agg(best.alias("b")).select(
             "l", F.col("b.r").alias("r"), F.col("b.score").alias("score"), (-F.col("b.k")).alias("iou"))
         holder = proposal.groupBy("r").agg(F.min(order()).alias("h"))
         marked = live.join(holder, "r", "left")
         keep = marked.filter(F.col("h").isNull() | (order() <= F.col("h"))).drop("h")
-        nxt = durable(keep)
-        if nxt.count() == live.count():
-            # every proposer holds its truth
+        live = durable(keep)
+        left = live.count()
+        if left == size:
+            # every proposer holds its truth; otherwise a pair went, so the loop ends
             return proposal.select("l", "r", "iou")
-        live = nxt
-    raise RuntimeError("matching did not settle")
+        size = left
 
 
 def match_detections(preds: DataFrame, truths: DataFrame, threshold: float = 0.5, cell: float = 64.0) -> DataFrame:
@@ -82,7 +81,7 @@ def suppress_overlaps(boxes: DataFrame, threshold: float, cell: float = 64.0) ->
          .select(F.col("l").alias("better"), F.col("r").alias("worse")))
     e = durable(e)
     dropped: DataFrame | None = None
-    for _ in range(MAX_ROUNDS):
+    while True:
         worse = e.select(F.col("worse").alias("better")).distinct()
         free = e.select("better").distinct().join(worse, "better", "left_anti")
         out = e.join(free, "better", "left_semi").select(F.col("worse").alias("det_id")).distinct()
@@ -108,9 +107,7 @@ def carry_identity(previous: DataFrame, current: DataFrame, prev_id: str, curr_i
     cand = box_pairs(current, previous, curr_id, prev_id, cell)
     live = durable(cand.select("l", "r", geo.box_iou(left_box(), right_box()).alias("iou")).filter(F.col("iou") >= min_iou))
     settled: DataFrame | None = None
-    for _ in range(MAX_ROUNDS):
-        if not live.take(1):
-            break
+    while live.take(1):
         key = F.struct((-F.col("iou")).alias("k"), "l", "r")
         a = live.groupBy("l").agg(F.min(key).alias("b")).select("b.*")
         b = live.groupBy("r").agg(F.min(key).alias("b")).select("b.*")

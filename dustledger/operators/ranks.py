@@ -1,11 +1,11 @@
-"""Exact ranks and quantiles for groups of any size, without one task per group.
+"""Exact ranks and quantiles for groups of any size and any distribution, without one task per group.
 
 A plain ``Window.partitionBy(key).orderBy(value)`` puts a whole group into one task, and the
 builtin exact percentile keeps a group's distinct values in one buffer. Here the values are first
-counted (map-side combine, so repeated values cost one row), then cut into ``buckets`` equal-width
-slices between the group's exact minimum and maximum. Slice totals give offsets, and only the rows
-of one slice meet in one task. ``levels`` > 1 cuts every slice again between its own bounds, for
-heavy-tailed values. The slices depend only on the data, so a recomputed task agrees with the rest.
+counted (map-side combine, so repeated values cost one row), then range-partitioned by (group, value)
+and written to the checkpoint folder once. The split points come from the data, so the slices have about equal
+numbers of rows whatever outliers there are. Slice totals give offsets, and only the rows of one slice meet in
+one task. The written slices are fixed, so a recomputed task agrees with the rest.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-BUCKETS = 512
+from dustledger.session import durable
 
 
 def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -24,56 +24,49 @@ def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
 
 
 def value_table(df: DataFrame, keys: Sequence[str], value: str,
-                sums: dict[str, Column] | None = None) -> DataFrame:
-    """Distinct non-null values per group with their count ``n`` (and extra sums)."""
+                sums: dict[str, Column] | None = None, kind: str | None = "double") -> DataFrame:
+    """Distinct non-null values per group as ``v`` with their count ``n`` (and extra sums).
+
+    Values are cast to ``kind``; None keeps their own type (ids beyond 2^53, strings).
+    """
     aggs = [F.sum(c).alias(n) for n, c in (sums or {}).items()]
+    v = F.col(value) if kind is None else F.col(value).cast(kind)
     return (df.filter(F.col(value).isNotNull())
-            .groupBy(*keys, F.col(value).cast("double").alias("v"))
+            .groupBy(*keys, v.alias("v"))
             .agg(F.count(F.lit(1)).alias("n"), *aggs))
 
 
-def cumulative(table: DataFrame, keys: Sequence[str], columns: Sequence[str] = ("n",),
-               buckets: int = BUCKETS, levels: int = 1) -> DataFrame:
+def cumulative(table: DataFrame, keys: Sequence[str], columns: Sequence[str] = ("n",)) -> DataFrame:
     """Add ``<c>_below`` (sum over smaller values of the group) and ``<c>_total`` per column."""
-    keys = list(keys)
+    group = list(keys) or ["_g"]
     cols = list(columns)
-    t = table.withColumn("_g", F.lit(0)) if not keys else table
-    group = keys or ["_g"]
-    path: list[str] = []
-    for level in range(levels):
-        span = t.groupBy(*group, *path).agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"))
-        step = f"_b{level}"
-        width = F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo"))
-        t = (t.join(span, group + path)
-             .withColumn(step, F.coalesce(F.least(
-                 F.floor((F.col("v") - F.col("_lo")) / width * buckets), F.lit(buckets - 1)),
-                 F.lit(0)).cast("int"))
-             .drop("_lo", "_hi"))
-        path = path + [step]
-    totals = t.groupBy(*group, *path).agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
-    # one row per slice of a group here: at most buckets**levels rows per group
-    order = W.partitionBy(*group).orderBy(*path)
-    before = order.rowsBetween(W.unboundedPreceding, -1)
+    t = table if keys else table.withColumn("_g", F.lit(0))
+    slices = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    t = durable(t.repartitionByRange(slices, *group, "v").withColumn("_slice", F.spark_partition_id()))
+    totals = t.groupBy(*group, "_slice").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
+    # one row per slice of a group here: at most ``slices`` rows per group
+    before = W.partitionBy(*group).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*group)
     offsets = totals.select(
-        *group, *path,
+        *group, "_slice",
         *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in cols],
         *[F.sum(f"_t_{c}").over(whole).alias(f"{c}_total") for c in cols])
-    within = (W.partitionBy(*group, *path).orderBy("v").rowsBetween(W.unboundedPreceding, -1))
-    out = t.join(offsets, group + path)
+    within = W.partitionBy(*group, "_slice").orderBy("v").rowsBetween(W.unboundedPreceding, -1)
+    same = [t[g].eqNullSafe(offsets[g]) for g in [*group, "_slice"]]
+    out = t.join(offsets, same).select(t["*"], *[offsets[c] for c in offsets.columns if c not in (*group, "_slice")])
     for c in cols:
         out = out.withColumn(f"{c}_below", F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(within), F.lit(0)))
-    return out.drop(*path, *[f"_o_{c}" for c in cols], *([] if keys else ["_g"]))
+    return out.drop("_slice", *[f"_o_{c}" for c in cols], *([] if keys else ["_g"]))
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
-                    method: str = "linear", levels: int = 1) -> DataFrame:
+                    method: str = "linear") -> DataFrame:
     """Named exact quantiles per group. Methods: linear, higher, lower, ceiling_rank.
 
     ``ceiling_rank`` takes the element at index ``int(p * n)``, capped at the last one.
     """
     keys = list(keys)
-    ranked = cumulative(value_table(df, keys, value), keys, levels=levels)
+    ranked = cumulative(value_table(df, keys, value), keys)
     n, below = F.col("n_total"), F.col("n_below")
     last = below + F.col("n") - 1  # highest 0-based position holding this value
 
@@ -104,51 +97,32 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str = "r
 
 def rank_in_groups(df: DataFrame, keys: Sequence[str], value: str, tie_id: str, name: str = "rank",
                    descending: bool = True) -> DataFrame:
-    """Add the 1-based row number inside each group by value, then by a unique numeric id.
+    """Add the 1-based row number inside each group by value, then by a unique id of any ordered type.
 
     Distinct values are ranked first; rows that share a value are ranked by id among themselves.
     Null values are not expected.
     """
     keys = list(keys)
     sign = -1.0 if descending else 1.0
-    rows = df.withColumns({"_v": sign * F.col(value).cast("double"), "_i": F.col(tie_id).cast("double")})
+    rows = df.withColumn("_v", sign * F.col(value).cast("double"))
     by_value = cumulative(value_table(rows, keys, "_v"), keys).select(*keys, F.col("v").alias("_v"), F.col("n_below").alias("_a"), F.col("n").alias("_n"))
     j = rows.join(by_value, [*keys, "_v"])
-    tied = j.filter("_n > 1").select(*keys, "_v", "_i")
-    inner = cumulative(value_table(tied, [*keys, "_v"], "_i"), [*keys, "_v"]).select(*keys, "_v", F.col("v").alias("_i"), F.col("n_below").alias("_b"))
-    out = j.join(inner, [*keys, "_v", "_i"], "left")
-    return out.withColumn(name, F.col("_a") + F.coalesce("_b", F.lit(0)) + 1).drop("_v", "_i", "_a", "_n", "_b")
+    tied = j.filter("_n > 1").select(*keys, "_v", F.col(tie_id).alias("_i"))
+    inner = cumulative(value_table(tied, [*keys, "_v"], "_i", kind=None), [*keys, "_v"]).select(
+        *keys, "_v", F.col("v").alias(tie_id), F.col("n_below").alias("_b"))
+    out = j.join(inner, [*keys, "_v", tie_id], "left")
+    return out.select(*df.columns, (F.col("_a") + F.coalesce("_b", F.lit(0)) + 1).alias(name))
 
 
 def row_numbers(df: DataFrame, order_value: str, tie_id: str, name: str = "rank",
                 descending: bool = True) -> DataFrame:
-    """Global 1-based row number by value then by a unique numeric id, over any number of rows.
+    """Global 1-based row number by value then by a unique id of any ordered type, over any number of rows.
 
-    A value shared by many rows is ordered by a second ranking on the id inside that value.
-    Null values rank last.
+    Null values rank last, among themselves by id.
     """
     sign = -1.0 if descending else 1.0
-    rows = df.withColumn("v", F.coalesce(sign * F.col(order_value), F.lit(float("inf"))))
-    finite = rows.filter(F.col("v") < float("inf"))
-    by_value = cumulative(value_table(finite, [], "v"), []).select(
-        "v", F.col("n_below").alias("_below"), F.col("n").alias("_n"), F.col("n_total").alias("_nt"))
-    single = (finite.join(by_value.filter("_n = 1"), "v")
-              .withColumn(name, F.col("_below") + 1).drop("v", "_below", "_n", "_nt"))
-    tied_rows = finite.join(by_value.filter("_n > 1"), "v").withColumnRenamed("v", "_value")
-    tied_rank = cumulative(value_table(tied_rows, ["_value"], tie_id), ["_value"]).select(
-        "_value", F.col("v").alias("_tie"), F.col("n_below").alias("_pos"))
-    tied = (tied_rows.withColumn("_tie", F.col(tie_id).cast("double"))
-            .join(tied_rank, ["_value", "_tie"])
-            .withColumn(name, F.col("_below") + F.col("_pos") + 1)
-            .drop("_value", "_tie", "_below", "_n", "_nt", "_pos"))
-    nulls = rows.filter(F.col("v") == float("inf")).drop("v")
-    n_finite = finite.agg(F.count(F.lit(1)).alias("_nf"))
-    null_rank = cumulative(value_table(nulls, [], tie_id), []).select(
-        F.col("v").alias("_tie"), F.col("n_below").alias("_pos"))
-    null_rows = (attach_row(nulls.withColumn("_tie", F.col(tie_id).cast("double"))
-                            .join(null_rank, "_tie"), n_finite)
-                 .withColumn(name, F.col("_nf") + F.col("_pos") + 1).drop("_tie", "_pos", "_nf"))
-    return single.unionByName(tied).unionByName(null_rows)
+    shifted = df.withColumn("_order", F.coalesce(sign * F.col(order_value).cast("double"), F.lit(float("inf"))))
+    return rank_in_groups(shifted, [], "_order", tie_id, name, descending=False).drop("_order")
 
 
 def flag_top_fraction(df: DataFrame, score: str, tie_id: str, fraction: float = 0.10) -> DataFrame:

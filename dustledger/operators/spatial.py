@@ -92,30 +92,38 @@ def nearest_segment_distance(points: DataFrame, segments: DataFrame, point_id: s
 
 
 def nearest_box_distance(points: DataFrame, boxes: DataFrame, point_id: str, start: float,
-                         x: str = "x", y: str = "y", growth: float = 4.0, rounds: int = 8) -> DataFrame:
-    """(point_id, distance) to the nearest box without a cap; 0 inside.
+                         x: str = "x", y: str = "y", growth: float = 4.0) -> DataFrame:
+    """(point_id, distance) to the nearest box, however far; 0 inside, null only without coordinates or boxes.
 
-    Rounds widen the search ring for the points that found nothing within it, so far points do not
-    force a wide join on the rest. After the last round the distance stays null.
+    Rounds widen the search ring for the points that found nothing within it, until every point has its
+    answer. In a round the boxes are first summarised by the fine cells they touch (an eighth of the ring): a
+    point's answer lies in a cell whose near edge is no farther than the nearest far corner of all its cells, so
+    it is compared with the boxes of those few cells only, also when the ring spans a state.
     """
     from dustledger.session import durable
 
-    left = points.select(point_id, x, y)
-    distinct = boxes.select(*BOX).distinct()
-    done: DataFrame | None = None
+    distinct = boxes.select(*BOX).dropna().distinct()
+    left = points.select(point_id, x, y).filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    known = not distinct.isEmpty()
+    done = left.select(point_id, F.lit(None).cast("double").alias("distance")).limit(0)
     radius = start
-    for step in range(rounds):
-        cells = with_cells(distinct, radius, radius).select("cx", "cy", *BOX)
-        pts = left.withColumns({"cx": _cell(F.col(x), radius), "cy": _cell(F.col(y), radius)})
-        d = geo.box_gap((F.col(x), F.col(y), F.col(x), F.col(y)), tuple(F.col(c) for c in BOX))
-        found = durable(pts.join(cells, ["cx", "cy"]).groupBy(point_id).agg(F.min(d).alias("distance"))
+    while known and left.take(1):
+        fine = radius / 8.0
+        touched = with_cells(distinct, fine).select(F.col("cx").alias("fx"), F.col("cy").alias("fy"), *BOX)
+        cell = touched.select("fx", "fy").distinct().select(
+            "fx", "fy", (F.col("fx") * fine).alias("minx"), (F.col("fy") * fine).alias("miny"),
+            ((F.col("fx") + 1) * fine).alias("maxx"), ((F.col("fy") + 1) * fine).alias("maxy"))
+        px, py = F.col(x), F.col(y)
+        near = geo.box_gap((px, py, px, py), tuple(F.col(c) for c in BOX))
+        far = F.hypot(F.greatest(F.abs(px - F.col("minx")), F.abs(px - F.col("maxx"))), F.greatest(F.abs(py - F.col("miny")), F.abs(py - F.col("maxy"))))
+        pts = left.withColumns({"cx": _cell(px, radius), "cy": _cell(py, radius)})
+        seen = pts.join(with_cells(cell, radius, radius), ["cx", "cy"]).select(point_id, x, y, "fx", "fy", near.alias("near"), far.alias("far"))
+        reach = seen.groupBy(point_id).agg(F.min("far").alias("reach"))
+        some = seen.join(reach, point_id).filter((F.col("near") <= F.col("reach")) & (F.col("near") <= radius)).select(point_id, x, y, "fx", "fy")
+        found = durable(some.join(touched, ["fx", "fy"]).groupBy(point_id).agg(F.min(near).alias("distance"))
                         .filter(F.col("distance") <= radius))
-        done = found if done is None else done.unionByName(found)
-        left = left.join(found, point_id, "left_anti")
-        if step + 1 < rounds:
-            left = durable(left)
-            if not left.take(1):
-                break
+        done = done.unionByName(found)
+        left = durable(left.join(found, point_id, "left_anti"))
         radius *= growth
     return points.select(point_id).join(done, point_id, "left")
 

@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dustledger.functions.numeric import draw_key, safe_div, uniform
+from dustledger.functions.numeric import draw_key, safe_div, uniform_fine
 from dustledger.operators.ranks import attach_row, cumulative, exact_quantiles, value_table
 from dustledger.session import spread
 
@@ -133,8 +133,8 @@ def wilcoxon(df: DataFrame, diff: str) -> DataFrame:
 
 # ---- bootstrap by cluster ----------------------------------------------------------------------------------
 def dense_index(df: DataFrame, id_col: str) -> DataFrame:
-    """Unique numeric ids -> 0-based positions in id order."""
-    c = cumulative(value_table(df, [], id_col), [])
+    """Unique ids of any ordered type -> 0-based positions in id order, as columns _id and idx."""
+    c = cumulative(value_table(df, [], id_col, kind=None), [])
     return c.select(F.col("v").alias("_id"), F.col("n_below").alias("idx"))
 
 
@@ -148,10 +148,10 @@ def cluster_bootstrap(clusters: DataFrame, id_col: str, sums: Sequence[str], met
     dropped.
     """
     size = clusters.agg(F.count(F.lit(1)).alias("_g"))
-    indexed = clusters.withColumn("_id", F.col(id_col).cast("double")).join(dense_index(clusters, id_col), "_id")
+    indexed = clusters.withColumn("_id", F.col(id_col)).join(dense_index(clusters, id_col), "_id")
     slots = indexed.select(F.col("idx").alias("slot"))
     picks = spread(attach_row(slots, size), "slot").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    pick = F.floor(uniform(draw_key(F.col("b"), F.col("slot"), seed)) * F.col("_g"))
+    pick = F.floor(uniform_fine(draw_key(F.col("b"), F.col("slot"), seed)) * F.col("_g"))
     counted = picks.select("b", pick.alias("idx")).groupBy("b", "idx").agg(F.count(F.lit(1)).alias("_w"))
     joined = counted.join(indexed.select("idx", *sums), "idx")
     per_draw = joined.groupBy("b").agg(*[F.sum(F.col(c) * F.col("_w")).alias(c) for c in sums])

@@ -81,9 +81,9 @@ def seed_boxes(points: DataFrame, tiles: DataFrame, point_id: str, tile_id: str,
 
 def hash_split(df: DataFrame, id_col: str, ratios: dict[str, float], seed: int) -> DataFrame:
     """Add split: a fixed function of (id, seed), so re-runs and new rows never reshuffle it."""
-    from dustledger.functions.numeric import draw_key, uniform
+    from dustledger.functions.numeric import draw_key, uniform_fine
 
-    u = uniform(draw_key(F.col(id_col), seed))
+    u = uniform_fine(draw_key(F.col(id_col), seed))
     out, edge = None, 0.0
     for name, share in ratios.items():
         edge += share
@@ -97,14 +97,14 @@ def cap_empty(df: DataFrame, empty: str, id_col: str, max_ratio: float, seed: in
 
     Which empty rows stay is decided by a distributed rank of their draws.
     """
-    from dustledger.functions.numeric import draw_key, uniform
+    from dustledger.functions.numeric import draw_key, uniform_fine
     from dustledger.operators.ranks import attach_row, row_numbers
 
     quota = df.agg(F.sum(F.when(F.col(empty), 0).otherwise(1)).alias("_full")).select(
         F.col("_full"), F.floor(F.col("_full") * (max_ratio / max(1e-9, 1 - max_ratio))).alias("_cap"))
     rows = attach_row(df, quota)
     full = rows.filter(~F.col(empty))
-    blank = rows.filter(F.col(empty)).withColumn("_u", uniform(draw_key(F.col(id_col), seed)))
+    blank = rows.filter(F.col(empty)).withColumn("_u", uniform_fine(draw_key(F.col(id_col), seed)))
     ranked = row_numbers(blank, "_u", id_col, "_rk", descending=False)
     kept = ranked.filter((F.col("_full") == 0) | (F.col("_rk") <= F.col("_cap")))
     return full.select(*df.columns).unionByName(kept.select(*df.columns))

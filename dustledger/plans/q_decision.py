@@ -13,7 +13,7 @@ from dustledger.plans.q_economics import MIX, NBT, NEM2, mc_sql, priced_sql
 from dustledger.plans.q_series import eq_sql
 from dustledger.plans.q_spatial import _GREEDY, _recursive
 from dustledger.plans.registry import query
-from dustledger.plans.views import ctes, m6, r, sql_draw, view
+from dustledger.plans.views import ctes, m6, r, sql_draw_fine, view
 
 
 def _round(df, *cols):
@@ -205,7 +205,7 @@ def _(t):
     return RE.select_targets(j, 50, 2, 15).select("array_id", "expected_net_usd", "outreach_score")
 
 
-@query("f3_stratified_sample", ctes("scored", extra=f"q as (select quantile_cont(y, 0.25) as a, quantile_cont(y, 0.5) as b, quantile_cont(y, 0.75) as c from scored), d as (select row_id, case when y > c then 3 when y > b then 2 when y > a then 1 else 0 end as bin, {sql_draw('''md5(cast(row_id as varchar) || '|26')''', 0)} as u from scored, q), k as (select *, row_number() over (partition by bin order by u) as rn from d)")
+@query("f3_stratified_sample", ctes("scored", extra=f"q as (select quantile_cont(y, 0.25) as a, quantile_cont(y, 0.5) as b, quantile_cont(y, 0.75) as c from scored), d as (select row_id, case when y > c then 3 when y > b then 2 when y > a then 1 else 0 end as bin, {sql_draw_fine('''md5(cast(row_id as varchar) || '|26')''')} as u from scored, q), k as (select *, row_number() over (partition by bin order by u) as rn from d)")
        + "select row_id, cast(bin as int) as bin from k where rn <= 40")
 def _(t):
     s = LE.stratified_sample(t.sql("scored"), "y", "row_id", 4, 40, 26)

@@ -10,7 +10,7 @@ from dustledger.functions.numeric import half_even, micro
 from dustledger.operators import contracts as C, rollup as RU, tiles as TI
 from dustledger.plans.q_economics import pro_cost_sql, rinse_cost_sql
 from dustledger.plans.registry import query
-from dustledger.plans.views import ctes, m6, r, sql_draw, sql_piecewise, view
+from dustledger.plans.views import ctes, m6, r, sql_draw_fine, sql_piecewise, view
 from dustledger.sources import permits as PE, polygons as PO, readers as RD, stations as SN
 
 
@@ -510,12 +510,12 @@ def _(t):
 
 
 # ---- G11, G12, G14 dataset jobs --------------------------------------------------------------------------------------
-@query("g11_hash_split", f"select o_orderkey, case when u < 0.8e0 then 'train' when u < 0.8e0 + 0.1e0 then 'val' else 'test' end as split from (select o_orderkey, {sql_draw('''md5(cast(o_orderkey as varchar) || '|5')''', 0)} as u from orders)")
+@query("g11_hash_split", f"select o_orderkey, case when u < 0.8e0 then 'train' when u < 0.8e0 + 0.1e0 then 'val' else 'test' end as split from (select o_orderkey, {sql_draw_fine('''md5(cast(o_orderkey as varchar) || '|5')''')} as u from orders)")
 def _(t):
     return TI.hash_split(t.read("orders").select("o_orderkey"), "o_orderkey", {"train": 0.8, "val": 0.1, "test": 0.1}, 5)
 
 
-@query("g11_empty_cap_and_oversample", f"""with b as (select o_orderkey, o_orderstatus <> 'F' as empty, {sql_draw('''md5(cast(o_orderkey as varchar) || '|3')''', 0)} as u from orders),
+@query("g11_empty_cap_and_oversample", f"""with b as (select o_orderkey, o_orderstatus <> 'F' as empty, {sql_draw_fine('''md5(cast(o_orderkey as varchar) || '|3')''')} as u from orders),
  k as (select *, row_number() over (partition by empty order by u, o_orderkey) as rk, (select count(*) from b where not empty) as n from b)
 select o_orderkey, cast(unnest(range(1, cast(2 - cast(empty as int) as bigint) + 1)) as int) as copy from k where not empty or rk <= floor(n * {0.2 / max(1e-9, 1 - 0.2)!r}e0)""")
 def _(t):

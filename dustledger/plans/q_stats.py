@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from dustledger.functions.numeric import micro, wilson_interval
 from dustledger.operators import ranks as R, stats as ST
 from dustledger.plans.registry import query
-from dustledger.plans.views import ctes, m6, sql_draw
+from dustledger.plans.views import ctes, m6, sql_draw_fine
 
 
 def _round(df, *cols):
@@ -96,7 +96,7 @@ _TP = "sum(case when label = 1 and score >= 0.5 then 1 else 0 end) as tp, sum(ca
 
 @query("f4_cluster_bootstrap_f1", ctes("scored", extra=f"""cl as (select station_id, {_TP} from scored group by 1),
  ix as (select *, row_number() over (order by station_id) - 1 as idx, count(*) over () as g from cl),
- pk as (select b, cast(floor({sql_draw("md5(cast(b as varchar) || '|' || cast(idx as varchar) || '|42')", 0)} * g) as bigint) as p from ix, range(0, {_B}) r(b)),
+ pk as (select b, cast(floor({sql_draw_fine("md5(cast(b as varchar) || '|' || cast(idx as varchar) || '|42')")} * g) as bigint) as p from ix, range(0, {_B}) r(b)),
  dr as (select b, sum(tp) as tp, sum(fp) as fp, sum(fn) as fn from pk join ix on ix.idx = pk.p group by 1),
  mt as (select 2e0 * tp / (2 * tp + fp + fn) as m from dr where 2 * tp + fp + fn > 0)""")
        + f"select (select {m6('2e0 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn))')} from cl) as estimate, {m6('quantile_cont(m, 0.025)')} as ci_lo, {m6('quantile_cont(m, 0.975)')} as ci_hi, {m6('avg(case when m >= 0.5 then 1e0 else 0e0 end)')} as p_gate, count(*) as n_valid from mt")
@@ -111,7 +111,7 @@ def _(t):
 
 @query("f4_paired_difference_bootstrap", ctes("scored", extra=f"""cl as (select station_id, count(*) as n, sum(abs(p50 - y)) as ea, sum(abs(p10 - y)) as eb from scored group by 1),
  ix as (select *, row_number() over (order by station_id) - 1 as idx, count(*) over () as g from cl),
- pk as (select b, cast(floor({sql_draw("md5(cast(b as varchar) || '|' || cast(idx as varchar) || '|7')", 0)} * g) as bigint) as p from ix, range(0, {_B}) r(b)),
+ pk as (select b, cast(floor({sql_draw_fine("md5(cast(b as varchar) || '|' || cast(idx as varchar) || '|7')")} * g) as bigint) as p from ix, range(0, {_B}) r(b)),
  mt as (select (sum(ea) - sum(eb)) / sum(n) as m from pk join ix on ix.idx = pk.p group by b)""")
        + f"select (select {m6('(sum(ea) - sum(eb)) / sum(n)')} from cl) as estimate, {m6('quantile_cont(m, 0.025)')} as ci_lo, {m6('quantile_cont(m, 0.975)')} as ci_hi, {m6('avg(case when m >= 0 then 1e0 else 0e0 end)')} as p_gate, count(*) as n_valid from mt")
 def _(t):

@@ -186,3 +186,8 @@ def sql_piecewise(x: str, xs, ys) -> str:
 def sql_draw(hex_expr: str, slot: int) -> str:
     """SQL twin of ``numeric.uniform``."""
     return f"((('0x' || substr({hex_expr}, {6 * slot + 1}, 6))::ubigint)::double + 0.5e0) / 16777216e0"
+
+
+def sql_draw_fine(hex_expr: str) -> str:
+    """SQL twin of ``numeric.uniform_fine``."""
+    return f"((('0x' || substr({hex_expr}, 1, 13))::ubigint)::double + 0.5e0) / 4503599627370496e0"
