@@ -62,15 +62,23 @@ def best_strategy(df: DataFrame, kw: str = "system_kw", loss_pct: str = "loss_pc
 
 
 # ---- uncertainty -----------------------------------------------------------------------------------
+#: Fractional parts of the square roots of the first primes: steps of an additive low-discrepancy sequence.
+STRIDES = (0.41421356237309515, 0.7320508075688772, 0.2360679774997898, 0.6457513110645907, 0.3166247903553998)
+
+
 def net_draws(df: DataFrame, key: str, n_samples: int, seed: int) -> DataFrame:
     """One row per (site, draw) with ``net_rinse`` and ``net_pro``.
 
     Needs system_kw, loss_p10, loss_p50, loss_p90, sun_hours, rate_lo, rate_hi, rec_rinse, rec_pro.
-    Draws are functions of (site, draw, seed): the same on any partitioning or retry.
+    Draws are functions of (site, draw, seed): the same on any partitioning or retry. One digest per
+    site gives five random starts; draw by draw each moves on by its own irrational stride modulo 1 (a randomly
+    shifted additive sequence), so a draw costs arithmetic only and covers the cube more evenly than independent draws.
     """
-    d = spread(df, key).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n_samples))))
-    d = d.withColumn("_k", draw_key(F.col(key), F.col("draw"), seed))
-    d = d.withColumns({f"_u{i}": uniform(F.col("_k"), i) for i in range(5)})
+    start = draw_key(F.col(key), seed)
+    d = spread(df, key).withColumn("_k", start).withColumns({f"_s{i}": uniform(F.col("_k"), i) for i in range(5)})
+    d = d.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n_samples))))
+    d = d.withColumns({f"_w{i}": F.col(f"_s{i}") + F.col("draw") * F.lit(STRIDES[i]) for i in range(5)})
+    d = d.withColumns({f"_u{i}": F.greatest(F.col(f"_w{i}") - F.floor(f"_w{i}"), F.lit(1e-9)) for i in range(5)})
     z1, z2 = gauss_pair(F.col("_u1"), F.col("_u2"))
     lo = F.greatest(F.lit(1e-9), (F.col("loss_p50") - F.least("loss_p10", "loss_p50")) / K.Z90)
     hi = F.greatest(F.lit(1e-9), (F.greatest("loss_p90", "loss_p50") - F.col("loss_p50")) / K.Z90)
@@ -106,14 +114,13 @@ def monte_carlo(df: DataFrame, key: str, n_samples: int = 2000, seed: int = 42)
     pos = F.greatest(F.lit(0.0), F.col("net_rinse"), F.col("net_pro")) > 0
     agg = d.groupBy(key).agg(
         F.first("recommended_action").alias("_act"),
-        F.array_sort(F.collect_list("net_rinse")).alias("_r"),
-        F.array_sort(F.collect_list("net_pro")).alias("_p"),
+        F.collect_list("net_rinse").alias("_r"), F.collect_list("net_pro").alias("_p"),
         F.avg("net_rinse").alias("_mr"), F.avg("net_pro").alias("_mp"),
         F.avg(F.when(F.col("net_rinse") > 0, 1.0).otherwise(0.0)).alias("_pr"),
         F.avg(F.when(F.col("net_pro") > 0, 1.0).otherwise(0.0)).alias("_pp"),
         F.avg(F.when(pos, 1.0).otherwise(0.0)).alias("_any"))
     rinse = (F.col("_act") == "rinse_service") | ((F.col("_act") == "no_clean") & (F.col("_mr") >= F.col("_mp")))
-    agg = agg.withColumn("_s", F.when(rinse, F.col("_r")).otherwise(F.col("_p")))
+    agg = agg.withColumn("_s", F.array_sort(F.when(rinse, F.col("_r")).otherwise(F.col("_p"))))
     prob = F.when(rinse, F.col("_pr")).otherwise(F.col("_pp"))
     cols = [cents(F.element_at("_s", nearest_rank(n_samples, q) + 1)).alias(f"expected_net_usd_p{int(q * 100)}")
             for q in (0.10, 0.50, 0.90)]

@@ -61,11 +61,11 @@ def _band(i: int) -> str:
 
 @query("h5_batch_decision", ctes("requests", extra=_RES + ", okr as (select request_id, r_kw as system_kw, r_loss as loss_pct, r_sun as sun_hours, r_rate as usd_per_kwh, r_regime, rec_pro, rec_rinse, loss_pct_p10, loss_pct_p90 from rs where error_reason is null), "
        + priced_sql("okr", rinse="rec_rinse", pro="rec_pro") + f""", mi as (select *, loss_pct as loss_p50, coalesce(loss_pct_p10, loss_pct * {K.LOSS_P10_OVER_P50!r}e0) as loss_p10, coalesce(loss_pct_p90, loss_pct * {K.LOSS_P90_OVER_P50!r}e0) as loss_p90,
-   {_band(1)} as rate_lo, {_band(2)} as rate_hi from pz), """ + mc_sql("mi", "request_id", 40))
+   {_band(1)} as rate_lo, {_band(2)} as rate_hi from pz), """ + mc_sql("mi", "request_id"))
        + f"""select rs.request_id, rs.error_reason, pz.recommended_action as verdict, pz.worth_cleaning, pz.annual_loss_usd, case when pz.request_id is null then null when rinse_net_usd >= pro_net_usd then 'rinse_service' else 'professional' end as best_action,
  case when pz.request_id is not null then greatest(rinse_net_usd, pro_net_usd) end as best_action_net_usd, mc.prob_net_positive, mc.expected_net_usd_p50, mc.decision_robust from rs left join pz on pz.request_id = rs.request_id left join mc on mc.request_id = rs.request_id""")
 def _(t):
-    d = DE.decide(t.sql("requests"), "request_id", n_samples=40)
+    d = DE.decide(t.sql("requests"), "request_id", n_samples=2000)
     return d.select("request_id", "error_reason", "verdict", "worth_cleaning", "annual_loss_usd", "best_action", "best_action_net_usd",
                     F.col("uncertainty.prob_net_positive").alias("prob_net_positive"), F.col("uncertainty.expected_net_usd_p50").alias("expected_net_usd_p50"), F.col("uncertainty.decision_robust").alias("decision_robust"))
 

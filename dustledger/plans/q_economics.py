@@ -79,14 +79,15 @@ def flagship(t):
             .select("site_id", "cell_id", "loss_pct", "annual_loss_usd", "recommended_action", "expected_net_usd", "pro_net_usd"))
 
 
-N_MC = 100
+N_MC = 2000
 _SIG = math.sqrt(math.log(1.0 + K.AREA_SCALE_1SIGMA**2))
 
 
 def mc_sql(source: str, key: str, n: int = N_MC, name: str = "mc", cols: str = "", seed: int = 42) -> str:
     """CTEs: draws and the per-site summary. Source has the columns of ``net_draws``."""
-    return f"""{name}k as (select s.*, md5(cast({key} as varchar) || '|' || cast(i as varchar) || '|{seed}') as k from {source} s, range(1, {n + 1}) g(i)),
- {name}u as (select *, {", ".join(f"{sql_draw('k', i)} as u{i}" for i in range(5))} from {name}k),
+    return f"""{name}k as (select s.*, i, md5(cast({key} as varchar) || '|{seed}') as k from {source} s, range(1, {n + 1}) g(i)),
+ {name}s as (select *, {", ".join(f"{sql_draw('k', i)} + i * {EC.STRIDES[i]!r}e0 as w{i}" for i in range(5))} from {name}k),
+ {name}u as (select *, {", ".join(f"greatest(w{i} - floor(w{i}), 1e-9) as u{i}" for i in range(5))} from {name}s),
  {name}z as (select *, sqrt(-2e0 * ln(u1)) * cos(6.283185307179586e0 * u2) as z1, sqrt(-2e0 * ln(u1)) * sin(6.283185307179586e0 * u2) as z2,
    greatest(1e-9, (loss_p50 - least(loss_p10, loss_p50)) / {K.Z90}e0) as slo, greatest(1e-9, (greatest(loss_p90, loss_p50) - loss_p50) / {K.Z90}e0) as shi from {name}u),
  {name}d as (select *, greatest(0e0, case when u0 < slo / (slo + shi) then loss_p50 - abs(z1 * slo) else loss_p50 + abs(z1 * shi) end) as dl,
@@ -231,18 +232,18 @@ def _(t):
 
 
 _CASES = tuple(K.BAND_LOSS_PCT)
-_ARCH = f"""sh as (select *, area_m2 / {K.M2_PER_KW!r}e0 as system_kw, 1e0 + 0.6e0 * least(1e0, greatest(0e0, coalesce(canopy_frac, 0e0))) + 0.25e0 * least(1e0, greatest(0e0, (35e0 - tilt_deg) / 35e0))
-   + 0.15e0 * least(1e0, greatest(0e0, abs(azimuth_deg - 180e0) / 180e0)) as shade from arrays where tilt_deg is not null),
+_ARCH = f"""sh as (select *, area_m2 / {K.M2_PER_KW!r}e0 as system_kw, case when tilt_deg is not null then 1e0 + 0.6e0 * least(1e0, greatest(0e0, coalesce(canopy_frac, 0e0))) + 0.25e0 * least(1e0, greatest(0e0, (35e0 - tilt_deg) / 35e0))
+   + 0.15e0 * least(1e0, greatest(0e0, abs(azimuth_deg - 180e0) / 180e0)) end as shade from arrays),
  fs as (select sh.*, f_sat, case when shade <= 1.05e0 then 0e0 else f_sat * (1e0 - exp(-2.5e0 * (shade - 1.05e0))) end as f from sh, (values (0.1e0), (0.3e0), (0.5e0)) v(f_sat))"""
 
 
 @query("h10_threshold_counts", ctes("arrays", extra=_ARCH + ", ca as (" + " union all ".join(
-    f"select array_id, f_sat, system_kw, '{c}' as panel_case, least({100.0 * 4 / 20 if 'mlpe' in c else 100.0}e0, {sql_piecewise('f', K.BAND_LOSS_F, K.BAND_LOSS_PCT[c])}) as loss from fs" for c in _CASES) + f"""),
+    f"select array_id, f_sat, system_kw, '{c}' as panel_case, case when f is not null then least({100.0 * 4 / 20 if 'mlpe' in c else 100.0}e0, {sql_piecewise('f', K.BAND_LOSS_F, K.BAND_LOSS_PCT[c])}) end as loss from fs" for c in _CASES) + f"""),
  ra as (select ca.*, tariff, system_kw * 5.5e0 * 365e0 * 0.84e0 * (loss / 100e0) * rate * 0.39e0 - {pro_cost_sql('system_kw')} as net from ca, (values ('nbt', {NBT!r}e0), ('nem2', {NEM2!r}e0)) v(tariff, rate))""")
        + f"select panel_case, tariff, f_sat, count(*) as n, cast(sum(case when net > 0 then 1 else 0 end) as bigint) as n_clear, {m6('100e0 * sum(case when net > 0 then 1 else 0 end) / count(*)')} as pct_clear, {r('max(net)', 2)} as best_net from ra group by 1, 2, 3")
 def _(t):
     """Arrays clearing $0 by panel case, tariff and coverage ceiling; all options exploded in-row."""
-    a = t.sql("arrays").filter("tilt_deg IS NOT NULL")
+    a = t.sql("arrays")
     a = a.select(pv.kw_from_area(F.col("area_m2")).alias("kw"), pv.shade_factor(
         F.coalesce("canopy_frac", F.lit(0.0)), F.col("tilt_deg"), F.col("azimuth_deg")).alias("shade"))
     a = EC.sweep(a, "f_sat", (0.1, 0.3, 0.5)).withColumn("f", pv.roof_equilibrium(F.col("shade"), F.col("f_sat")))

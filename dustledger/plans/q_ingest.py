@@ -52,11 +52,11 @@ def _(t):
     return r.select("k", micro(v).alias("iwsr"), c.alias("iwsr_censored"))
 
 
-@query("a10_label_merge", f"with {_ST}, p as (select station_id, cast(year as int) as year, iwsr, make_date(year::bigint, 12, 31) as as_of, false as is_summary from pan where not iwsr_censored and station_id not in ('S1')) "
+@query("a10_label_merge", f"with {_ST}, p as (select station_id, cast(year as int) as year, iwsr, make_date(year::bigint, 12, 31) as as_of, false as is_summary from pan where not iwsr_censored) "
        + f"select station_id, year, as_of, {m6('iwsr')} as iwsr, is_summary, cast(iwsr < 0.944 as int) as label from (select * from p union all select station_id, 2026, iwsr, date '2026-01-01', true from sm where station_id not in (select station_id from p))")
 def _(t):
     docs = t.sql("station_docs")
-    panel = SN.station_panel(docs).filter("station_id <> 'S1'")
+    panel = SN.station_panel(docs)
     out = SN.merge_labels(panel, SN.station_summary(docs), 0.944, "2026-01-01")
     return _round(out.select("station_id", "year", "as_of", "iwsr", "is_summary", "label"), "iwsr")
 
@@ -169,10 +169,10 @@ def _(t):
 
 
 @query("a17_resumable_build_queue", f"""with l as (select c_custkey as system_id, -125e0 + c_custkey * 7 % 600 / 10e0 as lon, (c_custkey % 100) / 10e0 as loss_pct from customer)
-select system_id, lon, {m6('1e0 - loss_pct / 100e0')} as iwsr, cast(1e0 - loss_pct / 100e0 < 0.97 as int) as label from l where system_id % 4 <> 0 order by lon desc, system_id limit 500""")
+select system_id, lon, {m6('1e0 - loss_pct / 100e0')} as iwsr, cast(1e0 - loss_pct / 100e0 < 0.97 as int) as label from l where system_id % 4 <> 0""")
 def _(t):
     l = t.read("customer").select(F.col("c_custkey").alias("system_id"), (-125.0 + F.col("c_custkey") * 7 % 600 / 10.0).alias("lon"), (F.col("c_custkey") % 100 / 10.0).alias("loss_pct"))
-    out = SN.build_queue(l, l.filter("system_id % 4 = 0"), "system_id", 500, 0.97)
+    out = SN.build_queue(l, l.filter("system_id % 4 = 0"), "system_id", None, 0.97)
     return _round(out.select("system_id", "lon", "iwsr", "label"), "iwsr")
 
 
@@ -263,10 +263,10 @@ def _(t):
     return t.read("part").select("p_partkey", *[micro(pv.band_loss_pct(f, c)).alias(c) for c in K.BAND_LOSS_PCT])
 
 
-@query("b25_shade_and_equilibrium", ctes("arrays", extra="s as (select array_id, 1e0 + 0.6e0 * coalesce(canopy_frac, 0e0) + 0.25e0 * greatest(0e0, (35e0 - tilt_deg) / 35e0) + 0.15e0 * abs(azimuth_deg - 180e0) / 180e0 as sh from arrays where tilt_deg is not null)")
+@query("b25_shade_and_equilibrium", ctes("arrays", extra="s as (select array_id, case when tilt_deg is not null then 1e0 + 0.6e0 * coalesce(canopy_frac, 0e0) + 0.25e0 * greatest(0e0, (35e0 - tilt_deg) / 35e0) + 0.15e0 * abs(azimuth_deg - 180e0) / 180e0 end as sh from arrays)")
        + f"select array_id, {m6('sh')} as shade, {m6('case when sh <= 1.05e0 then 0e0 else 0.3e0 * (1e0 - exp(-2.5e0 * (sh - 1.05e0))) end')} as equilibrium from s")
 def _(t):
-    a = t.sql("arrays").filter("tilt_deg IS NOT NULL")
+    a = t.sql("arrays")
     s = pv.shade_factor(F.coalesce("canopy_frac", F.lit(0.0)), F.col("tilt_deg"), F.col("azimuth_deg"))
     return a.select("array_id", micro(s).alias("shade"), micro(pv.roof_equilibrium(s)).alias("equilibrium"))
 
@@ -324,7 +324,7 @@ def _(t):
     return p.join(d, "parcel_no", "full").fillna(False, ["registered", "detected"])
 
 
-@query("c14_cached_range_cover", """with f as (select l_suppkey as cell, cast(l_shipdate as date) as s, cast(l_shipdate as date) + 900 as e from lineitem where l_linenumber = 1),
+@query("c14_cached_range_cover", """with f as (select l_suppkey as cell, cast(l_shipdate as date) as s, cast(l_shipdate as date) + 900 as e from lineitem),
  q as (select o_custkey % (select count(*) from supplier) as cell, o_orderkey, cast(o_orderdate as date) as s, cast(o_orderdate as date) + 700 as e from orders)
 select o_orderkey, exists (select 1 from f where f.cell = q.cell and f.s <= q.s and f.e >= q.e) as covered from q""")
 def _(t):
@@ -332,7 +332,7 @@ def _(t):
     from dustledger.operators.lookup import covered_by_span
     from dustledger.operators.ranks import attach_row
 
-    f = t.read("lineitem").filter("l_linenumber = 1").select(F.col("l_suppkey").alias("cell"), F.to_date("l_shipdate").alias("s")).withColumn("e", F.date_add("s", 900))
+    f = t.read("lineitem").select(F.col("l_suppkey").alias("cell"), F.to_date("l_shipdate").alias("s")).withColumn("e", F.date_add("s", 900))
     n = t.read("supplier").agg(F.count(F.lit(1)).alias("_n"))
     q = attach_row(t.read("orders"), n).select((F.col("o_custkey") % F.col("_n")).alias("cell"), "o_orderkey", F.to_date("o_orderdate").alias("s"))
     q = q.withColumn("e", F.date_add("s", 700))
@@ -394,21 +394,21 @@ def _(t):
     return RU.primary_flags(_sited(t), "site_id").select("array_id", "site_primary")
 
 
-@query("d4_last_known_per_parcel", ctes("permits") + """select parcel_no, arg_max(kw, {'i': issued, 'a': app_no}) filter (kw is not null) as last_kw, arg_max(mount, {'i': issued, 'a': app_no}) filter (mount is not null) as last_mount,
- arg_min(mount, {'i': issued, 'a': app_no}) filter (mount is not null) as first_mount from permits where issued is not null group by 1""")
+@query("d4_last_known_per_parcel", ctes("permits") + """select parcel_no, arg_max(kw, {'i': coalesce(issued, date '0001-01-01'), 'a': app_no}) filter (kw is not null) as last_kw, arg_max(mount, {'i': coalesce(issued, date '0001-01-01'), 'a': app_no}) filter (mount is not null) as last_mount,
+ arg_min(mount, {'i': coalesce(issued, date '9999-12-31'), 'a': app_no}) filter (mount is not null) as first_mount from permits group by 1""")
 def _(t):
-    p = t.sql("permits").filter("issued IS NOT NULL")
-    order = [F.col("issued"), F.col("app_no")]
-    a = RU.last_known(p, "parcel_no", order, ["kw", "mount"]).withColumnsRenamed({"kw": "last_kw", "mount": "last_mount"})
-    return a.join(RU.last_known(p, "parcel_no", order, ["mount"], first=True).withColumnRenamed("mount", "first_mount"), "parcel_no")
+    p = t.sql("permits")
+    order = lambda undated: [F.coalesce("issued", F.lit(undated).cast("date")), F.col("app_no")]
+    a = RU.last_known(p, "parcel_no", order("0001-01-01"), ["kw", "mount"]).withColumnsRenamed({"kw": "last_kw", "mount": "last_mount"})
+    return a.join(RU.last_known(p, "parcel_no", order("9999-12-31"), ["mount"], first=True).withColumnRenamed("mount", "first_mount"), "parcel_no")
 
 
-@query("d4_largest_and_earliest_row", ctes("permits", extra="""r as (select *, row_number() over (partition by parcel_no order by kw desc, app_no desc) as a, row_number() over (partition by parcel_no order by issued, app_no) as b from permits where kw is not null and issued is not null)""")
+@query("d4_largest_and_earliest_row", ctes("permits", extra="""r as (select *, row_number() over (partition by parcel_no order by kw desc nulls last, app_no desc) as a, row_number() over (partition by parcel_no order by issued nulls last, app_no) as b from permits)""")
        + "select parcel_no, max(case when a = 1 then app_no end) as largest_app, max(case when a = 1 then kw end) as largest_kw, max(case when b = 1 then app_no end) as earliest_app from r group by 1")
 def _(t):
-    p = t.sql("permits").filter("kw IS NOT NULL AND issued IS NOT NULL")
+    p = t.sql("permits")
     a = RU.whole_row(p, "parcel_no", [F.col("kw"), F.col("app_no")], ["app_no", "kw"]).withColumnsRenamed({"app_no": "largest_app", "kw": "largest_kw"})
-    b = RU.whole_row(p, "parcel_no", [F.col("issued"), F.col("app_no")], ["app_no"], first=True).withColumnRenamed("app_no", "earliest_app")
+    b = RU.whole_row(p, "parcel_no", [F.coalesce("issued", F.lit("9999-12-31").cast("date")), F.col("app_no")], ["app_no"], first=True).withColumnRenamed("app_no", "earliest_app")
     return a.join(b, "parcel_no")
 
 

@@ -90,7 +90,7 @@ def _(t):
     return _round(ST.wilcoxon(t.sql("scored").withColumn("d", F.col("p50") - F.col("y")), "d"), "z").drop("p_value")
 
 
-_B = 200
+_B = 4000
 _TP = "sum(case when label = 1 and score >= 0.5 then 1 else 0 end) as tp, sum(case when label = 0 and score >= 0.5 then 1 else 0 end) as fp, sum(case when label = 1 and score < 0.5 then 1 else 0 end) as fn"
 
 

@@ -73,16 +73,16 @@ def _(t):
     return _round(SOL.production_shares(p, "k", "lat", "lon", "tilt", "az"), "summer_peak", "summer_offpeak", "winter_peak", "winter_offpeak", "retail_usd_per_kwh")
 
 
-@query("e12_orientation_lookup", ctes("arrays", extra=f"""g as (select ti, ai, sum({poa_sql('doy', 'hour', '36.97e0', '-122.03e0', 'ti * 10e0', 'ai * 30e0')}) as poa from range(0, 7) a(ti), range(0, 13) b(ai), range(1, 366) d(doy), range(0, 24) h(hour) group by 1, 2),
+@query("e12_orientation_lookup", ctes("arrays", extra=f"""g as (select ti, ai, sum({poa_sql('doy', 'hour', '36.97e0', '-122.03e0', 'ti * 2.5e0', 'ai * 10e0')}) as poa from range(0, 25) a(ti), range(0, 37) b(ai), range(1, 366) d(doy), range(0, 24) h(hour) group by 1, 2),
  rf as (select sum({poa_sql('doy', 'hour', '36.97e0', '-122.03e0', '20e0', '180e0')}) as r from range(1, 366) d(doy), range(0, 24) h(hour)),
  gr as (select ti, ai, poa / r as v from g, rf),
- q as (select array_id, tilt_deg as tt, azimuth_deg as aa, case when tilt_deg is not null then 1 end as known, greatest(0, least(5, cast(ceil(tilt_deg / 10e0) as int) - 1)) as i, greatest(0, least(11, cast(ceil(azimuth_deg / 30e0) as int) - 1)) as j from arrays)""")
-       + f"""select q.array_id, {m6('a.v * (1 - (tt / 10e0 - i)) * (1 - (aa / 30e0 - j)) + b.v * (tt / 10e0 - i) * (1 - (aa / 30e0 - j)) + c.v * (1 - (tt / 10e0 - i)) * (aa / 30e0 - j) + d.v * (tt / 10e0 - i) * (aa / 30e0 - j)')} as poa_rel
+ q as (select array_id, tilt_deg as tt, azimuth_deg as aa, case when tilt_deg is not null then 1 end as known, greatest(0, least(23, cast(ceil(tilt_deg / 2.5e0) as int) - 1)) as i, greatest(0, least(35, cast(ceil(azimuth_deg / 10e0) as int) - 1)) as j from arrays)""")
+       + f"""select q.array_id, {m6('a.v * (1 - (tt / 2.5e0 - i)) * (1 - (aa / 10e0 - j)) + b.v * (tt / 2.5e0 - i) * (1 - (aa / 10e0 - j)) + c.v * (1 - (tt / 2.5e0 - i)) * (aa / 10e0 - j) + d.v * (tt / 2.5e0 - i) * (aa / 10e0 - j)')} as poa_rel
 from q left join gr a on a.ti = i and a.ai = j left join gr b on b.ti = i + 1 and b.ai = j left join gr c on c.ti = i and c.ai = j + 1 left join gr d on d.ti = i + 1 and d.ai = j + 1""")
 def _(t):
-    grid = SOL.orientation_grid(t.spark, K.SITE_LAT, K.SITE_LON, 10.0, 30.0)
+    grid = SOL.orientation_grid(t.spark, K.SITE_LAT, K.SITE_LON, 2.5, 10.0)
     a = t.sql("arrays").select("array_id", "tilt_deg", "azimuth_deg")
-    return _round(SOL.lookup_orientation(a, grid, "tilt_deg", "azimuth_deg", 10.0, 30.0), "poa_rel").select("array_id", "poa_rel")
+    return _round(SOL.lookup_orientation(a, grid, "tilt_deg", "azimuth_deg", 2.5, 10.0), "poa_rel").select("array_id", "poa_rel")
 
 
 @query("b26_clearsky_irradiance", f"select o_orderkey, {m6(poa_sql('dayofyear(o_orderdate)', '(o_orderkey % 24)', '(30e0 + o_custkey % 15)', '(-122e0 + o_custkey % 7)', '(o_orderkey % 45)', '(o_custkey % 360)'))} as poa from orders")
@@ -220,11 +220,11 @@ def _(t):
     return _round(TE.residual_scatter(t.sql("indexed"), "system_id"), "sigma", "lag1", "mde")
 
 
-@query("e25_longest_dry_stretch", """with f as (select l_suppkey as area, cast(l_linenumber - 1 as int) as d, greatest(0e0, max(l_quantity) - 49.2e0) + l_suppkey % 3 * 0.3e0 + l_linenumber % 3 * 0.2e0 as rain from lineitem where l_quantity > 45 group by 1, 2, l_suppkey, l_linenumber),
+@query("e25_longest_dry_stretch", """with f as (select l_suppkey as area, cast(l_linenumber - 1 as int) as d, greatest(0e0, max(l_quantity) - 49.2e0) + l_suppkey % 3 * 0.3e0 + l_linenumber % 3 * 0.2e0 as rain from lineitem group by 1, 2, l_suppkey, l_linenumber),
  g as (select *, sum(case when rain < 0.75 then 0 else 1 end) over (partition by area order by d rows unbounded preceding) as w from f), r as (select area, w, count(*) as len, max(d) as e from g where rain < 0.75 group by 1, 2),
  k as (select *, row_number() over (partition by area order by len desc, e) as rn from r) select area, len as dry_len, e as dry_end from k where rn = 1""")
 def _(t):
-    f = t.read("lineitem").filter("l_quantity > 45").groupBy(F.col("l_suppkey").alias("area"), F.col("l_linenumber").alias("ln")).agg(F.max("l_quantity").alias("q"))
+    f = t.read("lineitem").groupBy(F.col("l_suppkey").alias("area"), F.col("l_linenumber").alias("ln")).agg(F.max("l_quantity").alias("q"))
     f = f.select("area", (F.col("ln") - 1).alias("day_offset"), (F.greatest(F.lit(0.0), F.col("q") - 49.2) + F.col("area") % 3 * 0.3 + F.col("ln") % 3 * 0.2).alias("rain_mm"))
     return S.longest_dry_stretch(f, "area", 0.75)
 
