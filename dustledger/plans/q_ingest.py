@@ -292,10 +292,19 @@ def _(t):
     return w.groupBy("cell_id").agg(*[micro(F.avg(c)).alias(c) for c in cols])
 
 
+@query("b33_city_and_zip", "select c_custkey, case when c_custkey % 5 <> 0 then case when c_custkey % 2 = 0 then 'Santa Cruz' else 'Aptos' end end as city, case when c_custkey % 5 <> 0 then cast(95000 + c_custkey % 900 as varchar) end as zip from customer")
+def _(t):
+    """City and ZIP out of free text; every fifth text has none."""
+    k = F.col("c_custkey")
+    place = F.concat(F.lit("owner 12 at "), F.when(k % 2 == 0, "Santa  Cruz").otherwise("Aptos"), F.lit(" CA "), (95000 + k % 900).cast("string"), F.lit("-0001 (rear)"))
+    city, code = TX.city_zip(F.when(k % 5 == 0, F.lit("no place 95003")).otherwise(place))
+    return t.read("customer").select("c_custkey", city.alias("city"), code.alias("zip"))
+
+
 @query("b33_name_parsing", "select o_orderkey, case when o_orderkey % 4 <> 0 then 'ca' end as region, case when o_orderkey % 4 <> 0 then cast(2010 + o_custkey % 13 as int) end as vintage, 'tile_' || lpad(cast(o_orderkey as varchar), 6, '0') || '.png' as tile from orders")
 def _(t):
     k = F.col("o_orderkey")
-    src = F.when(k % 4 == 0, F.lit("aerial.tif")).otherwise(F.concat(F.lit("m_3712201_ca_10_060_"), (2010 + F.col("o_custkey") % 13).cast("string"), F.lit("0601.tif")))
+    src = F.when(k % 4 == 0, F.lit("aerial.tif")).otherwise(F.concat(F.lit("naip_ca_"), (2010 + F.col("o_custkey") % 13).cast("string"), F.lit("_512_"), k.cast("string"), F.lit(".tif")))
     name = F.concat(F.lit("tile_"), F.lpad(k.cast("string"), 6, "0"), F.when(k % 2 == 0, F.lit("_png.rf.ab12CD.jpg")).otherwise(F.lit(".png")))
     region, year = TX.region_vintage(src)
     return t.read("orders").select("o_orderkey", region.alias("region"), year.alias("vintage"), TX.canonical_tile_name(name).alias("tile"))
