@@ -90,13 +90,15 @@ def dissolved_area(boxes: DataFrame, group: str) -> DataFrame:
     return span.groupBy(group).agg(F.sum(fresh * (F.col("x2") - F.col("x"))).alias("union_area"))
 
 
-def component_hulls(members: DataFrame, group: str, ring: str = "ring", slices: int = 4096) -> DataFrame:
+def component_hulls(members: DataFrame, group: str, ring: str = "ring", per_slice: int = 1024) -> DataFrame:
     """(group, ring): convex hull of all vertices of a group.
 
-    Hulls are taken per (group, slice of rows) first and then merged, so that no task needs all the
-    vertices of a large group, only the hulls of its slices.
+    Equal rings count once. Hulls are taken per (group, slice of about ``per_slice`` rings) first and then
+    merged, so that no task needs all the vertices of a large group, only the hulls of its slices.
     """
-    rows = members.select(group, ring, F.pmod(F.xxhash64(ring), F.lit(slices)).alias("_s"))
+    once = members.select(group, ring).distinct()
+    slices = once.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / per_slice).alias("_n"))
+    rows = once.join(slices, group).select(group, ring, F.pmod(F.xxhash64(ring), F.col("_n")).alias("_s"))
     part = rows.groupBy(group, "_s").agg(F.flatten(F.collect_list(ring)).alias("pts"))
     hulls = part.select(group, geo.convex_hull("pts").alias("pts"))
     whole = hulls.groupBy(group).agg(F.flatten(F.collect_list("pts")).alias("pts"))

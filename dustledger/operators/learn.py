@@ -9,7 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, RandomForestRegressor
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from dustledger.operators.ranks import attach_row, cumulative, rank_in_groups, row_numbers, value_table
 from dustledger.operators.rollup import feature_medians, impute
@@ -109,31 +109,24 @@ def quantile_forest(train: DataFrame, test: DataFrame, features: Sequence[str],
     """(key, quantiles...): weighted quantiles of the training targets that share leaves with a row.
 
     Targets are first counted per (tree, leaf, value), so a leaf costs its distinct values and not
-    its rows; quantiles of one key never cross because they come from one distribution.
+    its rows; every quantile is a training target, and quantiles of one key never cross because they come from one distribution.
     """
     va = VectorAssembler(inputCols=list(features), outputCol="_v")
     model = RandomForestRegressor(featuresCol="_v", labelCol=label, numTrees=trees, maxDepth=max_depth, seed=seed, leafCol="_leaf").fit(va.transform(train))
     tr = model.transform(va.transform(train)).select(label, F.posexplode(vector_to_array("_leaf")).alias("tree", "leaf"))
     table = tr.groupBy("tree", "leaf", F.col(label).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("m"))
     size = table.groupBy("tree", "leaf").agg(F.sum("m").alias("size"))
-    # cumulative share inside each leaf at a fixed set of levels keeps a leaf to ``levels`` rows
-    c = cumulative(table.withColumnRenamed("m", "n"), ["tree", "leaf"])
-    c = c.join(size, ["tree", "leaf"]).select("tree", "leaf", "v", (F.col("n") / F.col("size")).alias("w"))
-    levels = 64
-    cum = cumulative(c.withColumnRenamed("w", "n"), ["tree", "leaf"]).withColumn("_b", F.floor(F.col("n_below") * levels))
-    slim = cum.groupBy("tree", "leaf", "_b").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("v"), F.sum("n").alias("w"))
+    share = table.join(size, ["tree", "leaf"]).select("tree", "leaf", "v", (F.col("m") / F.col("size")).alias("w"))
     te = model.transform(va.transform(test)).select(key, F.posexplode(vector_to_array("_leaf")).alias("tree", "leaf"))
-    per = te.join(slim, ["tree", "leaf"]).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("v", "w"))).alias("d"))
-    total = F.aggregate("d", F.lit(0.0), lambda a, x: a + x["w"])
+    mass = te.join(share, ["tree", "leaf"]).groupBy(key, "v").agg(F.sum("w").alias("w"))
+    upto = F.sum("w").over(W.partitionBy(key).orderBy("v").rowsBetween(W.unboundedPreceding, 0))
+    d = mass.withColumns({"_upto": upto, "_all": F.sum("w").over(W.partitionBy(key))})
 
     def at(q: float) -> Column:
-        goal = F.col("_t") * q
-        hit = F.aggregate("d", F.struct(F.lit(0.0).alias("s"), F.lit(None).cast("double").alias("v")),
-                          lambda a, x: F.struct((a["s"] + x["w"]).alias("s"), F.when(a["v"].isNull() & (a["s"] + x["w"] >= goal - 1e-12), x["v"]).otherwise(a["v"]).alias("v")))
-        return F.greatest(F.lit(lo), F.least(F.lit(hi), hit["v"]))
+        hit = F.min(F.when(F.col("_upto") >= F.col("_all") * q - 1e-12, F.col("v")))
+        return F.greatest(F.lit(lo), F.least(F.lit(hi), hit))
 
-    per = per.withColumn("_t", total)
-    return per.select(key, *[at(q).alias(n) for n, q in quantiles.items()])
+    return d.groupBy(key).agg(*[at(q).alias(n) for n, q in quantiles.items()])
 
 
 def ablation(df: DataFrame, sets: dict[str, Sequence[str]], label: str, fold: str, folds: Sequence[int], seeds: Sequence[int],

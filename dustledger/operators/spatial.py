@@ -155,12 +155,18 @@ def nearest_station(systems: DataFrame, stations: DataFrame, system_id: str, sta
     """Inner pairs (system, nearest station, km) within ``within_km``; ties by station id.
 
     Cells are latitude bands of the search radius and longitude cells widened by 1/cos(lat), with
-    the stations listed in all neighbouring cells. Valid away from the poles and the antimeridian.
+    the stations listed in all neighbouring cells. Stations near the antimeridian are listed on both sides of it,
+    those near a pole at all longitudes.
     """
     deg = within_km / 110.0
     lat_s = F.col("s_lat")
     wide = deg / F.greatest(F.lit(0.05), F.cos(F.radians(F.least(F.lit(89.0), F.abs(lat_s) + deg))))
-    st = stations.select(F.col(station_id), F.col(lat).alias("s_lat"), F.col(lon).alias("s_lon"))
+    wide = F.when(F.abs(lat_s) + deg > 86.0, F.lit(361.0)).otherwise(wide)
+    st = stations.select(F.col(station_id), F.col(lat).alias("s_lat"), F.col(lon).alias("_lon"))
+    # the same place a turn further east or west, where that reaches into -180..180
+    turns = F.filter(F.array(F.lit(0.0), F.lit(360.0), F.lit(-360.0)), lambda turn: (turn == 0) | (F.abs(F.col("_lon") + turn) <= 180.0 + F.least(wide, F.lit(180.0))))
+    st = st.withColumn("_turn", F.explode(F.when(wide > 360.0, F.array(F.lit(0.0))).otherwise(turns)))
+    st = st.withColumn("s_lon", F.col("_lon") + F.col("_turn")).drop("_lon", "_turn")
     st = (st.withColumn("cy", F.explode(F.sequence(_cell(lat_s - deg, deg), _cell(lat_s + deg, deg))))
           .withColumn("cx", F.explode(F.sequence(_cell(F.col("s_lon") - wide, deg), _cell(F.col("s_lon") + wide, deg)))))
     sy = systems.withColumns({"cy": _cell(F.col(lat), deg), "cx": _cell(F.col(lon), deg)})

@@ -64,24 +64,44 @@ def performance_index(daily: DataFrame, model: DataFrame, key: str, source: str
 FIT_SCHEMA = "n_days int, slope double, slope_lo double, slope_hi double, start double, stop double"
 
 
+def _slope_blocks(t: np.ndarray, y: np.ndarray, cells: int = 1 << 20):
+    """All pairwise slopes, at most about ``cells`` at a time."""
+    n, first = len(t), 0
+    while first < n - 1:
+        last = min(n - 1, first + max(1, cells // (n - first)))
+        gap = t[None, first + 1:] - t[first:last, None]
+        rise = y[None, first + 1:] - y[first:last, None]
+        later = np.arange(first + 1, n)[None, :] > np.arange(first, last)[:, None]
+        yield rise[later] / gap[later]
+        first = last
+
+
+def _slope_at(t: np.ndarray, y: np.ndarray, rank: int, most: int = 1 << 20, bins: int = 4096) -> float:
+    """The slope of the given rank (0-based): the range is narrowed by histograms until what is left fits in memory."""
+    low, high = -np.inf, np.inf
+    while True:
+        inside = [s[(s >= low) & (s <= high)] for s in _slope_blocks(t, y)] if not np.isinf(low) or len(t) * (len(t) - 1) // 2 <= most else None
+        if inside is not None and sum(map(len, inside)) <= most:
+            return float(np.partition(np.concatenate(inside), rank)[rank])
+        if np.isinf(low):
+            low, high = min(s.min() for s in _slope_blocks(t, y)), max(s.max() for s in _slope_blocks(t, y))
+        edges = np.linspace(low, high, bins + 1)
+        count = sum(np.histogram(s, edges)[0] for s in _slope_blocks(t, y))
+        at = int(np.searchsorted(np.cumsum(count), rank, side="right"))
+        if edges[at] == low and edges[at + 1] == high:
+            return float(low)
+        # both edges stay inside; what equals the lower edge counts from this bin on, as in the histogram
+        rank -= int(count[:at].sum())
+        low, high = edges[at], edges[at + 1] if at == bins - 1 else np.nextafter(edges[at + 1], -np.inf)
+
+
 def _theil_sen(t: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Exact median slope with a 68% rank interval, in blocks so that long runs stay in memory."""
+    """Exact median slope with a 68% rank interval, in bounded memory for runs of any length."""
     n = len(t)
     total = n * (n - 1) // 2
-    if total <= 4_000_000:
-        i, j = np.triu_indices(n, 1)
-        s = np.sort((y[j] - y[i]) / (t[j] - t[i]))
-        pick = lambda q: float(s[min(total - 1, max(0, int(round(q * (total - 1)))))])
-    else:
-        def below(b: float) -> int:
-            return sum(int(np.count_nonzero((y[i + 1:] - y[i]) / (t[i + 1:] - t[i]) < b)) for i in range(n - 1))
-
-        def pick(q: float) -> float:
-            target, lo, hi = int(round(q * (total - 1))), -10.0, 10.0
-            for _ in range(64):
-                mid = 0.5 * (lo + hi)
-                lo, hi = (mid, hi) if below(mid) <= target else (lo, mid)
-            return 0.5 * (lo + hi)
+
+    def pick(q: float) -> float:
+        return _slope_at(t, y, min(total - 1, max(0, int(round(q * (total - 1))))))
 
     half = 0.9945 * np.sqrt(n * (n - 1) * (2 * n + 5) / 18.0) / max(total, 1) / 2.0
     return pick(0.5), pick(max(0.0, 0.5 - half)), pick(min(1.0, 0.5 + half))

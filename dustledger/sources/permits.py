@@ -45,8 +45,8 @@ def parse_permits(lines: DataFrame, file: str = "file", line_no: str = "line_no"
         F.regexp_extract(first, HEADER, 2).alias("date_issued"), F.regexp_extract(first, HEADER, 3).alias("apn"),
         F.when(kw != "", kw.cast("double")).alias("kw"),
         F.when(mount != "", F.regexp_replace(F.lower(mount), " ", "-")).alias("mount"),
-        F.substring(F.trim(F.coalesce(F.try_element_at("lines", F.lit(2)), F.lit(""))), 1, 160).alias("situs_raw"),
-        F.substring("blob", 1, 300).alias("description"), F.col(file).alias("source_file"))
+        F.trim(F.coalesce(F.try_element_at("lines", F.lit(2)), F.lit(""))).alias("situs_raw"),
+        F.col("blob").alias("description"), F.col(file).alias("source_file"))
 
 
 def issued_date(text):

@@ -18,7 +18,7 @@ def censored_value(text: Column) -> tuple[Column, Column]:
     s = F.trim(text)
     over = s.startswith(">")
     number = s.try_cast("double")
-    above = F.substring(s, 2, 1000).try_cast("double")
+    above = F.regexp_replace(s, "^>", "").try_cast("double")
     return F.when(over, (above + 1.0) / 2.0).otherwise(number), F.coalesce(over, F.lit(False))
 
 
@@ -43,7 +43,7 @@ def station_summary(raw: DataFrame, text: str = "value") -> DataFrame:
 def station_panel(raw: DataFrame, text: str = "value") -> DataFrame:
     """Station-years from the annual block: header row skipped, short entries and null values dropped."""
     s = station_records(raw, text)
-    rows = s.select("station_id", "r", F.explode(F.slice("r.`Annual IWSR`", 2, 1000000)).alias("e")).filter(F.size("e") >= 2)
+    rows = s.select("station_id", "r", F.posexplode("r.`Annual IWSR`").alias("_at", "e")).filter((F.col("_at") > 0) & (F.size("e") >= 2))
     at = lambda i: F.try_element_at("e", F.lit(i))
     value, censored = censored_value(at(2))
     out = rows.select(
