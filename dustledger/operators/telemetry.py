@@ -157,7 +157,7 @@ def soiling_intervals(index: DataFrame, key: str, window: int = 13, min_days: in
         "valid", F.coalesce((F.col("slope") < 0) & (F.col("n_days") >= min_days) & (err <= 5.0), F.lit(False)))
 
 
-def soiling_ratio(intervals: DataFrame, key: str, method: str = "half_norm_clean", reps: int = 200, seed: int = 1234) -> DataFrame:
+def soiling_ratio(intervals: DataFrame, key: str, method: str = "half_norm_clean", reps: int = 1000, seed: int = 1234) -> DataFrame:
     """Insolation-weighted soiling ratio with a 95% Monte Carlo interval per system.
 
     Draws walk the valid runs of a system in order inside one row (a fold over at most one array

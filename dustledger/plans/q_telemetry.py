@@ -194,7 +194,7 @@ def soiled_index(t):
 @query("e21_soiling_ratio", None)
 def _(t):
     iv = TE.soiling_intervals(soiled_index(t), "system_id")
-    out = TE.soiling_ratio(iv, "system_id", reps=20)
+    out = TE.soiling_ratio(iv, "system_id", reps=1000)
     return _round(out, "soiling_ratio", "ci_lo", "ci_hi", "loss_pct")
 
 
