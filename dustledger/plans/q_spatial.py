@@ -470,3 +470,67 @@ def _(t):
     pts = permit_points(t).withColumn("kw", F.when(F.col("pid") % 4 != 0, F.col("pid") % 90 / 10.0))
     s = seed_boxes(pts, tiles, "pid", "parcel_no", 50.0).withColumnRenamed("parcel_no", "tile_id")
     return _round(s.select("pid", "tile_id", "side_m", "nx1", "ny1", "nx2", "ny2", "in_eval_split"), "side_m", "nx1", "ny1", "nx2", "ny2")
+
+
+# ---- rings, coverage and intervals -------------------------------------------------------------------------------
+_CUT = "(p.minx - (p.minx + p.maxx) / 2e0) * (a.y - p.maxy) / ((p.miny + p.maxy) / 2e0 - p.maxy) + (p.minx + p.maxx) / 2e0"
+
+
+@query("c3_point_in_ring", ctes("arrays", "parcels", extra=f"""c as (select array_id, (minx + maxx) / 2e0 as x, (miny + maxy) / 2e0 as y from arrays),
+ hit as (select a.array_id, min(p.parcel_no) as parcel_no from c a join parcels p on a.x >= p.minx and a.x < p.maxx and a.y >= p.miny and a.y < p.maxy
+   and (a.y < (p.miny + p.maxy) / 2e0 or a.x >= {_CUT}) group by 1)""") + "select c.array_id, h.parcel_no from c left join hit h on c.array_id = h.array_id")
+def _(t):
+    """Array centres in parcels that are true polygons (a corner is cut off)."""
+    a = t.sql("arrays").withColumns({"x": (F.col("minx") + F.col("maxx")) / 2.0, "y": (F.col("miny") + F.col("maxy")) / 2.0})
+    return SP.points_in_polygons(a, with_ring(t.sql("parcels")), "array_id", "parcel_no", 50.0, ring="ring").select("array_id", "parcel_no")
+
+
+@query("b13_valid_geometry", ctes("arrays") + "select array_id, array_id % 4 = 0 as whole from arrays where array_id % 4 in (0, 3)")
+def _(t):
+    """Rings of no area, of two vertices and missing ones go; a thin but true one stays."""
+    k = F.col("array_id") % 4
+    a = with_ring(t.sql("arrays"))
+    flat = F.transform("ring", lambda p: F.struct(p["x"].alias("x"), F.lit(1.0).alias("y")))
+    ring = F.when(k == 0, F.col("ring")).when(k == 1, flat).when(k == 2, F.when(F.col("array_id") % 8 == 2, F.slice("ring", 1, 2))).otherwise(F.slice("ring", 1, 3))
+    return a.withColumn("ring", ring).filter(geo.valid_ring(F.col("ring"))).select("array_id", (k == 0).alias("whole"))
+
+
+@query("g3_covering_offsets", """with t as (select p_partkey as tile_id, 500 + p_size * 90 as w, 480 + p_size * 17 as h from part),
+ x as (select tile_id, h, unnest(list_distinct(list_append(range(0, greatest(0, w - 640) + 1, 640), greatest(0, w - 640)))) as ox from t),
+ y as (select tile_id, ox, unnest(list_distinct(list_append(range(0, greatest(0, h - 640) + 1, 640), greatest(0, h - 640)))) as oy from x)
+select tile_id, cast(ox as int) as ox, cast(oy as int) as oy from y""")
+def _(t):
+    from dustledger.operators.tiles import covering_offsets
+
+    tl = t.read("part").select(F.col("p_partkey").alias("tile_id"), (500 + F.col("p_size") * 90).alias("w"), (480 + F.col("p_size") * 17).alias("h"))
+    return covering_offsets(tl, "w", "h", 640).select("tile_id", F.col("ox").cast("int").alias("ox"), F.col("oy").cast("int").alias("oy"))
+
+
+@query("c15_unmatched_feedback", "select count(*) as n_unmatched from events where not exists (select 1 from part where p_partkey = user_id)")
+def _(t):
+    from dustledger.operators.lookup import unmatched_feedback
+
+    return unmatched_feedback(t.read("events").withColumn("array_id", F.col("user_id")), t.read("part").select(F.col("p_partkey").alias("array_id")), "array_id")
+
+
+@query("d21_recall_interval", ctes("arrays", extra=_PT + ", " + _NEAR + """, s as (select yr, count(*) as n, count(case when distance <= 15 then 1 end) as found from nd group by 1), p as (select *, found * 1e0 / n as p from s)""")
+       + f"""select yr, n, found, {m6('greatest(0e0, (p + 1.96e0 * 1.96e0 / (2e0 * n)) / (1e0 + 1.96e0 * 1.96e0 / n) - 1.96e0 * sqrt(p * (1e0 - p) / n + 1.96e0 * 1.96e0 / (4e0 * n * n)) / (1e0 + 1.96e0 * 1.96e0 / n))')} as ci_lo,
+ {m6('least(1e0, (p + 1.96e0 * 1.96e0 / (2e0 * n)) / (1e0 + 1.96e0 * 1.96e0 / n) + 1.96e0 * sqrt(p * (1e0 - p) / n + 1.96e0 * 1.96e0 / (4e0 * n * n)) / (1e0 + 1.96e0 * 1.96e0 / n))')} as ci_hi from p""")
+def _(t):
+    """Recall by permit year with its Wilson interval."""
+    from dustledger.operators.rollup import recall_interval
+
+    pts = permit_points(t)
+    near = pts.join(SP.nearest_box_distance(pts, t.sql("arrays"), "pid", 30.0), "pid")
+    per = near.groupBy("yr").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("distance") <= 15).cast("long")).alias("found"))
+    return _round(recall_interval(per), "ci_lo", "ci_hi").select("yr", "n", "found", "ci_lo", "ci_hi")
+
+
+@query("d25_drop_sparse", "select c_custkey as site_id, c_acctbal as dense, case when c_custkey % 2 = 0 then c_nationkey end as half from customer")
+def _(t):
+    """Columns below the coverage floor go: one in ten rows is not enough, one in two is."""
+    from dustledger.operators.rollup import drop_sparse
+
+    k = F.col("c_custkey")
+    f = t.read("customer").select(k.alias("site_id"), F.col("c_acctbal").alias("dense"), F.when(k % 2 == 0, F.col("c_nationkey")).alias("half"), F.when(k % 10 == 0, k).alias("rare"))
+    return drop_sparse(f, 0.3)[0]
