@@ -120,7 +120,7 @@ def monte_carlo(df: DataFrame, key: str, n_samples: int = 2000, seed: int = 42)
         F.avg(F.when(F.col("net_pro") > 0, 1.0).otherwise(0.0)).alias("_pp"),
         F.avg(F.when(pos, 1.0).otherwise(0.0)).alias("_any"))
     rinse = (F.col("_act") == "rinse_service") | ((F.col("_act") == "no_clean") & (F.col("_mr") >= F.col("_mp")))
-    agg = agg.withColumn("_s", F.array_sort(F.when(rinse, F.col("_r")).otherwise(F.col("_p"))))
+    agg = agg.withColumn("_s", F.sort_array(F.when(rinse, F.col("_r")).otherwise(F.col("_p"))))
     prob = F.when(rinse, F.col("_pr")).otherwise(F.col("_pp"))
     cols = [cents(F.element_at("_s", nearest_rank(n_samples, q) + 1)).alias(f"expected_net_usd_p{int(q * 100)}")
             for q in (0.10, 0.50, 0.90)]

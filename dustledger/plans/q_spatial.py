@@ -170,7 +170,22 @@ def _(t):
     return pairs.select(F.col("l").alias("array_id"), F.col("r").alias("parcel_no"), micro(geo.box_iou(SP.left_box(), SP.right_box())).alias("iou"))
 
 
-@query("b16_polygon_iou", None)
+# the upper edge of a pentagon rises from the middle of its left side to the middle of its top, so the overlap of two is an
+# integral over x of a function that is linear between these abscissae
+_UPPER = "least({0}.maxy, ({0}.miny + {0}.maxy) / 2e0 + (x - {0}.minx) * ({0}.maxy - {0}.miny) / ({0}.maxx - {0}.minx))"
+_BENDS = ", ".join(f"greatest(lo, least(hi, {e}))" for e in (
+    "(a.minx + a.maxx) / 2e0", "(b.minx + b.maxx) / 2e0", "case when sa <> sb then (ob - oa) / (sa - sb) end", "(b.maxy - oa) / sa", "(a.maxy - ob) / sb", "(low - oa) / sa", "(low - ob) / sb"))
+
+
+@query("b16_polygon_iou", ctes("arrays", extra=f"""c as (select a, b, greatest(a.minx, b.minx) as lo, least(a.maxx, b.maxx) as hi, greatest(a.miny, b.miny) as low,
+   (a.maxy - a.miny) / (a.maxx - a.minx) as sa, (b.maxy - b.miny) / (b.maxx - b.minx) as sb,
+   (a.miny + a.maxy) / 2e0 - a.minx * (a.maxy - a.miny) / (a.maxx - a.minx) as oa, (b.miny + b.maxy) / 2e0 - b.minx * (b.maxy - b.miny) / (b.maxx - b.minx) as ob
+   from arrays a join arrays b on a.array_id < b.array_id and a.minx <= b.maxx and b.minx <= a.maxx and a.miny <= b.maxy and b.miny <= a.maxy),
+ x as (select *, list_sort(list_distinct([lo, hi, {_BENDS}])) as xs from c),
+ f as (select *, list_transform(xs, lambda x: greatest(0e0, least({_UPPER.format('a')}, {_UPPER.format('b')}) - low)) as fs from x),
+ i as (select a, b, coalesce(list_sum(list_transform(range(1, len(xs)), lambda k: (xs[k + 1] - xs[k]) * (fs[k] + fs[k + 1]) / 2e0)), 0e0) as area from f),
+ u as (select *, 0.875e0 * (a.maxx - a.minx) * (a.maxy - a.miny) + 0.875e0 * (b.maxx - b.minx) * (b.maxy - b.miny) - area as whole from i)""")
+       + f"select a.array_id as a_id, b.array_id as b_id, {m6('area / whole')} as iou from u")
 def _(t):
     """IoU of overlapping pentagons; the candidates come from the grid join."""
     a = with_ring(t.sql("arrays"))
@@ -274,7 +289,14 @@ def _(t):
     return _round(CC.dissolved_area(m, "component"), "union_area")
 
 
-@query("d23_cluster_hulls", None)
+_SIDE = "(b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x)"
+
+
+@query("d23_cluster_hulls", _recursive(ctes("arrays", extra=_CC.format(src="arrays") + f""", m as (select a.*, c.component from arrays a join comp c on a.array_id = c.node),
+ pt as (select distinct component, p.x as x, p.y as y from (select component, unnest({RING_SQL}) as p from m)),
+ he as (select a.component, a.x as ax, a.y as ay, b.x as bx, b.y as byy from pt a join pt b on a.component = b.component and (a.x <> b.x or a.y <> b.y) join pt c on c.component = a.component
+   group by all having count(case when {_SIDE} < 0 or ({_SIDE} = 0 and ((c.x - a.x) * (b.x - a.x) + (c.y - a.y) * (b.y - a.y) < 0 or (c.x - b.x) * (a.x - b.x) + (c.y - b.y) * (a.y - b.y) < 0)) then 1 end) = 0)"""))
+       + f"select component, cast(count(*) as int) as n_vertices, {m6('abs(sum(ax * byy - bx * ay)) / 2e0')} as hull_area from he group by 1")
 def _(t):
     a = with_ring(t.sql("arrays"))
     h = CC.component_hulls(a.join(CC.proximity_clusters(a, "array_id"), "array_id"), "component")
