@@ -26,7 +26,7 @@ _CHUNK = 1 << 20
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and any(m.group().isalpha() for m in itertools.islice(_HAS_LETTER.finditer(text), 64))
+    return bool(text) and any(m.group().isalpha() for m in _HAS_LETTER.finditer(text))
 
 
 def histogram(text: str) -> np.ndarray:
@@ -109,14 +109,15 @@ def family_of(lang: str) -> str:
     return next((family for family, codes in FAMILY.items() if lang in codes), lang)
 
 
-def _sample(labelled: DataFrame, per_language: int) -> DataFrame:
+def _sample(labelled: DataFrame, sizes: DataFrame, per_language: int) -> DataFrame:
     """At most ``per_language`` texts of each language, by smallest text hash, so the choice is repeatable.
 
-    A hash threshold cuts a frequent language down before the ranks, so no task sorts all its rows.
+    A hash threshold cuts a frequent language down before the ranks, and copies of a text count once, so no task sorts all rows; ``sizes`` (lang, _n) has
+    one row per language and is broadcast, so that texts are not dealt out by language.
     """
     hashed = labelled.withColumn("_h", F.pmod(F.xxhash64("text"), F.lit(1 << 40)))
-    size = hashed.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
-    near = hashed.join(size, "lang").filter(F.col("_h") * F.col("_n") <= float(4 * per_language) * (1 << 40))
+    near = hashed.join(F.broadcast(sizes), "lang").filter(F.col("_h") * F.col("_n") <= float(4 * per_language) * (1 << 40))
+    near = near.dropDuplicates(["lang", "text"])
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("_h", "text"))
     return near.withColumn("_r", rank).filter(F.col("_r") <= per_language).select("text", "lang")
 
@@ -137,10 +138,12 @@ def fit_language_model(labelled: DataFrame, per_language: int = 800, most_langua
             slots = [np.flatnonzero(v) for v in vectors]
             yield pd.DataFrame({"lang": part["lang"], "slot": slots, "value": [v[s] for v, s in zip(vectors, slots)]})
 
-    sample = _sample(usable, per_language).mapInPandas(sparse, "lang string, slot array<int>, value array<float>")
-    languages = sorted(r[0] for r in usable.select("lang").distinct().limit(most_languages + 1).collect())
-    if len(languages) > most_languages:
+    counted = usable.groupBy("lang").count().limit(most_languages + 1).collect()
+    if len(counted) > most_languages:
         raise ValueError(f"more than {most_languages} different language labels")
+    languages = sorted(r["lang"] for r in counted)
+    sizes = spark.createDataFrame([(r["lang"], r["count"]) for r in counted], "lang string, _n long")
+    sample = _sample(usable, sizes, per_language).mapInPandas(sparse, "lang string, slot array<int>, value array<float>")
     families: dict[str, list[str]] = {}
     for lang in languages:
         families.setdefault(family_of(lang), []).append(lang)

@@ -104,6 +104,10 @@ def test_language_awkward_and_empty(spark):
     assert language.document_languages(frame(spark, [])).count() == 0
 
 
+def test_letters_may_come_late():
+    assert language.has_letter("½" * 200 + "a") and not language.has_letter("½Ⅷ² 12 _") and not language.has_letter(None)
+
+
 def test_long_text_histogram_is_the_sum_of_its_pieces():
     text = " ".join(f"word{'abcdefgh'[k % 8]}" for k in range(300_000))
     assert language.histogram(text).sum() == pytest.approx(sum(len(text) + 2 - len(re.findall(r"\d", text)) * 0 - n + 1 for n in language.ORDERS), rel=0.01)
