@@ -134,7 +134,7 @@ def document_units(docs: DataFrame) -> DataFrame:
     digest = F.md5(F.coalesce("text", F.lit("")))
     rows = docs.select(F.col("doc_id").cast("long"), digest.alias("digest"), F.col("source").cast("string"), word_count(F.col("text")).alias("tokens"))
     units = rows.groupBy("doc_id", "digest", "source").agg(F.first("tokens").alias("one"), F.count(F.lit(1)).alias("copies"))
-    key = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "digest", F.coalesce("source", F.lit("-")))
+    key = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "digest", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-")))
     return units.select(key.alias("key"), "doc_id", "digest", "source", (F.col("one") * F.col("copies")).alias("tokens"), "copies")
 
 

@@ -98,7 +98,7 @@ WITH RECURSIVE units AS (
          any_value(len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r\\f\\x0B]+'))) * count(*) AS tokens
   FROM documents GROUP BY doc_id, digest, source),
 keyed AS (
-  SELECT *, concat_ws('|', coalesce(doc_id::VARCHAR, '-'), digest, coalesce(source, '-')) AS key FROM units),
+  SELECT *, concat_ws('|', coalesce(doc_id::VARCHAR, '-'), digest, coalesce('=' || source, '-')) AS key FROM units),
 sources AS (SELECT source, sum(tokens)::DOUBLE AS tokens, count(*) AS docs FROM units GROUP BY source HAVING sum(tokens) > 0),
 whole AS (SELECT sum(tokens) AS total, list(tokens) AS each, 0.95::DOUBLE * ln(count(*)) AS target FROM sources),
 logs AS (SELECT total, target, list_transform(each, lambda t: ln(t / total)) AS l FROM whole),
