@@ -36,12 +36,15 @@ def value_table(df: DataFrame, keys: Sequence[str], value: str,
             .agg(F.count(F.lit(1)).alias("n"), *aggs))
 
 
-def cumulative(table: DataFrame, keys: Sequence[str], columns: Sequence[str] = ("n",)) -> DataFrame:
-    """Add ``<c>_below`` (sum over smaller values of the group) and ``<c>_total`` per column."""
+def cumulative(table: DataFrame, keys: Sequence[str], columns: Sequence[str] = ("n",), levels: int = 1) -> DataFrame:
+    """Add ``<c>_below`` (sum over smaller values of the group) and ``<c>_total`` per column.
+
+    There are ``levels`` slices per shuffle partition.
+    """
     group = list(keys) or ["_g"]
     cols = list(columns)
     t = table if keys else table.withColumn("_g", F.lit(0))
-    slices = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = levels * int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     t = durable(t.repartitionByRange(slices, *group, "v").withColumn("_slice", F.spark_partition_id()))
     totals = t.groupBy(*group, "_slice").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
     # one row per slice of a group here: at most ``slices`` rows per group
@@ -60,13 +63,13 @@ def cumulative(table: DataFrame, keys: Sequence[str], columns: Sequence[str] = (
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
-                    method: str = "linear") -> DataFrame:
+                    method: str = "linear", levels: int = 1) -> DataFrame:
     """Named exact quantiles per group. Methods: linear, higher, lower, ceiling_rank.
 
     ``ceiling_rank`` takes the element at index ``int(p * n)``, capped at the last one.
     """
     keys = list(keys)
-    ranked = cumulative(value_table(df, keys, value), keys)
+    ranked = cumulative(value_table(df, keys, value), keys, levels=levels)
     n, below = F.col("n_total"), F.col("n_below")
     last = below + F.col("n") - 1  # highest 0-based position holding this value
 
