@@ -6,20 +6,20 @@ from pyspark.sql import DataFrame, functions as F
 
 from dustledger.functions import geo
 from dustledger.operators.spatial import BOX, box_pairs, left_box, right_box, points_in_polygons
-from dustledger.session import durable
+from dustledger.session import durable, skew_join
 
 
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return (both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return (skew_join(both, low, ["u"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .filter("u <> v").distinct())
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     low = down.groupBy("u").agg(F.min("v").alias("m"))
-    links = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    links = skew_join(down, low, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return links.union(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 

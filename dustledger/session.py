@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -37,7 +37,7 @@ def work_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return tempfile.mkdtemp(prefix="dustledger-work-")
 
@@ -50,6 +50,16 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Equi join on non-null keys in which adaptive skew handling can split a hot key of ``left``.
+
+    Where ``right`` is an aggregate by the same keys, Spark reuses its partitioning for the join, and then
+    all rows of a key stay in one task. Keys packed into a struct make both sides be exchanged for the join alone.
+    """
+    packed = right.select(F.struct(*on).alias("_join_key"), *[c for c in right.columns if c not in on])
+    return left.withColumn("_join_key", F.struct(*on)).join(packed, "_join_key", how).drop("_join_key")
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition by ``keys`` over all shuffle partitions before rows are multiplied in place.
 
