@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from dustledger.llm.words import batches, folded, mix, shingles
 from dustledger.operators.components import connected_components
-from dustledger.session import durable
+from dustledger.session import durable, skew_join
 
 _RNG = np.random.default_rng(977)
 
@@ -173,12 +173,12 @@ def near_duplicates(
     ).select("digest", F.coalesce("least", stand_in).alias("node"), "least", "copies", "weight", "keys"))
     members = nodes.filter("weight > 0").select("node", F.explode("keys").alias("key"))
     head = members.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("tail")).filter("head < tail")
-    bucketed = durable(members.join(head, "key").select("node", "head", "key").distinct())
+    bucketed = durable(skew_join(members, head, ["key"]).select("node", "head", "key").distinct())
     candidate = durable(connected_components(bucketed.select(F.col("node").alias("u"), F.col("head").alias("v"))))
     sized = nodes.select("node", "digest", "least", "copies", (F.col("weight") + 64).alias("weight"), F.get("keys", F.lit(0)).alias("trie")).join(candidate, "node")
     load = sized.groupBy("component").agg(F.ceil(F.sum("weight") / block).alias("parts"))
     twig = sized.groupBy("component", "trie").agg(F.ceil(F.sum("weight") / block).alias("cuts"))
-    chunked = sized.join(load, "component").join(twig, ["component", "trie"]).withColumn("chunk", F.pmod(
+    chunked = skew_join(skew_join(sized, load, ["component"]), twig, ["component", "trie"]).withColumn("chunk", F.pmod(
         F.pmod(F.xxhash64("trie"), F.col("parts")) + F.pmod(F.xxhash64("node"), F.col("cuts")), F.col("parts")).cast("int"))
     chunked = durable(chunked.select("node", "digest", "least", "copies", "component", "chunk", "parts"))
     split = chunked.filter("parts > 1").select("node", "component", "chunk").distinct()

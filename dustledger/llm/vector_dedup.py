@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from dustledger.llm.ngram_join import smallest_reachable
 from dustledger.operators.components import connected_components
-from dustledger.session import durable
+from dustledger.session import durable, skew_join
 
 
 def usable(vector: Column) -> Column:
@@ -109,7 +109,7 @@ def near_vectors(
         sizes = listed.groupBy("label", "pivot").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select(
             "label", "pivot", F.ceil(F.col("size") / block).cast("int").alias("parts"))
         chunk = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-        dealt = listed.join(sizes, ["label", "pivot"]).withColumn("chunk", chunk).withColumn(
+        dealt = skew_join(listed, sizes, ["label", "pivot"]).withColumn("chunk", chunk).withColumn(
             "other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         groups = dealt.select("label", "pivot", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"),
                               "chunk", "node", "copies", "vector", "near")
