@@ -8,7 +8,7 @@ from hashlib import blake2b
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from dustledger.session import durable
+from dustledger.session import durable, skew_join
 
 WINDOW = "doc_id string, unit long, mark binary, content binary, start int, end int"
 
@@ -113,10 +113,10 @@ def drop_repeated_runs(docs: DataFrame, least_words: int = 50) -> DataFrame:
     every = durable(named.mapInPandas(windows, WINDOW).withColumn("doc_id", F.col("doc_id").cast("long")))
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "unit", F.col("start").alias("at"), F.col("end").alias("to"))
     marks = every.groupBy("mark").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low <> high").select("mark")
-    near = every.join(marks, "mark", "left_semi")
+    near = skew_join(every, marks, ["mark"], "left_semi")
     first = near.groupBy("content").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low <> high")
     same = F.col("doc_id").eqNullSafe(F.col("low.doc_id")) & (F.col("unit") == F.col("low.unit"))
-    later = near.join(first.select("content", "low"), "content").filter(~same | (F.col("start") > F.col("low.to")))
+    later = skew_join(near, first.select("content", "low"), ["content"]).filter(~same | (F.col("start") > F.col("low.to")))
     cuts = later.groupBy("doc_id", "unit").agg(F.collect_set(F.struct("start", "end")).alias("runs")).select(
         F.col("doc_id").alias("_id"), F.col("unit").alias("_unit"), "runs")
     joined = texts.join(cuts, texts["doc_id"].eqNullSafe(F.col("_id")) & (texts["unit"].eqNullSafe(F.col("_unit"))), "left")
