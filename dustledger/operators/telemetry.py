@@ -99,12 +99,13 @@ def _theil_sen(t: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     """Exact median slope with a 68% rank interval, in bounded memory for runs of any length."""
     n = len(t)
     total = n * (n - 1) // 2
-
-    def pick(q: float) -> float:
-        return _slope_at(t, y, min(total - 1, max(0, int(round(q * (total - 1))))))
-
     half = 0.9945 * np.sqrt(n * (n - 1) * (2 * n + 5) / 18.0) / max(total, 1) / 2.0
-    return pick(0.5), pick(max(0.0, 0.5 - half)), pick(min(1.0, 0.5 + half))
+    ranks = [min(total - 1, max(0, int(round(q * (total - 1))))) for q in (0.5, max(0.0, 0.5 - half), min(1.0, 0.5 + half))]
+    if total <= 1 << 20:
+        # all slopes fit at once, so the three ranks need one pass
+        slopes = np.partition(np.concatenate(list(_slope_blocks(t, y))), ranks)
+        return tuple(float(slopes[r]) for r in ranks)
+    return tuple(_slope_at(t, y, r) for r in ranks)
 
 
 def soiling_intervals(index: DataFrame, key: str, window: int = 13, min_days: int = 7) -> DataFrame:
