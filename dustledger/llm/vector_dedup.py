@@ -1,4 +1,4 @@
-"""Near-duplicate vectors through a pivot-permutation index: ordered nearest pivots, inverted lists, exact check."""
+"""Near-duplicate vectors through a pivot-permutation index: ordered nearest pivots, inverted lists, exact check; cells where vectors are dense."""
 
 from __future__ import annotations
 
@@ -34,21 +34,39 @@ def choose_pivots(nodes: DataFrame, count: int, width: int, most: int) -> np.nda
     return unit_rows(drawn["vector"]).astype(np.float32) if len(drawn) else np.zeros((0, width), np.float32)
 
 
-def permutation(vector: Column, pivots: np.ndarray, length: int, spark) -> Column:
-    """The numbers of the ``length`` pivots nearest to ``vector``, nearest first (ties by number)."""
-    shared = spark.sparkContext.broadcast(pivots)
+def thinned(pivots: np.ndarray, least_angle: float) -> np.ndarray:
+    """The numbers of pivots, each at least ``least_angle`` from the chosen ones before it; no pivot is further from all of them."""
+    free, bound, out = np.ones(len(pivots), bool), np.cos(min(least_angle, np.pi)), []
+    for k in range(len(pivots)):
+        if free[k]:
+            out.append(k)
+            free &= pivots @ pivots[k] < bound
+            free[k] = False
+    return np.array(out, np.int64)
+
+
+def permutation(vector: Column, pivots: np.ndarray, leaders: np.ndarray, length: int, spark) -> Column:
+    """Struct (near, last, home, away): the numbers of the ``length`` pivots nearest to ``vector``, nearest first (ties by number),
+    the angle of the last of them, the number of the nearest leader and its angle."""
+    shared = spark.sparkContext.broadcast((pivots, leaders))
     length = min(length, len(pivots))
 
-    def nearest(vectors: pd.Series) -> pd.Series:
-        out = []
+    def nearest(vectors: pd.Series) -> pd.DataFrame:
+        out = {"near": [], "last": [], "home": [], "away": []}
+        pivots, leaders = shared.value
         for at in range(0, len(vectors), 256):
-            near = unit_rows(vectors.iloc[at:at + 256]).astype(np.float32) @ shared.value.T
+            near = unit_rows(vectors.iloc[at:at + 256]).astype(np.float32) @ pivots.T
             top = np.argpartition(-near, length - 1, axis=1)[:, :length]
             order = np.lexsort((top, -np.take_along_axis(near, top, axis=1)), axis=1)
-            out.extend(np.take_along_axis(top, order, axis=1).astype(np.int32))
-        return pd.Series(out)
+            top = np.take_along_axis(top, order, axis=1)
+            out["near"].extend(top.astype(np.int32))
+            out["last"].extend(np.arccos(np.clip(near[np.arange(len(top)), top[:, -1]], -1, 1)).astype(float))
+            own = near[:, leaders]
+            out["home"].extend(own.argmax(axis=1).astype(np.int32))
+            out["away"].extend(np.arccos(np.clip(own.max(axis=1), -1, 1)).astype(float))
+        return pd.DataFrame(out)
 
-    return F.pandas_udf(nearest, "array<int>")(vector)
+    return F.pandas_udf(nearest, "struct<near:array<int>,last:double,home:int,away:double>")(vector)
 
 
 def _check(threshold: float, least_shared: int):
@@ -59,7 +77,7 @@ def _check(threshold: float, least_shared: int):
         if not len(left) or not len(right):
             return pd.DataFrame({"node": [], "links": [], "low": []})
         x, ids, copies = unit_rows(part["vector"]), part["node"].to_numpy(), part["copies"].to_numpy()
-        lists = np.array(part["near"].tolist())
+        lists, dense = np.array(part["near"].tolist()), part["dense"].to_numpy(bool)
         pivots, place = np.unique(lists, return_inverse=True)
         member = np.zeros((len(part), len(pivots)), np.float32)
         member[np.repeat(np.arange(len(part)), lists.shape[1]), place.ravel()] = 1
@@ -67,6 +85,7 @@ def _check(threshold: float, least_shared: int):
         hit = (x[left] @ x[right].T >= threshold) & (member[left] @ member[right].T >= least_shared)
         # a pair meets in every list that it shares; the list of its smallest shared pivot counts it
         hit &= (earlier[left] @ earlier[right].T == 0) & (ids[left][:, None] != ids[right][None, :])
+        hit &= ~(dense[left][:, None] & dense[right][None, :])  # compared in their cells
         linked = np.zeros((len(part), len(part)), bool)
         linked[np.ix_(left, right)] = hit
         linked[np.ix_(right, left)] |= hit.T
@@ -77,6 +96,70 @@ def _check(threshold: float, least_shared: int):
     return check
 
 
+def _compare(threshold: float):
+    """All pairs between two chunks of cells (or inside one), as (node, links counted with copies, smallest linked id)."""
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("node", kind="stable")
+        place = part[["home", "chunk"]].to_numpy()
+        left = np.flatnonzero((place == part[["cell", "one"]].to_numpy()[0]).all(axis=1))
+        right = np.flatnonzero((place == part[["other", "two"]].to_numpy()[0]).all(axis=1))
+        if not len(left) or not len(right):
+            return pd.DataFrame({"node": [], "links": [], "low": []})
+        x, ids, copies = unit_rows(part["vector"]), part["node"].to_numpy(), part["copies"].to_numpy()
+        hit = (x[left] @ x[right].T >= threshold) & (ids[left][:, None] != ids[right][None, :])
+        links, low = np.zeros(len(part), np.int64), ids.copy()
+        links[left] = hit @ copies[right]
+        links[right] = hit.T @ copies[left]
+        last, most = None, np.iinfo(np.int64).max
+        while last is None or (last != low).any():
+            last = low.copy()
+            low[left] = np.minimum(low[left], np.where(hit, low[right][None, :], most).min(axis=1))
+            low[right] = np.minimum(low[right], np.where(hit, low[left][:, None], most).min(axis=0))
+        return pd.DataFrame({"node": ids, "links": links, "low": low})[links > 0]
+
+    return compare
+
+
+def dense_links(dense: DataFrame, leaders: np.ndarray, threshold: float, width: int) -> DataFrame:
+    """(node, links, low) of all pairs of ``dense`` with a cosine of at least ``threshold``, exactly.
+
+    Every vector stands in the cell of its nearest leader. Two cells of a label can hold a link only if their leaders are no further
+    apart than both radii and the link's angle, so all other pairs of cells are left out. Cells are cut into chunks.
+    """
+    spark, slack = dense.sparkSession, 2e-3
+    block = int(max(64, min(2048, 2**22 // max(width, 1))))
+    cells = durable(dense.groupBy("label", "home").agg(F.count(F.lit(1)).alias("size"), F.max("away").alias("radius")).select(
+        "label", "home", "radius", F.ceil(F.col("size") / block).cast("int").alias("parts")))
+    reach = np.full(len(leaders), -np.inf)
+    for row in cells.groupBy("home").agg(F.max("radius").alias("radius")).toLocalIterator():
+        reach[row["home"]] = row["radius"]
+    shared = spark.sparkContext.broadcast((leaders, reach))
+    angle = float(np.arccos(np.clip(threshold, -1, 1)))
+
+    def others(homes: pd.Series) -> pd.Series:
+        leaders, reach = shared.value
+        out = []
+        for home in homes:
+            apart = np.arccos(np.clip(leaders @ leaders[home], -1, 1))
+            near = apart <= reach[home] + reach + angle + slack
+            near[home] = True
+            out.append(np.flatnonzero(near[home:]).astype(np.int32) + np.int32(home))
+        return pd.Series(out)
+
+    met = cells.select("label", F.col("home").alias("cell"), F.col("parts").alias("cuts"), F.explode(F.pandas_udf(others, "array<int>")("home")).alias("other"))
+    met = met.join(cells.select("label", F.col("home").alias("other"), "parts"), ["label", "other"])
+    met = met.withColumn("one", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).withColumn(
+        "two", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).filter("cell < other or one <= two").select("label", "cell", "one", "other", "two")
+    met = durable(met)
+    visits = met.select("*", F.col("cell").alias("home"), F.col("one").alias("chunk")).union(
+        met.filter("cell < other or one < two").select("*", F.col("other").alias("home"), F.col("two").alias("chunk")))
+    chunk = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    placed = skew_join(dense, cells.select("label", "home", "parts"), ["label", "home"]).withColumn("chunk", chunk)
+    groups = placed.select("label", "home", "chunk", "node", "copies", "vector").join(visits, ["label", "home", "chunk"])
+    return groups.groupBy("label", "cell", "one", "other", "two").applyInPandas(_compare(threshold), "node long, links long, low long")
+
+
 def near_vectors(
     rows: DataFrame, threshold: float = 0.98, length: int = 8, least_shared: int = 2, most_pivots: int = 65536, block: int = 256,
 ) -> DataFrame:
@@ -89,6 +172,11 @@ def near_vectors(
     pair of chunks is one group, so neither a hot label nor a hot pivot makes one task long. Groups return counts and the
     smallest linked vector, not pairs. No list is capped.
 
+    In a dense group of vectors that are near but not equal the nearest pivots of each are its own, and links would share none. With t
+    the angle of a link, a vector whose last listed pivot is within 2 t is crowded and one within 3 t is dense, so everything that links
+    with a crowded vector is dense. All pairs of dense vectors are compared in cells (``dense_links``), whatever pivots they
+    share; the lists hold the vectors that are not crowded, for the other pairs.
+
     Equal vectors of a label are one node. Vectors that are null, empty, zero or hold null or non-finite components, and vectors
     without label, link with nothing: component_id is their own id and they are kept. Rows without vec_id take part through a
     negative stand-in id, repeated rows are copies of each other. Further columns are ignored.
@@ -104,15 +192,21 @@ def near_vectors(
     for width, count in nodes.groupBy("width").count().orderBy("width").collect():
         own = nodes.filter(F.col("width") == width)
         pivots = choose_pivots(own, count, width, most_pivots)
-        described = durable(own.withColumn("near", permutation(F.col("vector"), pivots, length, spark)))
-        listed = described.withColumn("pivot", F.explode("near"))
+        angle = math.acos(max(-1.0, min(1.0, threshold)))
+        # leaders further apart than a dense vector's pivots, so that a dense group has few of them
+        leaders = thinned(pivots, 4 * angle)
+        told_of = permutation(F.col("vector"), pivots, leaders, length, spark)
+        described = durable(own.withColumn("place", told_of).select("*", "place.*").drop("place").withColumns(
+            {"crowded": F.col("last") <= 2 * angle, "dense": F.col("last") <= 3 * angle + 2e-3}))
+        found.append(dense_links(described.filter("dense"), pivots[leaders].astype(float), threshold, width))
+        listed = described.filter(~F.col("crowded")).withColumn("pivot", F.explode("near"))
         sizes = listed.groupBy("label", "pivot").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select(
             "label", "pivot", F.ceil(F.col("size") / block).cast("int").alias("parts"))
         chunk = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
         dealt = skew_join(listed, sizes, ["label", "pivot"]).withColumn("chunk", chunk).withColumn(
             "other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         groups = dealt.select("label", "pivot", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"),
-                              "chunk", "node", "copies", "vector", "near")
+                              "chunk", "node", "copies", "vector", "near", "dense")
         found.append(groups.groupBy("label", "pivot", "one", "two").applyInPandas(
             _check(threshold, min(least_shared, length, len(pivots))), "node long, links long, low long"))
     links = found[0]

@@ -118,6 +118,22 @@ def test_vectors_equal_brute_force(spark):
     assert np.mean([got[k]["component_id"] == comp[k] for k in range(900)]) > 0.99
 
 
+def test_near_vectors_in_a_dense_third_of_the_rows(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 64))
+    x[:1000] = rng.normal(size=64) + rng.normal(size=(1000, 64)) * 0.09
+    x[1000:1300] = rng.normal(size=64) + rng.normal(size=(300, 64)) * 0.145
+    x = x.astype(np.float32)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    hit = unit @ unit.T >= 0.98
+    np.fill_diagonal(hit, False)
+    assert hit[:1000, :1000].mean() > 0.99 and 0.05 < hit[1000:1300, 1000:1300].mean() < 0.95
+    got = {r["vec_id"]: r for r in vector_dedup.near_vectors(vectors(spark, [(k, v.tolist(), 1, 0, "n", 0, 0) for k, v in enumerate(x)])).collect()}
+    assert [got[k]["n_links"] for k in range(3000)] == hit.sum(1).tolist()
+    comp = components(range(3000), zip(*np.nonzero(hit)))
+    assert all(got[k]["component_id"] == comp[k] for k in range(3000))
+
+
 def test_vectors_awkward_and_empty(spark):
     v, far = [1.0, 2.0, 0.5], [-1.0, 0.3, 4.0]
     rows = [(1, v, 1), (2, v, 1), (2, v, 1), (3, v, 2), (4, v, None), (5, None, 1), (6, [0.0, 0.0, 0.0], 1), (7, [1.0, None, 2.0], 1), (8, [math.nan, 1.0, 1.0], 1),
