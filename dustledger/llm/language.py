@@ -113,7 +113,7 @@ def _sample(labelled: DataFrame, sizes: DataFrame, per_language: int) -> DataFra
     """At most ``per_language`` texts of each language, by smallest text hash, so the choice is repeatable.
 
     A hash threshold cuts a frequent language down before the ranks, and copies of a text count once, so no task sorts all rows; ``sizes`` (lang, _n) has
-    one row per language and is broadcast, so that texts are not dealt out by language.
+    one row per language, its number of different texts, and is broadcast, so that texts are not dealt out by language.
     """
     hashed = labelled.withColumn("_h", F.pmod(F.xxhash64("text"), F.lit(1 << 40)))
     near = hashed.join(F.broadcast(sizes), "lang").filter(F.col("_h") * F.col("_n") <= float(4 * per_language) * (1 << 40))
@@ -138,7 +138,9 @@ def fit_language_model(labelled: DataFrame, per_language: int = 800, most_langua
             slots = [np.flatnonzero(v) for v in vectors]
             yield pd.DataFrame({"lang": part["lang"], "slot": slots, "value": [v[s] for v, s in zip(vectors, slots)]})
 
-    counted = usable.groupBy("lang").count().limit(most_languages + 1).collect()
+    # different texts: with copies counted, the threshold would leave a language of many copies too few of its texts, or none
+    texts = usable.select("lang", F.xxhash64("text").alias("_h")).distinct()
+    counted = texts.groupBy("lang").count().limit(most_languages + 1).collect()
     if len(counted) > most_languages:
         raise ValueError(f"more than {most_languages} different language labels")
     languages = sorted(r["lang"] for r in counted)

@@ -85,6 +85,26 @@ def test_languages_on_held_out_documents(spark):
     assert {got[i]["family"] for i, _, lang, _ in rows if lang == got[i]["lang_pred"] == "en"} == {"germanic"}
 
 
+def test_language_of_many_copies_keeps_its_other_texts(spark):
+    rng = random.Random(6)
+    stems = {"en": ("the", "and", "with"), "sv": ("och", "att", "som"), "zz": ("qox", "xuq", "vzv")}
+    texts = {lang: [" ".join(rng.choice(own) + rng.choice(("a", "e", "o")) for _ in range(20)) for _ in range(40)] for lang, own in stems.items()}
+    rows = [(text, lang) for lang, own in texts.items() for text in own + own[:1] * 3960]
+    counted = {}
+    real = language._sample
+
+    def sample(labelled, sizes, per_language):
+        out = real(labelled, sizes, per_language)
+        counted.update({r["lang"]: r["count"] for r in out.groupBy("lang").count().collect()})
+        return out
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(language, "_sample", sample)
+        model = language.fit_language_model(spark.createDataFrame(rows, "text string, lang string"), per_language=8)
+    assert counted == {"en": 8, "sv": 8, "zz": 8}
+    assert all(model.predict(text)[0] == lang for lang, own in texts.items() for text in own)
+
+
 def test_language_votes_are_one_versus_one():
     weight = {("a", "b"): np.r_[np.zeros(language.DIMENSION), 1.0], ("a", "c"): np.r_[np.zeros(language.DIMENSION), -0.5], ("b", "c"): np.r_[np.zeros(language.DIMENSION), -2.0]}
     name, score, family = language.LanguageModel({"f": ["a", "b", "c"]}, weight).predict("text")
