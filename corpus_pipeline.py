@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dustledger.llm import decontaminate, language, mixing, ngram_join, sharding
-from dustledger.session import work_folder
+from dustledger.session import durable, work_folder
 
 #: Documents below this language score are rejected: two coin tosses, one per level, score 0.25.
 LEAST_SCORE = 0.3
@@ -28,10 +28,28 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id; rows without id stay."""
-    kept = ngram_join.near_duplicates(docs).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.filter("doc_id is not null").join(kept, docs["doc_id"] == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null"))
+    """One document of each group of near duplicates: the one with the smallest id that stands for one text only.
+
+    Rows without id take part, and so do the texts of an id that stands for several; they are told apart by their text and
+    kept if their group has no other row. Null texts are no duplicates: one row per id stays, and each without id.
+    """
+    texts = docs.filter("text is not null").withColumn("_digest", F.md5("text"))
+    several = durable(texts.filter("doc_id is not null").groupBy("doc_id").agg(F.min("_digest").alias("a"), F.max("_digest").alias("b"))
+                      .filter("a < b").select(F.col("doc_id").alias("_several")))
+    named = F.col("doc_id").isNotNull()
+    if not several.isEmpty():
+        texts = texts.join(several, texts["doc_id"] == F.col("_several"), "left")
+        named = named & F.col("_several").isNull()
+    # the stand-in id of near_duplicates for texts without id
+    stand_in = -F.pmod(F.xxhash64("_digest"), F.lit(1 << 62)) - 1
+    texts = texts.withColumn("_named", named).withColumn("_key", F.when(F.col("_named"), F.col("doc_id")).otherwise(stand_in))
+    told_apart = texts.filter(~F.col("_named")).select(F.lit(None).cast("long").alias("doc_id"), "text", "_digest").dropDuplicates(["_digest"])
+    fed = texts.filter("_named").select("doc_id", "text").unionByName(told_apart.select("doc_id", "text"))
+    kept = ngram_join.near_duplicates(fed).groupBy("component_id").agg(F.min("doc_id").alias("id"), F.min("class_id").alias("class"))
+    kept = kept.select(F.col("id").isNotNull().alias("_own"), F.coalesce("id", "class").alias("_kept"))
+    one = texts.join(kept, (F.col("_key") == F.col("_kept")) & (F.col("_named") == F.col("_own")), "left_semi").dropDuplicates(["_named", "_key"])
+    silent = docs.filter("text is null")
+    return one.select(docs.columns).unionByName(silent.filter("doc_id is not null").dropDuplicates(["doc_id"])).unionByName(silent.filter("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import collections
 import os
+import random
 
 import pytest
 
 import corpus_pipeline
 from dustledger.llm import ngram_join
-from llm_cases import SF, awkward_rows, folded_words, frame
+from llm_cases import SF, awkward_rows, folded_words, frame, sentence
 from test_llm_dedup import components, naive_links
 from test_llm_filters import naive_hits
 
@@ -49,6 +50,18 @@ def test_every_stage_works_on_all_its_predecessor_kept(spark, tmp_path):
     assert sorted(map(tuple, final.collect()), key=str) == sorted(map(tuple, dealt), key=str)
 
 
+def test_repeated_and_missing_ids_lose_copies_only(spark):
+    rng = random.Random(8)
+    a, b, c, d, e = (sentence(rng, 60) for _ in range(5))
+    rows = [(1, a, "en", "a"), (1, b, "en", "a"), (2, b + " tail", "en", "a"), (3, c, "en", "a"), (3, c, "en", "a"), (None, c + " tail", "en", "a"),
+            (None, d, "en", "a"), (None, d, "en", "a"), (None, d + " tail", "en", "a"), (4, e, "en", "a"), (5, e, "en", "a"), (6, None, "en", "a"), (None, None, "en", "a")]
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.keep_one_of_each_group(spark, frame(spark, rows), "").collect()]
+    loose = [text for i, text in got if i is None and text is not None]
+    assert len(loose) == 1 and loose[0] in (d, d + " tail")
+    named = [x for x in got if x != (None, loose[0])]
+    assert sorted(named, key=str) == sorted([(1, a), (2, b + " tail"), (3, c), (4, e), (6, None), (None, None)], key=str)
+
+
 def test_stages_take_awkward_and_empty_documents(spark, tmp_path):
     spark.createDataFrame([(1, "short")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     for label, rows in (("awkward", awkward_rows()), ("empty", [])):
