@@ -64,7 +64,7 @@ def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
     ``outcomes`` has host and is_good (boolean; null rows teach nothing). Counts are shrunk downwards: the suffix towards all
     outcomes, the registered domain towards its suffix, the host towards its domain. A level with mean p of its parent and
     strength m gives a beta posterior with m p + good and m (1 - p) + n - good. ``low`` and ``high`` are mean -/+ z standard deviations of
-    the posterior. A host of the outcomes' suffix without own outcomes takes its parents' posterior (see ``page_verdicts``).
+    the posterior. Hosts without own outcomes have no row; ``page_verdicts`` allows their pages.
     """
     host = outcomes.filter("is_good is not null").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("is_good").cast("long")).alias("good"))
     host = durable(host.withColumns({"domain": registered_domain(F.col("host")), "suffix": suffix_of(F.col("host"))}))
