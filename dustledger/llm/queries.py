@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 from dustledger.llm import (
-    decontaminate, language, line_dedup, mixing, ngram_join, quality, secret_scan, sharding, url_reputation, vector_dedup,
+    decontaminate, language, line_dedup, mixing, ngram_join, piece_codec, quality, secret_scan, sharding, url_reputation, vector_dedup,
 )
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -184,6 +184,17 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", "n_words", "n_hit", "n_items", _id_digest(F.col("items")).alias("items_sha256"), "contaminated")
 
 
+@_query("op13_piece_backtracking")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    codec = piece_codec.SharedCodec(spark, public_tokenizers.path("piece_bpe_32k.model"))
+    coded = _table(spark, sf_dir, "documents").select("doc_id", codec.encode(F.col("text")).alias("ids"))
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"),
+                        F.sha2(codec.decode(F.col("ids")), 256).alias("decoded_sha256"))
+
+
 LLM_QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     LLM_ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
