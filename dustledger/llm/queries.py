@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 from dustledger.llm import (
-    decontaminate, language, line_dedup, mixing, ngram_join, piece_codec, quality, secret_scan, sharding, url_reputation, vector_dedup,
+    decontaminate, language, lexical_search, line_dedup, mixing, ngram_join, piece_codec, quality, secret_scan, sharding, url_reputation,
+    vector_dedup,
 )
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -184,6 +185,30 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", "n_words", "n_hit", "n_items", _id_digest(F.col("items")).alias("items_sha256"), "contaminated")
 
 
+@_query("op12_presence_mask_search", r"""
+WITH words AS (
+  SELECT rid, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS rid, doc_id, text FROM documents WHERE text IS NOT NULL) d),
+counted AS (SELECT rid, doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+sized AS (SELECT rid, sum(tf)::BIGINT AS n FROM counted GROUP BY rid),
+whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM sized),
+items AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+wanted AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM counted WHERE term IN (SELECT term FROM items) GROUP BY term) t, whole),
+worth AS (
+  SELECT c.rid, c.doc_id, c.term, q.w * ((1000000000 * c.tf) // (1000 * c.tf + 20 * (50 + (50 * s.n * whole.docs) // whole.total))) AS part
+  FROM counted c JOIN wanted q ON c.term = q.term JOIN sized s ON c.rid = s.rid, whole),
+scored AS (SELECT i.item_id, w.rid, w.doc_id, sum(w.part)::BIGINT AS score FROM items i JOIN worth w ON i.term = w.term GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id ASC NULLS LAST) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 50""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), top=50)
+
+
 @_query("op13_piece_backtracking")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
