@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 from dustledger.llm import (
-    decontaminate, language, lexical_search, line_dedup, mixing, ngram_join, piece_codec, quality, secret_scan, sharding, url_reputation,
+    decontaminate, language, lexical_search, line_dedup, merkle, mixing, ngram_join, piece_codec, quality, secret_scan, sharding, url_reputation,
     vector_dedup,
 )
 
@@ -185,6 +185,53 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", "n_words", "n_hit", "n_items", _id_digest(F.col("items")).alias("items_sha256"), "contaminated")
 
 
+@_query("op11_content_addressed_descent", r"""
+WITH RECURSIVE shown AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || source, '-') AS grp, text,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+         CASE WHEN list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+                               lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, (a & 1) * 3988292384) END) % 2 = 1
+              THEN replace(text, chr(10), '') ELSE text END AS altered FROM documents),
+hashed AS (
+  SELECT rid, doc_id, grp, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(strlen(altered) || ':' || altered, '-')) AS altered_leaf FROM shown),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id ASC NULLS FIRST, leaf) - 1 AS rank, count(*) OVER (PARTITION BY grp) AS n FROM hashed),
+tree(grp, lvl, idx, n, digest) AS (
+  SELECT grp, 0, rank, n, leaf FROM leaves UNION ALL
+  SELECT grp, lvl + 1, idx // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY idx)) FROM tree WHERE n > 1 GROUP BY grp, lvl, idx // 3, n),
+sources AS (SELECT grp, digest AS subroot, row_number() OVER (ORDER BY grp) - 1 AS rank, count(*) OVER () AS n FROM tree WHERE n = 1),
+upper_tree(lvl, idx, n, digest) AS (
+  SELECT 0, rank, n, subroot FROM sources UNION ALL
+  SELECT lvl + 1, idx // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY idx)) FROM upper_tree WHERE n > 1 GROUP BY lvl, idx // 3, n),
+places AS (
+  SELECT l.rid, t.lvl, t.idx, l.rank // (3 ** t.lvl)::BIGINT AS own, t.digest
+  FROM leaves l JOIN tree t ON l.grp = t.grp AND t.n > 1 AND t.idx // 3 = l.rank // (3 ** (t.lvl + 1))::BIGINT
+  UNION ALL
+  SELECT l.rid, 100 + t.lvl, t.idx, s.rank // (3 ** t.lvl)::BIGINT, t.digest
+  FROM leaves l JOIN sources s ON l.grp = s.grp JOIN upper_tree t ON t.n > 1 AND t.idx // 3 = s.rank // (3 ** (t.lvl + 1))::BIGINT),
+steps AS (
+  SELECT rid, row_number() OVER (PARTITION BY rid ORDER BY lvl) AS k, lhs, rhs
+  FROM (SELECT rid, lvl, coalesce(string_agg(digest, '' ORDER BY idx) FILTER (WHERE idx < own), '') AS lhs,
+               coalesce(string_agg(digest, '' ORDER BY idx) FILTER (WHERE idx > own), '') AS rhs FROM places GROUP BY rid, lvl) p),
+folded(rid, k, digest) AS (
+  SELECT rid, 0::BIGINT, altered_leaf FROM leaves UNION ALL
+  SELECT f.rid, s.k, sha256(s.lhs || f.digest || s.rhs) FROM folded f JOIN steps s ON f.rid = s.rid AND s.k = f.k + 1),
+proofs AS (SELECT rid, sha256(string_agg(lhs || rhs, '' ORDER BY k)) AS proof FROM steps GROUP BY rid),
+ends AS (SELECT rid, arg_max(digest, k) AS digest FROM folded GROUP BY rid)
+SELECT l.doc_id, l.leaf, s.subroot, r.digest AS root, coalesce(p.proof, sha256('')) AS proof_sha256, e.digest AS folded_root, e.digest = r.digest AS verified
+FROM leaves l JOIN sources s ON l.grp = s.grp JOIN ends e ON l.rid = e.rid LEFT JOIN proofs p ON l.rid = p.rid, (SELECT digest FROM upper_tree WHERE n = 1) r""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    chosen = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    altered = F.when(chosen, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    told = merkle.manifest_proofs(docs, altered)
+    proven = told.select("doc_id", "leaf", "subroot", "root", merkle.path_digest(F.col("path")).alias("proof_sha256"),
+                         merkle.fold(F.col("altered_leaf"), F.col("path")).alias("folded_root"))
+    return proven.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 @_query("op12_presence_mask_search", r"""
 WITH words AS (
   SELECT rid, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
