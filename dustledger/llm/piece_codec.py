@@ -21,7 +21,9 @@ from pyspark.sql import Column, SparkSession, functions as F
 
 SPACE = "▁"
 #: Words up to this length are remembered per worker, at most twice this many of them, and this many pairs of pieces.
-REMEMBERED_LENGTH, REMEMBERED = 48, 300_000
+REMEMBERED_LENGTH, REMEMBERED = 48, 250_000
+#: Texts that a worker encodes before it hands their ids on.
+AT_ONCE = 500
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 #: Stands for a control id, which ends a run of bytes; no text holds a lone high surrogate.
 _CUT = "\ud800"
@@ -250,25 +252,43 @@ class SharedCodec:
 
         def encoded(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             codec = _codec(key, table.value)
-            for part in parts:
+            for part in _slices(parts):
                 yield pd.Series([codec.encode(t) for t in part])
 
         return F.pandas_udf(_hinted(encoded), "array<int>")(text)
 
+    def round_trip(self, text: Column) -> Column:
+        """struct<ids, text>: the ids of ``encode`` and what ``decode`` makes of them, in one pass of one worker."""
+        key, table = self.key, self.table
+
+        def both(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            codec = _codec(key, table.value)
+            for part in _slices(parts):
+                ids = [codec.encode(t) for t in part]
+                yield pd.DataFrame({"ids": ids, "text": pd.Series([codec.decode(one) for one in ids], dtype=object)})
+
+        return F.pandas_udf(_hinted(both, pd.DataFrame), "ids array<int>, text string")(text)
+
     def decode(self, ids: Column) -> Column:
         """The text of an array of ids, whether it came from ``encode`` or not; a null array gives an empty text."""
         key, table = self.key, self.table
 
         def decoded(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             codec = _codec(key, table.value)
-            for part in parts:
+            for part in _slices(parts):
                 yield pd.Series(["" if one is None else codec.decode(np.asarray(one, np.int64)) for one in part], dtype=object)
 
         return F.pandas_udf(_hinted(decoded), "string")(ids)
 
 
-def _hinted(fn):
-    fn.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+def _slices(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for part in parts:
+        for at in range(0, len(part), AT_ONCE):
+            yield part.iloc[at:at + AT_ONCE]
+
+
+def _hinted(fn, kind=pd.Series):
+    fn.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[kind]}
     return fn
 
 

@@ -261,10 +261,10 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     codec = piece_codec.SharedCodec(spark, public_tokenizers.path("piece_bpe_32k.model"))
-    coded = _table(spark, sf_dir, "documents").select("doc_id", codec.encode(F.col("text")).alias("ids"))
-    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"),
-                        F.sha2(codec.decode(F.col("ids")), 256).alias("decoded_sha256"))
+    coded = _table(spark, sf_dir, "documents").select("doc_id", codec.round_trip(F.col("text")).alias("coded"))
+    listed = F.array_join(F.col("coded.ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("coded.ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"),
+                        F.sha2("coded.text", 256).alias("decoded_sha256"))
 
 
 LLM_QUERIES["pipeline"] = corpus_pipeline.run

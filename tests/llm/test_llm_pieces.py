@@ -108,7 +108,8 @@ def test_query_on_awkward_rows_and_documents(spark, library, tmp_path):
 def test_columns_keep_nulls_apart(spark):
     shared = piece_codec.SharedCodec(spark, MODEL)
     rows = spark.createDataFrame([(1, None), (2, ""), (3, " a")], "k int, text string")
-    got = {r["k"]: r for r in rows.select("k", shared.encode(F.col("text")).alias("ids")).withColumn("back", shared.decode(F.col("ids"))).collect()}
+    got = {r["k"]: r for r in rows.select("k", shared.encode(F.col("text")).alias("ids"), shared.round_trip(F.col("text")).alias("both")).withColumn("back", shared.decode(F.col("ids"))).collect()}
+    assert all(list(r["both"]["ids"]) == list(r["ids"]) and r["both"]["text"] == r["back"] for r in got.values())
     assert got[1]["ids"] == [] and got[2]["ids"] == [] and got[3]["back"] == " a"
     empty = spark.createDataFrame([(1, None)], "k int, ids array<int>")
     assert empty.select(shared.decode(F.col("ids")).alias("t")).collect()[0]["t"] == ""
