@@ -167,7 +167,7 @@ def transform_ring(ring: Column, fn) -> Column:
     return F.transform(ring, point)
 
 
-# ---- hull and convex clip: per-row helpers in Arrow batches ---------------------------------------------
+# ---- hull: a per-row helper in Arrow batches -----------------------------------------------------------------
 def _hull(points) -> list[tuple[float, float]]:
     pts = sorted({(p["x"], p["y"]) for p in points})
     if len(pts) < 3:
@@ -190,56 +190,6 @@ def convex_hull(rings: pd.Series) -> pd.Series:
     return rings.map(lambda r: None if r is None else [{"x": float(x), "y": float(y)} for x, y in _hull(r)])
 
 
-def _area(poly) -> float:
-    return 0.5 * abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(poly, poly[1:] + poly[:1])))
-
-
-def _clip(subject, clip):
-    """Intersection of a polygon with a convex counter-clockwise clip polygon."""
-    for a, b in zip(clip, clip[1:] + clip[:1]):
-        side = lambda p: (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])  # noqa: E731,B023
-        out = []
-        for p, q in zip(subject, subject[1:] + subject[:1]):
-            sp, sq = side(p), side(q)
-            if sp >= 0:
-                out.append(p)
-            if (sp > 0 > sq) or (sp < 0 < sq):
-                t = sp / (sp - sq)
-                out.append((p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])))
-        subject = out
-        if not subject:
-            return []
-    return subject
-
-
-def _ccw(ring):
-    pts = [(p["x"], p["y"]) for p in ring]
-    turn = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(pts, pts[1:] + pts[:1]))
-    return pts if turn >= 0 else pts[::-1]
-
-
-@F.pandas_udf(DoubleType())
-def convex_intersection_area(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Area shared by two convex rings."""
-    return pd.Series([_area(_clip(_ccw(p), _ccw(q))) if len(p) > 2 and len(q) > 2 else 0.0 for p, q in zip(a, b)])
-
-
-@F.pandas_udf(RING)
-def clip_to_box(rings: pd.Series, x1: pd.Series, y1: pd.Series, x2: pd.Series, y2: pd.Series) -> pd.Series:
-    """True intersection of a ring with an axis-aligned rectangle."""
-    out = []
-    for ring, a, b, c, d in zip(rings, x1, y1, x2, y2):
-        pts = _clip(_ccw(ring), [(a, b), (c, b), (c, d), (a, d)])
-        out.append([{"x": float(x), "y": float(y)} for x, y in pts])
-    return pd.Series(out)
-
-
-def polygon_iou(ring_a: Column, ring_b: Column) -> Column:
-    inter = convex_intersection_area(ring_a, ring_b)
-    union = ring_area(ring_a) + ring_area(ring_b) - inter
-    return F.when(union > 0, inter / union).otherwise(F.lit(0.0))
-
-
 # ---- coordinate systems ---------------------------------------------------------------------------------------
 def to_web_mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
     return (F.radians(lon) * K.WEB_MERCATOR_RADIUS_M,

@@ -105,7 +105,19 @@ def carry_identity(previous: DataFrame, current: DataFrame, prev_id: str, curr_i
     all, which counts only if within ``max_shift`` and still free; the nearest claimant wins.
     """
     cand = box_pairs(current, previous, curr_id, prev_id, cell)
-    live = durable(cand.select("l", "r", geo.box_iou(left_box(), right_box()).alias("iou")).filter(F.col("iou") >= min_iou))
+
+    def centre(df: DataFrame, name: str) -> DataFrame:
+        return df.select(F.col(name), ((F.col("minx") + F.col("maxx")) / 2.0).alias("x"), ((F.col("miny") + F.col("maxy")) / 2.0).alias("y"))
+
+    rated = cand.select("l", "r", geo.box_iou(left_box(), right_box()).alias("iou"))
+    return settle_identity(rated, centre(previous, prev_id), centre(current, curr_id), prev_id, curr_id, cell, min_iou, max_shift)
+
+
+def settle_identity(rated: DataFrame, previous: DataFrame, current: DataFrame, prev_id: str, curr_id: str, cell: float,
+                    min_iou: float, max_shift: float) -> DataFrame:
+    """The work of ``carry_identity`` on rated pairs (l current, r previous, iou) and on centres (id, x, y)."""
+    live = durable(rated.filter(F.col("iou") >= min_iou))
+    empty = live.select("l", "r").limit(0)
     settled: DataFrame | None = None
     while live.take(1):
         key = F.struct((-F.col("iou")).alias("k"), "l", "r")
@@ -114,14 +126,9 @@ def carry_identity(previous: DataFrame, current: DataFrame, prev_id: str, curr_i
         won = durable(a.join(b, ["k", "l", "r"], "left_semi").select("l", "r"))
         settled = won if settled is None else settled.unionByName(won)
         live = durable(live.join(won.select("l"), "l", "left_anti").join(won.select("r"), "r", "left_anti"))
-    empty = cand.select("l", "r").limit(0)
     settled = empty if settled is None else settled
-
-    def centre(df: DataFrame, name: str) -> DataFrame:
-        return df.select(F.col(name), ((F.col("minx") + F.col("maxx")) / 2.0).alias("x"), ((F.col("miny") + F.col("maxy")) / 2.0).alias("y"))
-
-    rest = centre(current, curr_id).withColumnRenamed(curr_id, "l").join(settled, "l", "left_anti")
-    prev = centre(previous, prev_id).select(F.col(prev_id).alias("r"), F.col("x").alias("px"), F.col("y").alias("py"))
+    rest = current.withColumnRenamed(curr_id, "l").join(settled, "l", "left_anti")
+    prev = previous.select(F.col(prev_id).alias("r"), F.col("x").alias("px"), F.col("y").alias("py"))
     near = box_pairs(rest.select("l", F.col("x").alias("minx"), F.col("y").alias("miny"), F.col("x").alias("maxx"), F.col("y").alias("maxy")),
                      prev.select("r", F.col("px").alias("minx"), F.col("py").alias("miny"), F.col("px").alias("maxx"), F.col("py").alias("maxy")),
                      "l", "r", cell, max_shift)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from dustledger import constants as K
-from dustledger.functions import geo
+from dustledger.functions import geo, overlay
 from dustledger.operators.spatial import BOX, box_pairs, points_in_polygons
 
 
@@ -52,7 +52,7 @@ def clip_to_chips(polygons: DataFrame, chips: DataFrame, poly_id: str, chip_id:
                   min_m2: float, cell: float = 50.0) -> DataFrame:
     """True intersections with the chip rectangle that keep enough of the polygon."""
     j = _pairs(polygons, chips, poly_id, chip_id, cell)
-    j = j.withColumn("clipped", geo.clip_to_box("ring", *[f"chip_{c}" for c in BOX]))
+    j = j.withColumn("clipped", overlay.clip_to_box(F.col("ring"), *[F.col(f"chip_{c}") for c in BOX]))
     j = j.withColumn("clip_area", F.when(F.size("clipped") >= 3, geo.ring_area(F.col("clipped"))).otherwise(F.lit(0.0)))
     j = j.withColumn("kept_frac", F.col("clip_area") / geo.ring_area(F.col("ring")))
     return j.filter((F.col("kept_frac") >= min_keep) & (F.col("clip_area") >= min_m2)).drop(*[f"chip_{c}" for c in BOX])

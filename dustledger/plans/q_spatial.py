@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dustledger import constants as K
-from dustledger.functions import geo
+from dustledger.functions import geo, overlay
 from dustledger.functions.numeric import micro, wilson_interval
 from dustledger.operators import components as CC, matching as MA, spatial as SP
 from dustledger.operators.ranks import attach_row
@@ -193,7 +193,7 @@ def _(t):
     rings = a.select("array_id", "ring")
     j = (pairs.join(rings.withColumnsRenamed({"array_id": "l", "ring": "ring_a"}), "l")
          .join(rings.withColumnsRenamed({"array_id": "r", "ring": "ring_b"}), "r"))
-    return j.select(F.col("l").alias("a_id"), F.col("r").alias("b_id"), micro(geo.polygon_iou(F.col("ring_a"), F.col("ring_b"))).alias("iou"))
+    return j.select(F.col("l").alias("a_id"), F.col("r").alias("b_id"), micro(overlay.polygon_iou(F.col("ring_a"), F.col("ring_b"))).alias("iou"))
 
 
 _SEG = "seg as (select s_suppkey as sid, (s_suppkey * 131) % 1500 + 0e0 as x0, (s_suppkey * 173) % 700 + 0e0 as y0, (s_suppkey * 131) % 1500 + s_nationkey * 4e0 as x1, (s_suppkey * 173) % 700 + 60e0 as y1 from supplier)"
@@ -485,14 +485,6 @@ def _(t):
     return c.select("array_id", F.col("parcel_no").alias("chip_id"), micro(F.col("ring")[0]["x"]).alias("x0"), micro(F.col("ring")[0]["y"]).alias("y0"), micro(F.col("ring")[1]["x"]).alias("x2"))
 
 
-@query("g10_polygons_to_chips_clipped", None)
-def _(t):
-    from dustledger.operators.tiles import clip_to_chips
-
-    c = clip_to_chips(with_ring(t.sql("arrays")), t.sql("parcels"), "array_id", "parcel_no", 0.25, 1.0)
-    return c.select("array_id", F.col("parcel_no").alias("chip_id"), micro(F.col("kept_frac")).alias("kept_frac"), micro(F.col("clip_area")).alias("clip_area"))
-
-
 @query("g13_permit_seed_boxes", ctes("parcels", extra=_PT + """, h as (select pt.*, p.parcel_no as tile_id, p.minx, p.maxy, case when pid %% 4 <> 0 then (pid %% 90) / 10e0 end as kw from pt join parcels p on x >= p.minx and x < p.maxx and y >= p.miny and y < p.maxy),
  s as (select *, greatest(5e0, sqrt(case when kw > 0 then kw * %re0 else 28e0 end)) as side from h)""" % K.M2_PER_KW)
        + f"""select pid, tile_id, {m6('side')} as side_m, {m6('greatest(0e0, least(1e0, (x - side / 2e0 - minx) / 25e0))')} as nx1, {m6('greatest(0e0, least(1e0, (maxy - (y + side / 2e0)) / 25e0))')} as ny1,

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dustledger.functions import geo
+from dustledger.functions import geo, overlay
 from dustledger.operators import components as CC, learn as LE, lidar as LI, lookup as LO, matching as MA, recommend as RE
 from dustledger.operators.contracts import ContractError
 from dustledger.sources import readers as RD, stations as SN
@@ -56,10 +56,10 @@ def test_censored_values(spark):
 
 def test_convex_iou_hull_and_clip(spark):
     a, b = ring_col((0, 0), (2, 0), (2, 2), (0, 2)), ring_col((1, 1), (3, 1), (3, 3), (1, 3))
-    row = spark.range(1).select(a.alias("a"), b.alias("b")).select(geo.polygon_iou(F.col("a"), F.col("b")).alias("i")).first()
+    row = spark.range(1).select(a.alias("a"), b.alias("b")).select(overlay.polygon_iou(F.col("a"), F.col("b")).alias("i")).first()
     assert row.i == pytest.approx(1 / 7)
     star = ring_col((0, 0), (4, 0), (2, 1), (4, 4), (0, 4))
-    h = spark.range(1).select(star.alias("r")).select(geo.convex_hull("r").alias("h"), geo.clip_to_box("r", F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(4.0)).alias("c")).first()
+    h = spark.range(1).select(star.alias("r")).select(geo.convex_hull("r").alias("h"), overlay.clip_to_box(F.col("r"), F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(4.0)).alias("c")).first()
     assert len(h.h) == 4 and len(h.c) == 4
 
 
