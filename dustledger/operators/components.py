@@ -9,39 +9,39 @@ from dustledger.operators.spatial import BOX, box_pairs, left_box, right_box, po
 from dustledger.session import durable, skew_join
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _neighbours(e: DataFrame) -> DataFrame:
+    """(u, m, ups, downs) per node: its smallest neighbour or itself, and how many neighbours are larger and smaller."""
     both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return (skew_join(both, low, ["u"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .filter("u <> v").distinct())
+    return both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("ups"),
+                                 F.count_if(F.col("v") < F.col("u")).alias("downs"))
 
 
-def _small_star(e: DataFrame) -> DataFrame:
-    down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
-    links = skew_join(down, low, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return links.union(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+def _large_star(e: DataFrame, low: DataFrame) -> DataFrame:
+    """Every node's larger neighbours point at its smallest one. Repeated edges stay; the small star's aggregates ignore them."""
+    both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).filter("v > u")
+    return skew_join(both, low.filter("ups > 0").select("u", "m"), ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _unsettled(e: DataFrame) -> DataFrame:
-    """Edges that still break a star: a node with two targets, or a target that points further."""
-    forked = e.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("u")
-    chained = e.select("u").join(e.select(F.col("v").alias("u")), "u", "left_semi")
-    return forked.union(chained)
+def _small_star(e: DataFrame) -> DataFrame:
+    """Every node's smaller neighbours and the node itself point at the smallest of them. ``e`` has u > v."""
+    low = e.groupBy("u").agg(F.min("v").alias("m"))
+    links = skew_join(e, low, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return links.union(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node on an edge; the component is its smallest node.
 
-    Each round is materialised in the checkpoint folder. The loop ends when the edges form stars
-    (every node points at one target and no target points further), which is tested exactly on
-    the edges; each round shortens the paths, so there is no limit on the rounds.
+    Each round is materialised in the checkpoint folder. The loop ends when the edges form stars: no node has two smaller
+    neighbours, or a smaller and a larger one. That is read off the aggregate with which a round begins, so the test costs no
+    exchange of its own. Each round shortens the paths; there is no limit on the rounds.
     """
     e = durable(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
-    while not _unsettled(e).isEmpty():
-        e = durable(_small_star(_large_star(e)))
-    roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    while True:
+        low = durable(_neighbours(e))
+        if low.filter("downs > 1 or (downs > 0 and ups > 0)").isEmpty():
+            return low.select(F.col("u").alias("node"), F.col("m").alias("component"))
+        e = durable(_small_star(_large_star(e, low)))
 
 
 def proximity_clusters(boxes: DataFrame, id_col: str, gap_m: float = 2.5, cell: float = 50.0) -> DataFrame:
