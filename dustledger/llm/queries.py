@@ -74,10 +74,19 @@ p2 AS (SELECT domain, (m * prior + good) / (m + n) AS mean FROM s2, m2),
 s3 AS (SELECT h.*, p.mean AS prior FROM host h JOIN p2 p USING (domain)),
 m3 AS (SELECT (1 - r) / r AS m FROM (SELECT greatest(0.0001, least(0.9999, CASE WHEN sum(n - 1) > 0 THEN (round(sum(CASE WHEN prior * (1 - prior) > 0 THEN pow(good / n - prior, 2) * n / (prior * (1 - prior)) ELSE 1 END), 6) - count(*)) / sum(n - 1) ELSE 0.0001 END)) AS r FROM s3)),
 ab AS (SELECT host, n, m * prior + good AS a, m * (1 - prior) + n - good AS b FROM s3, m3),
-p3 AS (SELECT host, n, a / (a + b) AS mean, a / (a + b) + 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS high FROM ab)
+p3 AS (SELECT host, n, a / (a + b) AS mean, a / (a + b) + 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS high FROM ab),
+asked AS (
+  SELECT host, CASE WHEN list_slice(string_split(host, '.'), -2, -1) IN (['co', 'uk'], ['com', 'au']) THEN array_to_string(list_slice(string_split(host, '.'), -3, -1), '.')
+                    ELSE array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') END AS domain,
+         string_split(host, '.')[-1] AS suffix FROM (SELECT DISTINCT host FROM split WHERE host <> '') s),
+told AS (
+  SELECT a.host, coalesce(p.n, 0)::BIGINT AS n, coalesce(p.mean, d.mean, s.mean, w.prior) AS mean,
+         CASE WHEN p.mean IS NOT NULL THEN p.high WHEN d.mean IS NOT NULL THEN d.mean + 1.645 * sqrt(d.mean * (1 - d.mean) / (m3.m + 1))
+              WHEN s.mean IS NOT NULL THEN s.mean + 1.645 * sqrt(s.mean * (1 - s.mean) / (m2.m + 1)) ELSE w.prior + 1.645 * sqrt(w.prior * (1 - w.prior) / (m1.m + 1)) END AS high
+  FROM asked a LEFT JOIN p3 p ON a.host = p.host LEFT JOIN p2 d ON a.domain = d.domain LEFT JOIN p1 s ON a.suffix = s.suffix, m1, m2, m3, whole w)
 SELECT f.page_id, f.host, f.path, split_part(f.fit, ' ', 1) AS rule, CASE WHEN f.fit IS NOT NULL THEN split_part(f.fit, ' ', 2) WHEN p.high < 0.5 THEN 'block' ELSE 'allow' END AS verdict,
        coalesce(p.n, 0)::BIGINT AS n_outcomes, round(p.mean, 6) AS reputation, round(p.high, 6) AS bound
-FROM fits f LEFT JOIN p3 p ON f.host = p.host""")
+FROM fits f LEFT JOIN told p ON f.host = p.host""")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     return url_reputation.page_verdicts(pages, url_reputation.labelled_outcomes(pages, _table(spark, sf_dir, "labels")))

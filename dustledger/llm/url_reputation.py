@@ -58,31 +58,45 @@ def _concentration(level: DataFrame, parent: Column) -> Column:
     return ((1 - r) / r).alias("strength")
 
 
-def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
-    """(host, domain, suffix, n, good, mean, low, high): the posterior share of good pages of every host seen in ``outcomes``.
+def _levels(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Posteriors of hosts, domains and suffixes with outcomes, and one row (mean) of all outcomes.
 
-    ``outcomes`` has host and is_good (boolean; null rows teach nothing). Counts are shrunk downwards: the suffix towards all
-    outcomes, the registered domain towards its suffix, the host towards its domain. A level with mean p of its parent and
-    strength m gives a beta posterior with m p + good and m (1 - p) + n - good. ``low`` and ``high`` are mean -/+ z standard deviations of
-    the posterior. Hosts without own outcomes have no row; ``page_verdicts`` allows their pages.
+    Each has the beta posterior's mean and sd; domains, suffixes and the whole also have ``child_sd``, the sd of a child of
+    theirs without any outcome: the prior alone, with the strength of the level below.
     """
     host = outcomes.filter("is_good is not null").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("is_good").cast("long")).alias("good"))
     host = durable(host.withColumns({"domain": registered_domain(F.col("host")), "suffix": suffix_of(F.col("host"))}))
     domain = host.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     suffix = domain.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     # one row; a half good and a half bad outcome keep the mean inside (0, 1) and give one without any outcome
-    whole = suffix.agg(((F.coalesce(F.sum("good"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1.0)).alias("prior"))
+    whole = suffix.agg(((F.coalesce(F.sum("good"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1.0)).alias("mean"))
 
-    def shrunk(level: DataFrame) -> DataFrame:
-        strength = level.agg(_concentration(level, F.col("prior")))
+    def shrunk(level: DataFrame, parent: DataFrame, on: str | None) -> tuple[DataFrame, DataFrame]:
+        """(posteriors of the level, ``parent`` with child_sd); the strength is one row."""
+        prior = parent.select(*([on] if on else []), F.col("mean").alias("prior"))
+        level = level.join(prior, on) if on else level.join(F.broadcast(prior), how="cross")
+        strength = durable(level.agg(_concentration(level, F.col("prior"))))
         both = level.join(F.broadcast(strength), how="cross")
         a = F.col("strength") * F.col("prior") + F.col("good")
         b = F.col("strength") * (1 - F.col("prior")) + F.col("n") - F.col("good")
-        return both.withColumns({"mean": a / (a + b), "sd": F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))})
+        child = parent.join(F.broadcast(strength), how="cross").withColumn("child_sd", F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("strength") + 1)))
+        return both.withColumns({"mean": a / (a + b), "sd": F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))}).drop("strength"), child.drop("strength")
+
+    top, whole = shrunk(suffix, whole, None)
+    middle, top = shrunk(domain, durable(top), "suffix")
+    low, middle = shrunk(host, durable(middle), "domain")
+    return low, middle, top, whole
+
 
-    top = durable(shrunk(suffix.join(F.broadcast(whole), how="cross")))
-    middle = durable(shrunk(domain.join(top.select("suffix", F.col("mean").alias("prior")), "suffix")))
-    low = shrunk(host.join(middle.select("domain", F.col("mean").alias("prior")), "domain"))
+def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
+    """(host, domain, suffix, n, good, mean, low, high): the posterior share of good pages of every host seen in ``outcomes``.
+
+    ``outcomes`` has host and is_good (boolean; null rows teach nothing). Counts are shrunk downwards: the suffix towards all
+    outcomes, the registered domain towards its suffix, the host towards its domain. A level with mean p of its parent and
+    strength m gives a beta posterior with m p + good and m (1 - p) + n - good. ``low`` and ``high`` are mean -/+ z standard deviations of
+    the posterior. Hosts without own outcomes have no row; see ``page_verdicts``.
+    """
+    low = _levels(outcomes)[0]
     return low.select("host", "domain", "suffix", "n", "good", "mean", (F.col("mean") - z * F.col("sd")).alias("low"), (F.col("mean") + z * F.col("sd")).alias("high"))
 
 
@@ -90,16 +104,28 @@ def page_verdicts(pages: DataFrame, outcomes: DataFrame, least_good: float = 0.5
     """(page_id, host, path, rule, verdict, n_outcomes, reputation, bound) of every page.
 
     A rule decides where one fits (the longest). Elsewhere a page is blocked if even the upper posterior bound of its host's share
-    of good pages is below ``least_good``: a host is blocked on evidence only, one without outcomes is allowed (n_outcomes 0, reputation
-    and bound null). Null urls and urls without :// have an empty host and path. Repeated rows are judged alike. A host with a
-    third of all pages is one row of the reputation, and the join with it can be split. Further columns are ignored.
+    of good pages is below ``least_good``. A host without outcomes (n_outcomes 0) has the posterior of the nearest parent with some:
+    its registered domain, else its suffix, else all outcomes, each as a prior without own counts, so its bound is wider. A page
+    without host is allowed (reputation and bound null). Null urls and urls without :// have an empty host and path. Repeated rows
+    are judged alike. Reputations are found once per host; the join of pages with them can be split at a host with a third of
+    all pages. Further columns are ignored.
     """
-    known = host_reputation(outcomes, z).select(F.col("host").alias("_host"), F.col("n").alias("n_outcomes"), F.col("mean"), F.col("high"))
+    low, middle, top, whole = _levels(outcomes)
     told = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     told = told.withColumn("fit", matching_rule(F.col("host"), F.col("path")))
+    hosts = told.select(F.col("host").alias("_host")).filter("_host <> ''").distinct().withColumns(
+        {"_domain": registered_domain(F.col("_host")), "_suffix": suffix_of(F.col("_host"))})
+    own = low.select("host", "n", F.col("mean").alias("m0"), F.col("sd").alias("s0"))
+    domain = middle.select("domain", F.col("mean").alias("m1"), F.col("child_sd").alias("s1"))
+    suffix = top.select("suffix", F.col("mean").alias("m2"), F.col("child_sd").alias("s2"))
+    every = whole.select(F.col("mean").alias("m3"), F.col("child_sd").alias("s3"))
+    known = (hosts.join(own, F.col("_host") == F.col("host"), "left").join(domain, F.col("_domain") == F.col("domain"), "left")
+             .join(suffix, F.col("_suffix") == F.col("suffix"), "left").join(F.broadcast(every), how="cross"))
+    mean, sd = F.coalesce("m0", "m1", "m2", "m3"), F.coalesce("s0", "s1", "s2", "s3")
+    known = known.select("_host", F.coalesce("n", F.lit(0)).alias("n_outcomes"), mean.alias("mean"), (mean + z * sd).alias("high"))
     both = told.join(known, F.col("host") == F.col("_host"), "left")
-    own = F.when(F.col("high") < least_good, F.lit("block")).otherwise(F.lit("allow"))
-    return both.select("page_id", "host", "path", F.col("fit.name").alias("rule"), F.coalesce("fit.verdict", own).alias("verdict"),
+    verdict = F.when(F.col("high") < least_good, F.lit("block")).otherwise(F.lit("allow"))
+    return both.select("page_id", "host", "path", F.col("fit.name").alias("rule"), F.coalesce("fit.verdict", verdict).alias("verdict"),
                        F.coalesce("n_outcomes", F.lit(0)).cast("long").alias("n_outcomes"), F.round("mean", 6).alias("reputation"), F.round("high", 6).alias("bound"))
 
 

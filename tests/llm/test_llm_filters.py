@@ -251,6 +251,20 @@ def test_bad_hosts_are_blocked_and_small_ones_are_shrunk(spark):
     assert sorted((r["page_id"], r["verdict"]) for r in got.collect()) == [(1, "block"), (2, "allow"), (2, "allow"), (3, "allow")]
 
 
+def test_hosts_without_outcomes_take_the_nearest_parent(spark):
+    rows = [(f"h{k}.bad.net", False) for k in range(10) for _ in range(6)] + [(f"h{k}.good.net", True) for k in range(10) for _ in range(6)] + [(f"x{k}.org", True) for k in range(30)]
+    outcomes = spark.createDataFrame(rows, "host string, is_good boolean")
+    urls = ["http://h99.bad.net/a", "http://h99.good.net/a", "http://other.net/a", "http://deep.down.other.net/", "http://new.dev/", "nothing", "http://y.org/"]
+    told = {r["page_id"]: r for r in url_reputation.page_verdicts(pages(spark, list(enumerate(urls))), outcomes).collect()}
+    assert [told[k]["verdict"] for k in range(7)] == ["block", "allow", "allow", "allow", "allow", "allow", "allow"]
+    assert all(told[k]["n_outcomes"] == 0 for k in range(7)) and told[5]["reputation"] is None and told[5]["bound"] is None
+    known = {r["host"]: r for r in url_reputation.host_reputation(outcomes).collect()}
+    assert told[0]["reputation"] < 0.1 < 0.9 < told[1]["reputation"]
+    assert told[0]["bound"] - told[0]["reputation"] > known["h1.bad.net"]["high"] - known["h1.bad.net"]["mean"]  # wider without own outcomes
+    assert 0.3 < told[2]["reputation"] < 0.7 and told[2]["reputation"] == told[3]["reputation"]  # the suffix; below, all outcomes
+    assert told[2]["reputation"] < told[4]["reputation"] < told[6]["reputation"]
+
+
 def test_domains_and_suffixes(spark):
     rows = [("a.b.co.uk",), ("b.co.uk",), ("co.uk",), ("x.y.com",), ("com",), ("",)]
     host = F.col("h")
