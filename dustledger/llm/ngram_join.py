@@ -189,11 +189,12 @@ def near_duplicates(
     pairs = inside.union(across)
     visits = pairs.select("*", F.col("one").alias("chunk")).union(
         pairs.filter("one < two").select("*", F.col("two").alias("chunk")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("least"), "text", F.md5("text").alias("digest"))
-    wanted = chunked.join(texts, chunked["least"].eqNullSafe(texts["least"]) & (chunked["digest"] == texts["digest"])).select(
-        chunked["node"], chunked["digest"], "copies", "component", "chunk", "text")
-    links = wanted.join(visits, ["component", "chunk"]).groupBy("component", "one", "two").applyInPandas(
-        _verify(n, threshold), "node long, links long, low long")
+    # visits hold ids alone; a text joins them once, and travels once more to the chunk pairs that look at it
+    places = chunked.select("node", "digest", "least", "copies", "component", "chunk").join(visits, ["component", "chunk"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text", F.md5("text").alias("_digest"))
+    wanted = places.join(texts, places["least"].eqNullSafe(texts["_id"]) & (places["digest"] == texts["_digest"])).select(
+        "node", "digest", "copies", "component", "chunk", "one", "two", "text")
+    links = wanted.groupBy("component", "one", "two").applyInPandas(_verify(n, threshold), "node long, links long, low long")
     links = durable(links)
     degree = links.groupBy("node").agg(F.sum("links").alias("links"))
     joined = connected_components(links.select(F.col("node").alias("u"), F.col("low").alias("v")))
