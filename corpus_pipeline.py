@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from dustledger.llm import decontaminate, language, mixing, ngram_join, sharding
 from dustledger.session import durable, work_folder
@@ -20,7 +20,11 @@ REPETITION = 2.0
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language; null texts, letterless texts and scores under LEAST_SCORE go."""
+    """Documents whose text has a language; null texts, letterless texts and scores under LEAST_SCORE go.
+
+    The model learns from all rows whose id may teach (see ``language.remainder``); rows without id are judged but teach nothing.
+    Repeated rows are judged alike. An empty table stays empty; further columns are kept.
+    """
     learn = docs.filter(language.remainder(F.col("doc_id"), 3) != 1).select("text", "lang")
     model = language.fit_language_model(learn)
     told = language.predicted_language(F.col("text"), model, spark)
@@ -31,41 +35,61 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """One document of each group of near duplicates: the one with the smallest id that stands for one text only.
 
     Rows without id take part, and so do the texts of an id that stands for several; they are told apart by their text and
-    kept if their group has no other row. Null texts are no duplicates: one row per id stays, and each without id.
+    kept if their group has no other row. Null texts are no duplicates: one row per id stays, and each without id. Of rows equal in
+    id and text one stays. Empty and wordless texts are near duplicates of equal texts only. An empty table stays empty; further
+    columns of any name are kept as they are.
     """
-    texts = docs.filter("text is not null").withColumn("_digest", F.md5("text"))
-    several = durable(texts.filter("doc_id is not null").groupBy("doc_id").agg(F.min("_digest").alias("a"), F.max("_digest").alias("b"))
-                      .filter("a < b").select(F.col("doc_id").alias("_several")))
-    named = F.col("doc_id").isNotNull()
-    if not several.isEmpty():
-        texts = texts.join(several, texts["doc_id"] == F.col("_several"), "left")
-        named = named & F.col("_several").isNull()
-    # the stand-in id of near_duplicates for texts without id
-    stand_in = -F.pmod(F.xxhash64("_digest"), F.lit(1 << 62)) - 1
-    texts = texts.withColumn("_named", named).withColumn("_key", F.when(F.col("_named"), F.col("doc_id")).otherwise(stand_in))
-    told_apart = texts.filter(~F.col("_named")).select(F.lit(None).cast("long").alias("doc_id"), "text", "_digest").dropDuplicates(["_digest"])
-    fed = texts.filter("_named").select("doc_id", "text").unionByName(told_apart.select("doc_id", "text"))
+    # what decides is ids and digests; inside, columns have their own names, so those of docs cannot clash
+    ids = durable(docs.filter("text is not null").select(F.col("doc_id").alias("id"), F.md5("text").alias("digest")).distinct())
+    several = ids.filter("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("id").alias("s"))
+    named = F.col("id").isNotNull() & F.col("s").isNull()
+    told = durable(ids.join(several, F.col("id") == F.col("s"), "left").select("id", "digest", named.alias("named")))
+    # rows without id, and those of an id with several texts, are fed without id: their texts are told apart by a stand-in id
+    fed = docs.filter("text is not null").select("doc_id", "text")
+    if not told.filter("not named").isEmpty():
+        loose = told.filter("named").select(F.col("id").alias("i"))
+        keyed = fed.join(loose, F.col("doc_id") == F.col("i"), "left")
+        apart = keyed.filter("i is null").select(F.lit(None).cast("long").alias("doc_id"), "text", F.md5("text").alias("digest")).dropDuplicates(["digest"])
+        fed = keyed.filter("i is not null").select("doc_id", "text").unionByName(apart.select("doc_id", "text"))
     kept = ngram_join.near_duplicates(fed).groupBy("component_id").agg(F.min("doc_id").alias("id"), F.min("class_id").alias("class"))
-    kept = kept.select(F.col("id").isNotNull().alias("_own"), F.coalesce("id", "class").alias("_kept"))
-    one = texts.join(kept, (F.col("_key") == F.col("_kept")) & (F.col("_named") == F.col("_own")), "left_semi").dropDuplicates(["_named", "_key"])
+    # the stand-in id of near_duplicates for texts without id
+    stand_in = -F.pmod(F.xxhash64("digest"), F.lit(1 << 62)) - 1
+    kept = kept.select(F.col("id").isNotNull().alias("own"), F.coalesce("id", "class").alias("k"))
+    chosen = told.withColumn("key", F.when(F.col("named"), F.col("id")).otherwise(stand_in)).join(
+        kept, (F.col("key") == F.col("k")) & (F.col("named") == F.col("own")), "left_semi")
+    # one id for a text without an id of its own; then the texts are read by a join on (id, digest), and of rows equal in both the first stays
+    chosen = durable(chosen.groupBy("key", "named", "digest").agg(F.min("id").alias("id")).select(F.struct("id", "digest").alias("_chosen")))
+    marked = docs.filter("text is not null").select(F.struct(*docs.columns).alias("row"), F.struct(F.col("doc_id").alias("id"), F.md5("text").alias("digest")).alias("at"))
+    met = marked.join(chosen, marked["at"] == chosen["_chosen"], "left_semi")
+    first = met.withColumn("place", F.row_number().over(Window.partitionBy("at").orderBy(F.xxhash64("row")))).filter("place = 1").select("row.*")
     silent = docs.filter("text is null")
-    return one.select(docs.columns).unionByName(silent.filter("doc_id is not null").dropDuplicates(["doc_id"])).unionByName(silent.filter("doc_id is null"))
+    return first.unionByName(silent.filter("doc_id is not null").dropDuplicates(["doc_id"])).unionByName(silent.filter("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with fewer than a twentieth of their words inside benchmark windows."""
+    """Documents with fewer than a twentieth of their words inside benchmark windows.
+
+    Null and wordless texts stay. Repeated rows are judged alike. An empty table stays empty; further columns are kept.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     hit = decontaminate.benchmark_hits(F.col("text"), benchmark)
     return docs.filter(~decontaminate.contaminated(hit))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document at least once; documents of small sources up to REPETITION times."""
+    """Every document at least once; documents of small sources up to REPETITION times.
+
+    A missing source is a source of its own. Null and wordless texts count no tokens and stay. Repeated rows are read as often
+    as they stand there. An empty table stays empty; further columns are kept.
+    """
     return mixing.mixed_documents(docs, repetition=REPETITION)
 
 
 def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row of the mixture."""
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row of the mixture.
+
+    Nulls, repeated rows and empty tables are treated as in ``sharding.document_shards``; further columns are dropped here.
+    """
     return sharding.document_shards(docs)
 
 
