@@ -82,25 +82,34 @@ def installs(t):
 
 _SITED = "sa as (select *, (array_id * 7919) % (select count(*) // 3 from part) as site_id, cast(floor(array_id / 1000e0) as bigint) as block from arrays)"
 _SIN = f"""ins as (select s_suppkey as site_id, date '2010-01-01' + cast(s_suppkey * 53 % 5400 as int) as install_date from supplier),
- ro as (select site_id, sum(area_m2) as area, max(permit_kw) as permit, sum(loss_pct_p50 * area_m2) / sum(case when loss_pct_p50 is not null then area_m2 end) as p50, sum(poa_rel * area_m2) / sum(case when poa_rel is not null then area_m2 end) as poa from sa group by 1),
+ ro as (select site_id, sum(area_m2) as area, max(permit_kw) as permit, sum(loss_pct_p50 * area_m2) / sum(case when loss_pct_p50 is not null then area_m2 end) as p50, sum(poa_rel * area_m2) / sum(case when poa_rel is not null then area_m2 end) as poa,
+   sum(loss_pct_p10 * area_m2) / sum(case when loss_pct_p10 is not null then area_m2 end) as p10, sum(loss_pct_p90 * area_m2) / sum(case when loss_pct_p90 is not null then area_m2 end) as p90 from sa group by 1),
  si as (select ro.*, i.install_date, coalesce(case when permit > 0 then permit end, area / {K.M2_PER_KW!r}e0) as system_kw, coalesce(p50, 2.8e0) as loss_pct, case when p50 is not null then 'regression_head' else 'base_rate_fallback' end as loss_source,
    (case when poa > 0 then 5.5e0 * 1.1507e0 * poa else 5.5e0 end) * (case when i.install_date is null then 1e0 else power(0.995e0, greatest(0e0, datediff('day', i.install_date, date '2026-01-01') / 365.25e0)) end) as sun_hours,
    case when i.install_date >= date '2023-04-15' then {NBT!r}e0 when i.install_date is not null then {NEM2!r}e0 else {MIX!r}e0 end as usd_per_kwh from ro left join ins i on i.site_id = ro.site_id)"""
 
 
-@query("h6_site_economics", ctes("arrays", extra=_SITED + ", " + _SIN + ", " + priced_sql("si"))
-       + f"select site_id, {m6('system_kw')} as system_kw, {m6('loss_pct')} as loss_pct, loss_source, {m6('sun_hours')} as sun_hours, {m6('usd_per_kwh')} as usd_per_kwh, recommended_action, expected_net_usd, pro_net_usd from pz")
+_LO, _HI = (f(pv.regime_rate(K.DEFAULT_REGIME, 1), pv.regime_rate(K.DEFAULT_REGIME, 2)) for f in (min, max))
+_SPREAD = f"""mi as (select *, loss_pct as loss_p50, case when p50 is not null and p10 is not null and p90 is not null then p10 else loss_pct * {K.LOSS_P10_OVER_P50!r}e0 end as loss_p10,
+   case when p50 is not null and p10 is not null and p90 is not null then p90 else loss_pct * {K.LOSS_P90_OVER_P50!r}e0 end as loss_p90,
+   {_LO!r}e0 as rate_lo, {_HI!r}e0 as rate_hi, 0.032e0 as rec_rinse, 0.045e0 as rec_pro from pz where system_kw > 0), """ + mc_sql("mi", "site_id")
+#: What the draws of a site add to its decision.
+SPREAD = ("expected_net_usd_p10", "expected_net_usd_p90", "prob_net_positive", "decision_robust")
+
+
+@query("h6_site_economics", ctes("arrays", extra=_SITED + ", " + _SIN + ", " + priced_sql("si") + ", " + _SPREAD)
+       + f"select pz.site_id, {', '.join(SPREAD)}, {m6('system_kw')} as system_kw, {m6('loss_pct')} as loss_pct, loss_source, {m6('sun_hours')} as sun_hours, {m6('usd_per_kwh')} as usd_per_kwh, recommended_action, expected_net_usd, pro_net_usd from pz left join mc on mc.site_id = pz.site_id")
 def _(t):
-    s = RE.site_economics(sited(t), "site_id", installs(t), monte_carlo=False)
-    return _round(s.select("site_id", "system_kw", "loss_pct", "loss_source", "sun_hours", "usd_per_kwh", "recommended_action", "expected_net_usd", "pro_net_usd"), "system_kw", "loss_pct", "sun_hours", "usd_per_kwh")
+    s = RE.site_economics(sited(t), "site_id", installs(t))
+    return _round(s.select("site_id", "system_kw", "loss_pct", "loss_source", "sun_hours", "usd_per_kwh", "recommended_action", "expected_net_usd", "pro_net_usd", *SPREAD), "system_kw", "loss_pct", "sun_hours", "usd_per_kwh")
 
 
-@query("h6_site_values_on_arrays", ctes("arrays", extra=_SITED + ", " + _SIN + ", " + priced_sql("si"))
-       + "select sa.array_id, sa.area_m2, row_number() over (partition by sa.site_id order by sa.area_m2 desc, array_id) = 1 as site_primary, pz.expected_net_usd from sa join pz on pz.site_id = sa.site_id")
+@query("h6_site_values_on_arrays", ctes("arrays", extra=_SITED + ", " + _SIN + ", " + priced_sql("si") + ", " + _SPREAD)
+       + f"select sa.array_id, sa.area_m2, row_number() over (partition by sa.site_id order by sa.area_m2 desc, array_id) = 1 as site_primary, pz.expected_net_usd, {', '.join(SPREAD)} from sa join pz on pz.site_id = sa.site_id left join mc on mc.site_id = pz.site_id")
 def _(t):
     a = sited(t)
-    s = RE.site_economics(a, "site_id", installs(t), monte_carlo=False)
-    return RE.attach_site_economics(a, s, "site_id", ["expected_net_usd"]).select("array_id", "area_m2", "site_primary", "expected_net_usd")
+    s = RE.site_economics(a, "site_id", installs(t))
+    return RE.attach_site_economics(a, s, "site_id", ["expected_net_usd", *SPREAD]).select("array_id", "area_m2", "site_primary", "expected_net_usd", *SPREAD)
 
 
 def area_rule(t):
@@ -128,18 +137,18 @@ def _(t):
 
 def array_inputs(t):
     a, rule = area_rule(t)
-    s = RE.site_economics(a, "site_id", installs(t), monte_carlo=False)
-    return a.join(s.select("site_id", "system_kw", "expected_net_usd", "worth_cleaning", "sun_hours", "usd_per_kwh", F.col("recommended_action").alias("economic_action")), "site_id", "left"), rule
+    s = RE.site_economics(a, "site_id", installs(t))
+    return a.join(s.select("site_id", "system_kw", "expected_net_usd", *SPREAD, "worth_cleaning", "sun_hours", "usd_per_kwh", F.col("recommended_action").alias("economic_action")), "site_id", "left"), rule
 
 
-@query("h13_array_recommendations", ctes("arrays", extra=_SITED + ", " + _AREA + ", " + _SIN + ", " + priced_sql("si") + """,
- j as (select sa.*, pz.system_kw as kw, pz.worth_cleaning as worth, al.rule_fired = 'weather_window_open' as op from sa left join pz on pz.site_id = sa.site_id left join al on al.block = sa.block))""".replace("sa.block))", "sa.block)"))
+@query("h13_array_recommendations", ctes("arrays", extra=_SITED + ", " + _AREA + ", " + _SIN + ", " + priced_sql("si") + ", " + _SPREAD + """,
+ j as (select sa.*, mc.* exclude (site_id), pz.system_kw as kw, pz.worth_cleaning as worth, al.rule_fired = 'weather_window_open' as op from sa left join pz on pz.site_id = sa.site_id left join mc on mc.site_id = sa.site_id left join al on al.block = sa.block))""".replace("sa.block))", "sa.block)"))
        + f"""select array_id, case when op and risk_score >= 0.6 and worth then 'clean' else 'monitor' end as action, case when not (op and risk_score >= 0.6) then case when risk_score < 0.5 then 'low' else 'medium' end when not worth then 'low' when risk_score >= 0.75 then 'high' else 'medium' end as priority,
  case when not op then 'weather window closed' when risk_score < 0.6 then 'risk below threshold' when not worth then 'no strategy clears $0' else 'window open, risk above threshold, net positive' end as action_reason,
- case when tilt_deg <= 5 or distance_to_agriculture_m < 500 or distance_to_highway_m < 200 or kw >= 8 or risk_score >= 0.75 then 'professional' else 'diy' end as cleaning_method from j""")
+ case when tilt_deg <= 5 or distance_to_agriculture_m < 500 or distance_to_highway_m < 200 or kw >= 8 or risk_score >= 0.75 then 'professional' else 'diy' end as cleaning_method, {', '.join(SPREAD)} from j""")
 def _(t):
     a, rule = array_inputs(t)
-    return RE.recommend_arrays(a, rule, "block").select("array_id", "action", "priority", "action_reason", "cleaning_method")
+    return RE.recommend_arrays(a, rule, "block").select("array_id", "action", "priority", "action_reason", "cleaning_method", *SPREAD)
 
 
 def screen(t):
@@ -196,13 +205,13 @@ def _(t):
     return RE.grouping_drift(frozen, now, "array_id", "site_id")
 
 
-@query("f2_select_targets", ctes("arrays", extra=_SITED + ", " + _SIN + ", " + priced_sql("si"))
-       + f"select array_id, pro_net_usd as expected_net_usd, {r('0.6e0 * risk_score + 0.4e0 * 0.5e0', 4)} as outreach_score from sa join (select site_id, system_kw, pro_net_usd from pz) p on p.site_id = sa.site_id where system_kw >= 2 and system_kw <= 15 and risk_score >= 0.5 order by 2 desc, 3 desc, 1 limit 50")
+@query("f2_select_targets", ctes("arrays", extra=_SITED + ", " + _SIN + ", " + priced_sql("si") + ", " + _SPREAD)
+       + f"select array_id, prob_net_positive, pro_net_usd as expected_net_usd, {r('0.6e0 * risk_score + 0.4e0 * 0.5e0', 4)} as outreach_score from sa join (select pz.site_id, system_kw, pro_net_usd, prob_net_positive from pz left join mc on mc.site_id = pz.site_id) p on p.site_id = sa.site_id where system_kw >= 2 and system_kw <= 15 and risk_score >= 0.5 order by 3 desc, 4 desc, 1 limit 50")
 def _(t):
     a = sited(t)
-    s = RE.site_economics(a, "site_id", installs(t), monte_carlo=False).select("site_id", "system_kw", F.col("pro_net_usd").alias("expected_net_usd"))
+    s = RE.site_economics(a, "site_id", installs(t)).select("site_id", "system_kw", "prob_net_positive", F.col("pro_net_usd").alias("expected_net_usd"))
     j = a.join(s, "site_id").withColumns({"action": F.lit("monitor"), "confidence": F.lit(None).cast("double")})
-    return RE.select_targets(j, 50, 2, 15).select("array_id", "expected_net_usd", "outreach_score")
+    return RE.select_targets(j, 50, 2, 15).select("array_id", "prob_net_positive", "expected_net_usd", "outreach_score")
 
 
 @query("f3_stratified_sample", ctes("scored", extra=f"q as (select quantile_cont(y, 0.25) as a, quantile_cont(y, 0.5) as b, quantile_cont(y, 0.75) as c from scored), d as (select row_id, case when y > c then 3 when y > b then 2 when y > a then 1 else 0 end as bin, {sql_draw_fine('''md5(cast(row_id as varchar) || '|26')''')} as u from scored, q), k as (select *, row_number() over (partition by bin order by u) as rn from d)")

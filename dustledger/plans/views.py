@@ -147,7 +147,7 @@ select c_custkey as parcel_no,
   cast(floor((c_custkey % 750) / 28e0) as bigint) * 25 + 0e0 as miny,
   cast(floor(c_custkey / 750e0) as bigint) * 800 + (c_custkey % 750 % 28) * 25 + 25e0 as maxx,
   cast(floor((c_custkey % 750) / 28e0) as bigint) * 25 + 25e0 as maxy
-from {customer} where c_custkey % 5 <> 0""")
+from {customer} where c_mktsegment <> 'BUILDING'""")
 
 _BOXES = """select l_orderkey * 8 + l_linenumber as id, cast(floor(l_orderkey / 8e0) as bigint) as tile_id,
     ((l_orderkey % 8) * 37 + l_linenumber * 13) % 200 + 0e0 as gx, (l_linenumber * 29 + (l_orderkey % 8) * 11) % 200 + 0e0 as gy,
@@ -157,11 +157,11 @@ _BOXES = """select l_orderkey * 8 + l_linenumber as id, cast(floor(l_orderkey /
 
 view("preds", ("lineitem",), f"""
 select id as det_id, tile_id, gx + d * 0.7e0 as minx, gy + t * 0.5e0 as miny, gx + d * 0.7e0 + w as maxx, gy + t * 0.5e0 + h as maxy,
-  q / 50e0 as score from ({_BOXES}) b where id % 9 <> 0""")
+  q / 50e0 as score from ({_BOXES}) b where d <> 4""")
 
 view("truths", ("lineitem",), f"""
 select id as gt_id, tile_id, gx as minx, gy as miny, gx + w as maxx, gy + h as maxy, case when tile_id % 3 = 0 then 'val' else 'test' end as split
-from ({_BOXES}) b where id % 4 <> 0 and q > 8""")
+from ({_BOXES}) b where t <> 3 and q > 8""")
 
 view("labelled", ("lineitem",), """
 select l_orderkey * 8 + l_linenumber as det_id, l_orderkey as tile_id, l_quantity / 50e0 as score,
