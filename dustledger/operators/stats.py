@@ -9,6 +9,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dustledger.functions.numeric import draw_key, safe_div, uniform_fine
@@ -155,6 +157,10 @@ def cluster_bootstrap(clusters: DataFrame, id_col: str, sums: Sequence[str], met
     counted = picks.select("b", pick.alias("idx")).groupBy("b", "idx").agg(F.count(F.lit(1)).alias("_w"))
     joined = counted.join(indexed.select("idx", *sums), "idx")
     per_draw = joined.groupBy("b").agg(*[F.sum(F.col(c) * F.col("_w")).alias(c) for c in sums])
+    return _percentile_band(per_draw, clusters, sums, metric, gate)
+
+
+def _percentile_band(per_draw: DataFrame, clusters: DataFrame, sums: Sequence[str], metric: Callable[..., Column], gate: float | None) -> DataFrame:
     m = per_draw.select(metric(*[F.col(c) for c in sums]).alias("m")).filter("m IS NOT NULL")
     point = clusters.agg(*[F.sum(c).alias(c) for c in sums]).select(
         metric(*[F.col(c) for c in sums]).alias("estimate"))
@@ -165,6 +171,51 @@ def cluster_bootstrap(clusters: DataFrame, id_col: str, sums: Sequence[str], met
     return attach_row(band, point).select("estimate", "ci_lo", "ci_hi", "p_gate", "n_valid")
 
 
+def slice_counts(draws: int, total: int, size: int, k: int, seed: int) -> np.ndarray:
+    """How many picks of every draw fall into slice ``k`` of ``size`` clusters, when ``total`` picks go to ``total`` clusters.
+
+    The count of a range of slices is split in two by a binomial draw, from the whole down to the slice. The generator of a
+    split is a function of (seed, range), so every slice finds the same splits above it, and the counts add up exactly.
+    """
+    lo, hi = 0, -(-total // size)
+    counts = np.full(draws, total, np.int64)
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        share = (min(mid * size, total) - lo * size) / (min(hi * size, total) - lo * size)
+        left = np.random.Generator(np.random.Philox(key=(seed << 64) + (lo << 32) + hi)).binomial(counts, share)
+        counts, lo, hi = (left, lo, mid) if k < mid else (counts - left, mid, hi)
+    return counts
+
+
+def split_bootstrap(clusters: DataFrame, id_col: str, sums: Sequence[str], metric: Callable[..., Column],
+                    draws: int = 4000, seed: int = 42, gate: float | None = None, size: int = 4096) -> DataFrame:
+    """``cluster_bootstrap`` for very many clusters: weights arise where the clusters are, and only sums are exchanged.
+
+    Clusters in id order form slices of ``size``. A draw's picks are split over the slices by ``slice_counts`` and within a
+    slice by a multinomial draw; the slice returns one row of weighted sums per draw. So the exchange holds draws times
+    slices rows instead of draws times clusters, and a task holds one slice and 256 draws at a time. The result does not depend on
+    the partitioning. Every draw has exactly as many picks as there are clusters.
+    """
+    names = list(sums)
+    total = clusters.count()
+    indexed = clusters.withColumn("_id", F.col(id_col)).join(dense_index(clusters, id_col), "_id")
+    sliced = indexed.select("idx", F.floor(F.col("idx") / size).alias("slice"), *[F.col(c).cast("double").alias(c) for c in names])
+
+    def weighted(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("idx")
+        k, values = int(part["slice"].iloc[0]), part[names].fillna(0.0).to_numpy()
+        counts = slice_counts(draws, total, size, k, seed)
+        rng = np.random.Generator(np.random.Philox(key=(seed << 64) + (1 << 63) + k))
+        share = np.full(len(part), 1.0 / len(part))
+        found = [rng.multinomial(counts[at:at + 256], share) @ values for at in range(0, draws, 256)]
+        return pd.DataFrame({"b": np.arange(draws), **dict(zip(names, np.concatenate(found).T))})
+
+    schema = ", ".join(["b long", *(f"{c} double" for c in names)])
+    rows = sliced.groupBy("slice").applyInPandas(weighted, schema)
+    per_draw = rows.groupBy("b").agg(*[F.sum(c).alias(c) for c in names])
+    return _percentile_band(per_draw, clusters, sums, metric, gate)
+
+
 # ---- intervals ------------------------------------------------------------------------------------------------
 def conformal_offset(df: DataFrame, y: str, lo: str, hi: str, alpha: float = 0.20) -> DataFrame:
     """Split-conformal widening: the 'higher' order statistic of max(lo - y, y - hi); may be negative."""

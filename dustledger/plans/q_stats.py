@@ -109,6 +109,17 @@ def _(t):
     return _round(ST.cluster_bootstrap(cl, "station_id", ["tp", "fp", "fn"], f1, _B, 42, 0.5), "estimate", "ci_lo", "ci_hi", "p_gate")
 
 
+@query("f4_split_tree_bootstrap", None)
+def _(t):
+    """F1 interval by resampling station years, with weights drawn where the clusters are."""
+    hit, pred = F.col("label") == 1, F.col("score") >= 0.5
+    one = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    cl = t.sql("scored").groupBy((F.col("station_id") * 10000 + F.col("yr")).alias("station_year")).agg(
+        one(hit & pred).alias("tp"), one(~hit & pred).alias("fp"), one(hit & ~pred).alias("fn"))
+    f1 = lambda tp, fp, fn: 2.0 * tp / F.when(2 * tp + fp + fn > 0, 2 * tp + fp + fn)
+    return _round(ST.split_bootstrap(cl, "station_year", ["tp", "fp", "fn"], f1, 4000, 42, 0.5), "estimate", "ci_lo", "ci_hi", "p_gate")
+
+
 @query("f4_paired_difference_bootstrap", ctes("scored", extra=f"""cl as (select station_id, count(*) as n, sum(abs(p50 - y)) as ea, sum(abs(p10 - y)) as eb from scored group by 1),
  ix as (select *, row_number() over (order by station_id) - 1 as idx, count(*) over () as g from cl),
  pk as (select b, cast(floor({sql_draw_fine("md5(cast(b as varchar) || '|' || cast(idx as varchar) || '|7')")} * g) as bigint) as p from ix, range(0, {_B}) r(b)),
