@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from dustledger.operators.ranks import attach_row, cumulative, rank_in_groups, row_numbers, value_table
 from dustledger.operators.rollup import feature_medians, impute
+from dustledger.operators.stats import dense_index
 from dustledger.session import durable
 
 
@@ -104,29 +105,67 @@ def isotonic_calibration(df: DataFrame, score: str, label: str, out: str = "cali
     return model.transform(d).withColumn(out, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_p")))).drop("_p")
 
 
+#: Children of a node in the tree over ranked targets.
+_WAYS = 16
+
+
+def leaf_quantiles(train: DataFrame, test: DataFrame, label: str, key: str, leaves: str, quantiles: dict[str, float]) -> DataFrame:
+    """(key, quantiles...) from leaf tuples: array<int> ``leaves`` with the leaf of every tree, in ``train`` and ``test``.
+
+    A row's distribution gives every training target the mean over the trees of 1/size of the leaf they share; a quantile is the
+    smallest target at which the running weight reaches it. Rows of equal leaf tuples share one distribution. Targets are ranked
+    once over the whole training table, and each leaf counts its targets per block of ranks, in levels of 16 blocks. A search
+    goes down these levels and looks up one block per tree and level, so the joined rows are distinct tuples x trees x
+    quantiles x levels, whatever the leaves hold. Null targets are ignored.
+    """
+    place = durable(dense_index(train.select(F.col(label).cast("double").alias("v")).filter("v is not null"), "v"))
+    ranked = durable(train.select(F.col(label).cast("double").alias("_id"), leaves).join(place, "_id").select(F.posexplode(leaves).alias("tree", "leaf"), "idx")
+                     .groupBy("tree", "leaf", "idx").agg(F.count(F.lit(1)).alias("m")))
+    size = ranked.groupBy("tree", "leaf").agg(F.sum("m").alias("size"))
+    top = place.agg(F.max("idx").alias("n")).first()["n"]
+    levels = 1
+    while top is not None and top >= _WAYS**levels:
+        levels += 1
+    tuples = durable(test.select(leaves).distinct())
+    asked = tuples.select(leaves, F.posexplode(leaves).alias("tree", "leaf")).join(size, ["tree", "leaf"])
+    trees = asked.groupBy(leaves).agg(F.count(F.lit(1)).alias("_trees"))
+    goals = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(q)).alias("q")) for n, q in quantiles.items()]))
+    state = trees.select(leaves, "_trees", goals.alias("g")).select(leaves, F.col("g.name").alias("name"), (F.col("g.q") * F.col("_trees") - 1e-12).alias("goal"),
+                                                                    F.lit(0).cast("long").alias("block"), F.lit(0.0).alias("below"))
+    for level in range(levels):
+        unit = _WAYS ** (levels - 1 - level)
+        child = F.floor(F.col("idx") / unit) % _WAYS
+        counts = ranked.groupBy("tree", "leaf", F.floor(F.col("idx") / (unit * _WAYS)).alias("block")).agg(
+            *[F.sum(F.when(child == k, F.col("m")).otherwise(0)).alias(f"c{k}") for k in range(_WAYS)])
+        met = asked.join(state, leaves).join(counts, ["tree", "leaf", "block"])
+        shares = met.groupBy(leaves, "name", "goal", "block", "below").agg(*[F.sum(F.col(f"c{k}") / F.col("size")).alias(f"c{k}") for k in range(_WAYS)])
+        upto, choices = F.col("below"), []
+        for k in range(_WAYS):
+            choices.append(F.struct(F.lit(k).alias("k"), upto.alias("before"), (upto + F.col(f"c{k}")).alias("after"), F.col(f"c{k}").alias("own")))
+            upto = upto + F.col(f"c{k}")
+        held = F.filter(F.array(*choices), lambda c: c["own"] > 0)
+        # rounding can leave the last block a hair short of the goal
+        pick = F.coalesce(F.get(F.filter(held, lambda c: c["after"] >= F.col("goal")), F.lit(0)), F.element_at(held, -1))
+        state = shares.withColumn("_p", pick).select(leaves, "name", "goal", (F.col("block") * _WAYS + F.col("_p.k")).alias("block"), F.col("_p.before").alias("below"))
+        state = durable(state)
+    value = state.join(place, state["block"] == place["idx"]).groupBy(leaves).agg(*[F.max(F.when(F.col("name") == n, F.col("_id"))).alias(n) for n in quantiles])
+    return test.select(key, leaves).join(value, leaves).select(key, *quantiles)
+
+
 def quantile_forest(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, key: str, quantiles: dict[str, float],
                     trees: int = 10, max_depth: int = 4, seed: int = 42, lo: float = 0.0, hi: float = 25.0) -> DataFrame:
-    """(key, quantiles...): weighted quantiles of the training targets that share leaves with a row.
+    """(key, quantiles...): weighted quantiles of the training targets that share leaves with a row; see ``leaf_quantiles``.
 
-    Targets are first counted per (tree, leaf, value), so a leaf costs its distinct values and not
-    its rows; every quantile is a training target, and quantiles of one key never cross because they come from one distribution.
+    Every quantile is a training target, clipped to ``lo`` and ``hi``; quantiles of one key never cross because they come from one distribution.
     """
     va = VectorAssembler(inputCols=list(features), outputCol="_v")
     model = RandomForestRegressor(featuresCol="_v", labelCol=label, numTrees=trees, maxDepth=max_depth, seed=seed, leafCol="_leaf").fit(va.transform(train))
-    tr = model.transform(va.transform(train)).select(label, F.posexplode(vector_to_array("_leaf")).alias("tree", "leaf"))
-    table = tr.groupBy("tree", "leaf", F.col(label).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("m"))
-    size = table.groupBy("tree", "leaf").agg(F.sum("m").alias("size"))
-    share = table.join(size, ["tree", "leaf"]).select("tree", "leaf", "v", (F.col("m") / F.col("size")).alias("w"))
-    te = model.transform(va.transform(test)).select(key, F.posexplode(vector_to_array("_leaf")).alias("tree", "leaf"))
-    mass = te.join(share, ["tree", "leaf"]).groupBy(key, "v").agg(F.sum("w").alias("w"))
-    upto = F.sum("w").over(W.partitionBy(key).orderBy("v").rowsBetween(W.unboundedPreceding, 0))
-    d = mass.withColumns({"_upto": upto, "_all": F.sum("w").over(W.partitionBy(key))})
-
-    def at(q: float) -> Column:
-        hit = F.min(F.when(F.col("_upto") >= F.col("_all") * q - 1e-12, F.col("v")))
-        return F.greatest(F.lit(lo), F.least(F.lit(hi), hit))
-
-    return d.groupBy(key).agg(*[at(q).alias(n) for n, q in quantiles.items()])
+
+    def leaves(df: DataFrame, column: str) -> DataFrame:
+        return durable(model.transform(va.transform(df)).select(column, F.transform(vector_to_array("_leaf"), lambda x: x.cast("int")).alias("leaves")))
+
+    out = leaf_quantiles(leaves(train, label), leaves(test, key), label, key, "leaves", quantiles)
+    return out.select(key, *[F.greatest(F.lit(lo), F.least(F.lit(hi), F.col(n))).alias(n) for n in quantiles])
 
 
 def ablation(df: DataFrame, sets: dict[str, Sequence[str]], label: str, fold: str, folds: Sequence[int], seeds: Sequence[int],

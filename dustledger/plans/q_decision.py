@@ -276,7 +276,7 @@ def _(t):
 @query("f15_quantile_forest", None)
 def _(t):
     m = _matrix(t).fillna(0.0, ["x2"])
-    q = LE.quantile_forest(m.filter("fold = 0"), m.filter("fold = 1"), ["x1", "x3"], "y", "row_id", {"loss_p10": 0.1, "loss_p50": 0.5, "loss_p90": 0.9}, trees=5)
+    q = LE.quantile_forest(m.filter("fold = 0"), m.filter("fold = 1"), ["x1", "x3"], "y", "row_id", {"loss_p10": 0.1, "loss_p50": 0.5, "loss_p90": 0.9})
     return _round(q, "loss_p10", "loss_p50", "loss_p90")
 
 
