@@ -149,7 +149,7 @@ def feature_matrix(entities: DataFrame, daily: DataFrame, entity_id: str, as_of:
 
     ``entities`` (id, cell_id, as_of, ...static). As-of days without a reading are added to the
     series as empty rows, so calendar windows end exactly on them; physics series are computed on
-    the readings alone and looked up as the last value.
+    the readings alone. ``somosclean_sl_proxy`` is the last loss up to the day, ``kimber_iwsr_proxy`` the mean ratio up to it.
     """
     from dustledger.operators.soiling import equivalent_days, kimber_ratio
 
@@ -166,9 +166,10 @@ def feature_matrix(entities: DataFrame, daily: DataFrame, entity_id: str, as_of:
         cols[f"dew_no_rain_days_{d}d"] = F.sum(F.when(F.col("_real"), dew.cast("long"))).over(w)
         cols[f"kimber_iwsr_{d}d_mean"] = F.avg("kimber_ratio").over(w)
     for d in (7, 30):
-        cols[f"soiling_loss_{d}d_mean"] = F.avg("soiling_loss").over(trailing(d))
+        cols[f"somosclean_sl_{d}d_mean"] = F.avg("soiling_loss").over(trailing(d))
     sofar = W.partitionBy(CELL).orderBy(DAY).rowsBetween(W.unboundedPreceding, 0)
-    cols["soiling_loss_last"] = F.last("soiling_loss", ignorenulls=True).over(sofar)
+    cols["somosclean_sl_proxy"] = F.last("soiling_loss", ignorenulls=True).over(sofar)
+    cols["kimber_iwsr_proxy"] = F.avg("kimber_ratio").over(sofar)
     full = rain_streaks(full.withColumns(cols)).filter("_asked")
     drop = ["_asked", "_real", "day_no", "eq_days", "soiling_loss", "kimber_ratio", "precipitation_sum", "pm10", "pm2_5",
             "wind_speed_10m_max", "relative_humidity_2m_mean", "temperature_2m_max"]

@@ -29,24 +29,35 @@ select l_suppkey % 10 as system_id, cast(l_shipdate as date) as day, sum(l_quant
 _ENT = "ent as (select o_orderkey as id, o_custkey % (select count(*) from supplier) as cell_id, cast(o_orderdate as date) as as_of from orders)"
 
 
-@query("e5_feature_matrix", ctes("weather", extra=_ENT + ", " + eq_sql("cell_id", "weather") + ", " + KIMBER + """,
- u as (select distinct cell_id, as_of from ent),
- w30 as (select u.cell_id, u.as_of, sum(precipitation_sum) as precip_30d_mm, avg(pm10) as pm10_30d_mean, count(case when relative_humidity_2m_mean >= 85 then 1 end) as humid_days_30d, count(*) as real_days
-   from u join weather w on w.cell_id = u.cell_id and w.day between u.as_of - 29 and u.as_of group by 1, 2),
- k30 as (select u.cell_id, u.as_of, avg(kimber_ratio) as kimber_iwsr_30d_mean from u join kim w on w.cell_id = u.cell_id and w.day between u.as_of - 29 and u.as_of group by 1, 2),
- l as (select u.cell_id, u.as_of, arg_max(soiling_loss, day) as soiling_loss_last from u join eqd w on w.cell_id = u.cell_id and w.day <= u.as_of group by 1, 2),
+_MEANS = ("wind_speed_10m_max", "relative_humidity_2m_mean", "temperature_2m_max", "pm2_5", "pm10")
+_WINDOWS = (7, 30, 90)
+_DEW = "relative_humidity_2m_mean >= 85 and coalesce(precipitation_sum, 0) < 1"
+_BY_WINDOW = ", ".join(f"""w{d} as (select u.cell_id, u.as_of, sum(precipitation_sum) as precip_{d}d_mm, {', '.join(f'avg({c}) as {c}_{d}d_mean' for c in _MEANS)},
+   count(case when relative_humidity_2m_mean >= 85 then 1 end) as humid_days_{d}d, count(case when {_DEW} then 1 end) as dew_no_rain_days_{d}d
+   from u join weather w on w.cell_id = u.cell_id and w.day between u.as_of - {d - 1} and u.as_of group by 1, 2),
+ k{d} as (select u.cell_id, u.as_of, avg(kimber_ratio) as kimber_iwsr_{d}d_mean from u join kim w on w.cell_id = u.cell_id and w.day between u.as_of - {d - 1} and u.as_of group by 1, 2),
+ l{d} as (select u.cell_id, u.as_of, avg(soiling_loss) as somosclean_sl_{d}d_mean from u join eqd w on w.cell_id = u.cell_id and w.day between u.as_of - {d - 1} and u.as_of group by 1, 2)""" for d in _WINDOWS)
+_ROUNDED = ([f"precip_{d}d_mm" for d in _WINDOWS] + [f"{c}_{d}d_mean" for c in _MEANS for d in _WINDOWS]
+            + ["somosclean_sl_7d_mean", "somosclean_sl_30d_mean", "somosclean_sl_proxy"])
+_FINE = [f"kimber_iwsr_{d}d_mean" for d in _WINDOWS] + ["kimber_iwsr_proxy"]
+_COUNTS = [f"{c}_{d}d" for c in ("humid_days", "dew_no_rain_days") for d in _WINDOWS]
+
+
+@query("e5_feature_matrix", ctes("weather", extra=_ENT + ", " + eq_sql("cell_id", "weather") + ", " + KIMBER + f""",
+ u as (select distinct cell_id, as_of from ent), {_BY_WINDOW},
+ l as (select u.cell_id, u.as_of, arg_max(soiling_loss, day) as somosclean_sl_proxy from u join eqd w on w.cell_id = u.cell_id and w.day <= u.as_of group by 1, 2),
+ kp as (select u.cell_id, u.as_of, avg(kimber_ratio) as kimber_iwsr_proxy from u join kim w on w.cell_id = u.cell_id and w.day <= u.as_of group by 1, 2),
  n as (select *, count(precipitation_sum) over (partition by cell_id order by day rows unbounded preceding) as n from weather),
  s as (select u.cell_id, u.as_of, count(n.precipitation_sum) - coalesce(max(case when n.precipitation_sum >= 1 then n.n end), 0) as dry_day_streak from u left join n on n.cell_id = u.cell_id and n.day <= u.as_of group by 1, 2)""")
-       + f"""select e.id, e.cell_id, e.as_of, {m6('precip_30d_mm')} as precip_30d_mm, {m6('pm10_30d_mean')} as pm10_30d_mean, case when real_days > 0 then humid_days_30d end as humid_days_30d,
- round_even(kimber_iwsr_30d_mean * 1e9, 0) / 1e9 as kimber_iwsr_30d_mean, {m6('soiling_loss_last')} as soiling_loss_last, dry_day_streak, cast(month(e.as_of) as int) as month_of_year
-from ent e left join w30 using (cell_id, as_of) left join k30 using (cell_id, as_of) left join l using (cell_id, as_of) left join s using (cell_id, as_of)""")
+       + f"""select e.id, e.cell_id, e.as_of, {', '.join(f'{m6(c)} as {c}' for c in _ROUNDED)}, {', '.join(f'round_even(({c} + 3.3e-8) * 1e7, 0) / 1e7 as {c}' for c in _FINE)},
+ {', '.join(_COUNTS)}, dry_day_streak, cast(month(e.as_of) as int) as month_of_year
+from ent e {' '.join(f'left join {c}{d} using (cell_id, as_of)' for d in _WINDOWS for c in 'wkl')} left join l using (cell_id, as_of) left join kp using (cell_id, as_of) left join s using (cell_id, as_of)""")
 def _(t):
     n = t.read("supplier").agg(F.count(F.lit(1)).alias("_n"))
     e = attach_row(t.read("orders"), n).select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % F.col("_n")).alias("cell_id"), F.to_date("o_orderdate").alias("as_of"))
     m = S.feature_matrix(e, t.weather, "id")
-    out = _round(m, "precip_30d_mm", "pm10_30d_mean", "soiling_loss_last").withColumn(
-        "kimber_iwsr_30d_mean", half_even(F.col("kimber_iwsr_30d_mean"), 9))
-    return out.select("id", "cell_id", "as_of", "precip_30d_mm", "pm10_30d_mean", "humid_days_30d", "kimber_iwsr_30d_mean", "soiling_loss_last", "dry_day_streak", "month_of_year")
+    out = _round(m, *_ROUNDED).withColumns({c: half_even(F.col(c) + 3.3e-8, 7) for c in _FINE})
+    return out.select("id", "cell_id", "as_of", *_ROUNDED, *_FINE, *_COUNTS, "dry_day_streak", "month_of_year")
 
 
 # ---- solar tables ---------------------------------------------------------------------------------------------
