@@ -1,7 +1,7 @@
 """Roof planes, standoff and canopy from lidar points, by grouped moments instead of per-roof loops.
 
-Every round aggregates centred moments per polygon (map-side combine) and joins the fitted plane
-back to the points, so one dense polygon never has to fit into one task.
+Every round aggregates centred moments per polygon (map-side combine) and joins the fitted planes
+to the points of the source, so one dense polygon never has to fit into one task and no point is written.
 """
 
 from __future__ import annotations
@@ -14,21 +14,31 @@ MIN_POINTS, MAX_RMS_M, MIN_INLIERS = 12, 0.25, 0.60
 SURFACE_CLASSES, VEGETATION, GROUND = (1, 6), (3, 4, 5), (2,)
 
 
-def _moments(points: DataFrame, key: str) -> DataFrame:
-    k = points.filter("keep")
-    return k.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.avg("z").alias("mz"),
-        F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"), F.var_pop("z").alias("vz"),
-        F.covar_pop("x", "y").alias("cxy"), F.covar_pop("x", "z").alias("cxz"), F.covar_pop("y", "z").alias("cyz"))
+MOMENTS = ("n", "mx", "my", "mz", "vx", "vy", "vz", "cxy", "cxz", "cyz")
+FIT = ("a", "b", "c", "s")
 
 
-def _plane(m: DataFrame) -> DataFrame:
+def _moments(when: Column) -> list[Column]:
+    """Count, means and centred second moments of the points that meet a condition."""
+    x, y, z = (F.when(when, F.col(v)) for v in ("x", "y", "z"))
+    values = (F.count(x), F.avg(x), F.avg(y), F.avg(z), F.var_pop(x), F.var_pop(y), F.var_pop(z), F.covar_pop(x, y), F.covar_pop(x, z), F.covar_pop(y, z))
+    return [v.alias(name) for name, v in zip(MOMENTS, values)]
+
+
+def _plane(m: DataFrame, live: Column | None = None) -> DataFrame:
+    """``m`` with the least-squares plane of its moments as a, b, c, s; where ``live`` is false the old ones stay."""
     det = F.col("vx") * F.col("vy") - F.col("cxy") * F.col("cxy")
     det = F.when(F.abs(det) > 1e-12, det)
-    m = m.withColumns({"a": (F.col("cxz") * F.col("vy") - F.col("cyz") * F.col("cxy")) / det,
-                       "b": (F.col("cyz") * F.col("vx") - F.col("cxz") * F.col("cxy")) / det})
-    s2 = F.greatest(F.lit(0.0), F.col("vz") - F.col("a") * F.col("cxz") - F.col("b") * F.col("cyz"))
-    return m.withColumns({"c": F.col("mz") - F.col("a") * F.col("mx") - F.col("b") * F.col("my"), "s": F.sqrt(s2)})
+    a = (F.col("cxz") * F.col("vy") - F.col("cyz") * F.col("cxy")) / det
+    b = (F.col("cyz") * F.col("vx") - F.col("cxz") * F.col("cxy")) / det
+    m = m.withColumns({"_a": a, "_b": b})
+    m = m.withColumns({"_c": F.col("mz") - F.col("_a") * F.col("mx") - F.col("_b") * F.col("my"),
+                       "_s": F.sqrt(F.greatest(F.lit(0.0), F.col("vz") - F.col("_a") * F.col("cxz") - F.col("_b") * F.col("cyz")))})
+    return m.withColumns({c: F.col(f"_{c}") if live is None else F.when(live, F.col(f"_{c}")).otherwise(F.col(c)) for c in FIT}).drop("_a", "_b", "_c", "_s")
+
+
+def _off(a: str, b: str, c: str) -> Column:
+    return F.col("z") - (F.col(a) * F.col("x") + F.col(b) * F.col("y") + F.col(c))
 
 
 def trimmed_planes(points: DataFrame, key: str, rounds: int = 3, sigma: float = 2.5) -> DataFrame:
@@ -36,29 +46,35 @@ def trimmed_planes(points: DataFrame, key: str, rounds: int = 3, sigma: float =
 
     ``points`` (key, x, y, z) in true metres. A round refits, then keeps the points within
     ``sigma`` population deviations, unless too few would remain or nothing changes.
+
+    Whether a point is kept follows from the plane that trimmed it, so a round carries only planes: per polygon the plane by
+    which points are kept now and the one fitted to them. One pass over the points counts those that the new plane would
+    keep and takes their moments for the next fit. Points are never written; a round writes one row per polygon.
     """
     from dustledger.session import durable
 
-    p = points.select(key, "x", "y", "z").withColumns({"keep": F.lit(True), "live": F.lit(True)})
-    total = points.groupBy(key).agg(F.count(F.lit(1)).alias("n_points"))
-    fit = None
-    for _ in range(rounds):
-        fit = _plane(_moments(p, key)).select(key, "a", "b", "c", "s")
-        p = p.drop("a", "b", "c", "s").join(fit, key)
-        resid = F.col("z") - (F.col("a") * F.col("x") + F.col("b") * F.col("y") + F.col("c"))
-        p = p.withColumn("resid", resid)
+    p = points.select(key, "x", "y", "z")
+    # keep planes ka.. are null while all points are kept
+    state = _plane(p.groupBy(key).agg(F.count(F.lit(1)).alias("n_points"), *_moments(F.lit(True)))).select(
+        key, "n_points", *FIT, *[F.lit(None).cast("double").alias(f"k{c}") for c in FIT], F.lit(True).alias("live"), F.lit(True).alias("all"))
+    state = durable(state)
+    for last in range(rounds):
+        j = p.join(state, key).withColumns({"resid": _off("a", "b", "c")})
         new = F.coalesce((F.abs("resid") <= sigma * F.col("s")) & (F.col("s") > 0), F.lit(False))
-        # the points feed both the counts and the next fit: cut the lineage once per round
-        p = durable(p.withColumn("new", new))
-        n = p.groupBy(key).agg(F.sum(F.col("new").cast("int")).alias("n_new"),
-                               F.sum((F.col("new") != F.col("keep")).cast("int")).alias("n_diff"), F.max("s").alias("_s"))
-        go = n.select(key, ((F.col("n_new") >= MIN_POINTS) & (F.col("n_diff") > 0) & (F.col("_s") > 0)).alias("go"))
-        p = p.join(go, key).withColumn("live", F.col("live") & F.col("go")).drop("go")
-        p = p.withColumn("keep", F.when(F.col("live"), F.col("new")).otherwise(F.col("keep"))).drop("new")
-    kept = p.groupBy(key).agg(
-        F.sum(F.col("keep").cast("int")).alias("n_inliers"), F.max("a").alias("a"), F.max("b").alias("b"), F.max("c").alias("c"),
-        F.sqrt(F.avg(F.when(F.col("keep"), F.col("resid") * F.col("resid")))).alias("rms"))
-    return total.join(kept, key)
+        keep = F.col("all") | F.coalesce((F.abs(_off("ka", "kb", "kc")) <= sigma * F.col("ks")) & (F.col("ks") > 0), F.lit(False))
+        j = j.withColumns({"new": new, "keep": keep, "sq": F.col("resid") * F.col("resid")})
+        agg = j.groupBy(key).agg(
+            *[F.first(c).alias(c) for c in ("n_points", *FIT, *(f"k{c}" for c in FIT), "live", "all")], *_moments(F.col("new")),
+            F.count_if(F.col("new") != F.col("keep")).alias("n_diff"), F.count_if("keep").alias("n_keep"),
+            F.avg(F.when(F.col("keep"), F.col("sq"))).alias("sq_keep"), F.avg(F.when(F.col("new"), F.col("sq"))).alias("sq_new"))
+        go = F.col("live") & (F.col("n") >= MIN_POINTS) & (F.col("n_diff") > 0) & (F.coalesce("s", F.lit(0.0)) > 0)
+        agg = durable(agg.withColumn("go", go))
+        if last == rounds - 1:
+            break
+        kept = agg.withColumns({**{f"k{c}": F.when(F.col("go"), F.col(c)).otherwise(F.col(f"k{c}")) for c in FIT}, "all": F.col("all") & ~F.col("go")})
+        state = _plane(kept, F.col("go")).withColumn("live", F.col("go")).select(*state.columns)
+    return agg.select(key, "n_points", F.when(F.col("go"), F.col("n")).otherwise(F.col("n_keep")).alias("n_inliers"), "a", "b", "c",
+                      F.sqrt(F.when(F.col("go"), F.col("sq_new")).otherwise(F.col("sq_keep"))).alias("rms"))
 
 
 def tilt_azimuth(a: Column, b: Column) -> tuple[Column, Column]:

@@ -158,6 +158,7 @@ def screen(t):
 
 
 _CANO = "(0.4425e0 + 0.5575e0 * exp(-greatest(0e0, least(60e0, {t})) / 11.641e0))"
+LOW_TILT = f"greatest(0e0, least(1e0, ({_CANO} - {_CANO.format(t='35e0')}) / ({_CANO.format(t='0e0')} - {_CANO.format(t='35e0')})))"
 _LT = f"greatest(0e0, least(1e0, ({_CANO.format(t='tilt_deg')} - {_CANO.format(t='35e0')}) / ({_CANO.format(t='0e0')} - {_CANO.format(t='35e0')})))"
 _SCREEN = f"""sc0 as (select array_id, round_even((0.7e0 * (case when tilt_deg is null then 0e0 else {_LT} end) + 0.3e0 * greatest(coalesce(canopy_frac, 0e0), coalesce(greatest(0e0, 1e0 - nearest_canopy_m / 9e0), 0e0))) * 1e9, 0) / 1e9 as score from arrays where array_id % 11 <> 0),
  sc as (select *, row_number() over (order by score desc, array_id) <= ceil(0.1e0 * count(*) over ()) as top from sc0)"""

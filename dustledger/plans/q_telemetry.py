@@ -10,6 +10,7 @@ from dustledger.functions.numeric import half_even, micro
 from dustledger.operators import lidar as LI, series as S, soiling as SO, solar_tables as SOL, telemetry as TE
 from dustledger.operators.ranks import attach_row, exact_quantiles
 from dustledger.plans.q_series import KIMBER, eq_sql
+from dustledger.plans.q_decision import LOW_TILT
 from dustledger.plans.registry import query
 from dustledger.plans.views import ctes, m6, view
 
@@ -282,16 +283,60 @@ def lidar_points(t, shift: float = 0.0):
                     F.when(F.col("l_returnflag") == "N", 1).otherwise(1).alias("ret"), F.when(F.col("l_returnflag") == "A", 3).otherwise(1).alias("nret"), F.col("l_orderkey").alias("o"))
 
 
-@query("g5_roof_planes", None)
+_CLOUD = """cloud as (select l_partkey as array_id, l_quantity / 5e0 as x, l_orderkey % 97 / 10e0 as y,
+   0.3e0 * (l_quantity / 5e0) - (l_partkey % 5) / 20e0 * (l_orderkey % 97 / 10e0) + (l_discount - 0.05e0) + case when l_tax = 0.08 then 3e0 else 0e0 end as z,
+   case when l_linenumber = 7 then 2 else 6 end as cls, l_orderkey as o from lineitem)"""
+
+
+def _trim_sql(name: str, source: str, rounds: int, sigma: float) -> str:
+    """CTEs of the trimming loop over ``source`` (array_id, x, y, z): every point carries whether it is kept, round by round."""
+    parts = [f"{name}0 as (select *, true as keep, true as live from {source})"]
+    for k in range(1, rounds + 1):
+        parts.append(f"""{name}m{k} as (select array_id, avg(x) as mx, avg(y) as my, avg(z) as mz, var_pop(x) as vx, var_pop(y) as vy, var_pop(z) as vz,
+   covar_pop(x, y) as cxy, covar_pop(x, z) as cxz, covar_pop(y, z) as cyz from {name}{k - 1} where keep group by 1)""")
+        parts.append(f"{name}s{k} as (select *, case when abs(vx * vy - cxy * cxy) > 1e-12 then (cxz * vy - cyz * cxy) / (vx * vy - cxy * cxy) end as a, case when abs(vx * vy - cxy * cxy) > 1e-12 then (cyz * vx - cxz * cxy) / (vx * vy - cxy * cxy) end as b from {name}m{k})")
+        parts.append(f"{name}f{k} as (select array_id, a, b, mz - a * mx - b * my as c, sqrt(greatest(0e0, vz - a * cxz - b * cyz)) as s from {name}s{k})")
+        parts.append(f"{name}r{k} as (select p.array_id, p.x, p.y, p.z, p.keep, p.live, f.s, z - (a * x + b * y + c) as resid, coalesce(abs(z - (a * x + b * y + c)) <= {sigma}e0 * s and s > 0, false) as new from {name}{k - 1} p join {name}f{k} f on f.array_id = p.array_id)")
+        parts.append(f"{name}g{k} as (select array_id, count(case when new then 1 end) >= {LI.MIN_POINTS} and count(case when new <> keep then 1 end) > 0 and coalesce(max(s), 0) > 0 as go from {name}r{k} group by 1)")
+        parts.append(f"{name}{k} as (select r.array_id, x, y, z, resid, case when live and go then new else keep end as keep, live and go as live from {name}r{k} r join {name}g{k} g on g.array_id = r.array_id)")
+    parts.append(f"""{name} as (select q.array_id, count(*) as n_points, count(case when keep then 1 end) as n_inliers, any_value(a) as a, any_value(b) as b, any_value(c) as c,
+   sqrt(avg(case when keep then resid * resid end)) as rms from {name}{rounds} q join {name}f{rounds} f on f.array_id = q.array_id group by 1)""")
+    return ", ".join(parts)
+
+
+def _tilt_sql(a: str, b: str) -> tuple[str, str]:
+    return f"degrees(atan(sqrt({a} * {a} + {b} * {b})))", f"((degrees(atan2(-{a}, -{b})) + 360e0) % 360e0)"
+
+
+_TILT, _FACE = _tilt_sql("a", "b")
+_SURFACE = "surf as (select * from cloud where cls in (1, 6))"
+_FITS = f"""pl as (select array_id, n_points, case when n_points >= {LI.MIN_POINTS} then {_TILT} end as tilt, case when n_points >= {LI.MIN_POINTS} then {_FACE} end as face,
+   case when n_points >= {LI.MIN_POINTS} then n_inliers * 1e0 / n_points end as frac, case when n_points >= {LI.MIN_POINTS} then rms end as rms,
+   coalesce(n_points >= {LI.MIN_POINTS} and n_inliers >= {LI.MIN_POINTS} and rms <= {LI.MAX_RMS_M}e0 and n_inliers * 1e0 / n_points >= {LI.MIN_INLIERS}e0, false) as ok,
+   case when n_points < {LI.MIN_POINTS} then 'only ' || n_points || ' points' else concat_ws('; ', case when n_inliers < {LI.MIN_POINTS} then 'few inliers' end,
+     case when rms > {LI.MAX_RMS_M}e0 then 'rough' end, case when n_inliers * 1e0 / n_points < {LI.MIN_INLIERS}e0 then 'thin' end) end as reason from t)"""
+
+
+@query("g5_roof_planes", f"with {_CLOUD}, {_SURFACE}, {_trim_sql('t', 'surf', 3, 2.5)}, {_FITS} "
+       + f"select array_id, n_points, {m6('tilt')} as tilt_deg, {m6('face')} as azimuth_deg, {m6('frac')} as inlier_frac, {m6('rms')} as rms_m, ok as fit_ok, reason as fit_reason from pl")
 def _(t):
     return _round(LI.roof_planes(lidar_points(t), "array_id"), "tilt_deg", "azimuth_deg", "inlier_frac", "rms_m")
 
 
-@query("g6_panel_standoff", None)
+_RT, _RA = _tilt_sql("r.a", "r.b")
+_AT, _AA = _tilt_sql("t.a", "t.b")
+
+
+@query("g6_panel_standoff", f"""with {_CLOUD}, ins as (select array_id, x, y, z + 0.12e0 as z from cloud where o % 2 = 0), rin as (select array_id, x, y, z from cloud where o % 2 = 1),
+ {_trim_sql('t', 'ins', 3, 2.5)}, {_trim_sql('r', 'rin', 6, 2.0)},
+ ro as (select * from r where n_points >= {LI.MIN_POINTS} and rms <= {LI.MAX_RMS_M}e0),
+ up as (select i.array_id, count(*) as n_interior, quantile_cont(z - (a * x + b * y + c), 0.5) as standoff from ins i join ro on ro.array_id = i.array_id group by 1 having count(*) >= {LI.MIN_POINTS})
+select up.array_id, n_interior, r.n_points as n_ring, {m6('standoff')} as standoff_m, {m6('r.rms')} as ring_rms_m, {m6(_RT)} as roof_tilt_deg, {m6(_AT)} as array_tilt_deg,
+ {m6(f'least(abs({_RA} - {_AA}), 360e0 - abs({_RA} - {_AA}))')} as d_azimuth_deg from up join ro r on r.array_id = up.array_id join t on t.array_id = up.array_id""")
 def _(t):
     p = lidar_points(t)
     inside, ring = p.filter("o % 2 = 0").withColumn("z", F.col("z") + 0.12), p.filter("o % 2 = 1")
-    return _round(LI.standoff(inside, ring, "array_id", min_points=6, max_ring_rms=2.0), "standoff_m", "ring_rms_m", "roof_tilt_deg", "array_tilt_deg", "d_azimuth_deg")
+    return _round(LI.standoff(inside, ring, "array_id"), "standoff_m", "ring_rms_m", "roof_tilt_deg", "array_tilt_deg", "d_azimuth_deg")
 
 
 def canopy_points(t):
@@ -310,7 +355,18 @@ def _(t):
     return _round(LI.canopy_exposure(canopy_points(t), "array_id", cell_m=4.0, per_cell=1, cells=2), "canopy_frac", "canopy_p98_height_m", "nearest_canopy_m")
 
 
-@query("g8_persistent_screen", None)
+_CANOPY = """pt as (select l_partkey as array_id, l_quantity / 5e0 as x, l_orderkey % 97 / 10e0 as y, case when l_linenumber = 7 then 2 else 6 end as cls, case when l_returnflag = 'A' then 3 else 1 end as nret,
+   0.3e0 * (l_quantity / 5e0) - (l_partkey % 5) / 20e0 * (l_orderkey % 97 / 10e0) + (l_discount - 0.05e0) + case when l_tax = 0.08 then 3e0 else 0e0 end + 0e0 - 0.3e0 * (l_quantity / 5e0) + 1.5e0 as above from lineitem),
+ ca as (select *, cast(floor(x / 4e0) as bigint) as gx, cast(floor(y / 4e0) as bigint) as gy from pt where above > 2.5 and cls <> 2 and nret > 1),
+ en as (select array_id from (select array_id, gx, gy from ca group by all having count(*) >= 1) g group by 1 having count(*) >= 2),
+ ex as (select array_id, count(*) as n, min(x + y) as near from ca where array_id in (select array_id from en) group by 1),
+ cf as (select n.array_id, coalesce(ex.n, 0) * 1e0 / n.n as frac, near from (select array_id, count(*) as n from pt group by 1) n left join ex on ex.array_id = n.array_id)"""
+
+
+@query("g8_persistent_screen", f"""with {_CLOUD}, {_SURFACE}, {_trim_sql('t', 'surf', 3, 2.5)}, {_FITS}, {_CANOPY},
+ lt as (select pl.array_id, {LOW_TILT.format(t='tilt')} as low, greatest(coalesce(cf.frac, 0e0), coalesce(greatest(0e0, 1e0 - near / 9e0), 0e0)) as can from pl join cf on cf.array_id = pl.array_id where ok),
+ sc as (select *, round_even((0.7e0 * low + 0.3e0 * can) * 1e9, 0) / 1e9 as score from lt), rk as (select *, row_number() over (order by score desc, array_id) as rk, count(*) over () as n from sc)
+select array_id, {m6('score')} as persistent_soiling_score, {m6('low')} as low_tilt_score, {m6('can')} as canopy_exposure_score, rk as persistent_soiling_rank, rk <= ceil(0.1e0 * n) as persistent_soiling_top_decile, 0.1e0 as inspection_fraction from rk""")
 def _(t):
     s = LI.persistent_screen(LI.roof_planes(lidar_points(t), "array_id"), LI.canopy_exposure(canopy_points(t), "array_id", cell_m=4.0, per_cell=1, cells=2).drop("n_points"), "array_id")
     return _round(s, "persistent_soiling_score", "low_tilt_score", "canopy_exposure_score").select(
