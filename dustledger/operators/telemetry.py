@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from dustledger.functions import solar
-from dustledger.functions.numeric import draw_key, gauss_pair, uniform
+from dustledger.functions.numeric import draw_key, gauss_pair, uniform, uniform_fine
 from dustledger.operators.ranks import exact_quantiles
 from dustledger.operators.series import day_number, densify
 from dustledger.session import spread
@@ -211,6 +211,39 @@ def year_on_year(index: DataFrame, key: str, min_days: int = 730) -> DataFrame:
     return agg.select(key, "n_days", "n_pairs", (100.0 * F.col("_step") / F.col("_base")).alias("rd_pct_per_yr"))
 
 
+def year_on_year_interval(index: DataFrame, key: str, min_days: int = 730, draws: int = 1000, level: float = 0.682, seed: int = 42) -> DataFrame:
+    """(key, n_days, n_pairs, rd_pct_per_yr, rd_lo, rd_hi, block_days): ``year_on_year`` with a resampling interval.
+
+    The 365-day changes of a system are put in day order on a circle. A draw takes blocks of sqrt(n) neighbouring changes, from
+    starts that are functions of (system, draw, block, seed), until it has n of them, and notes their median; blocks keep the
+    dependence between neighbouring days. The interval holds the middle ``level`` of the medians. A system without pairs has
+    a null interval. The changes of one system, bounded by the calendar, are one array; draws are rows.
+    """
+    d = index.filter("pi IS NOT NULL").withColumn("dn", day_number())
+    d = d.withColumn("_prev", F.first("pi").over(W.partitionBy(key).orderBy("dn").rangeBetween(-365, -365)))
+    steps = d.filter("_prev IS NOT NULL").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("dn", (F.col("pi") - F.col("_prev")).alias("v")))).alias("_s"))
+    s = steps.select(key, F.transform("_s", lambda x: x["v"]).alias("_s"), F.size("_s").alias("_n")).withColumn("block_days", F.ceil(F.sqrt(F.col("_n"))).cast("int"))
+    point = year_on_year(index, key, min_days)
+    base = d.withColumn("_first", F.min("dn").over(W.partitionBy(key))).groupBy(key).agg(
+        F.percentile(F.when(F.col("dn") < F.col("_first") + 365, F.col("pi")), F.lit(0.5)).alias("_base"))
+    rows = spread(s.join(point.select(key), key), key).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+
+    def start(k: Column) -> Column:
+        return F.floor(uniform_fine(draw_key(F.col(key), F.col("draw"), k, seed)) * F.col("_n")).cast("int")
+
+    def block(k: Column) -> Column:
+        return F.transform(F.array(start(k)), lambda at: F.transform(F.sequence(F.lit(0), F.col("block_days") - 1), lambda j: F.get("_s", (at + j) % F.col("_n"))))[0]
+
+    blocks = F.sequence(F.lit(0), F.ceil(F.col("_n") / F.col("block_days")).cast("int") - 1)
+    drawn = rows.withColumn("_d", F.sort_array(F.slice(F.flatten(F.transform(blocks, block)), F.lit(1), F.col("_n"))))
+    low, high = F.floor((F.col("_n") - 1) / 2).cast("int"), F.ceil((F.col("_n") - 1) / 2).cast("int")
+    medians = drawn.select(key, "block_days", ((F.get("_d", low) + F.get("_d", high)) / 2.0).alias("_m"))
+    band = medians.groupBy(key).agg(F.first("block_days").alias("block_days"), F.percentile("_m", F.lit((1 - level) / 2)).alias("_lo"),
+                                    F.percentile("_m", F.lit((1 + level) / 2)).alias("_hi"))
+    return point.join(base, key).join(band, key, "left").select(
+        key, "n_days", "n_pairs", "rd_pct_per_yr", (100.0 * F.col("_lo") / F.col("_base")).alias("rd_lo"), (100.0 * F.col("_hi") / F.col("_base")).alias("rd_hi"), "block_days")
+
+
 def residual_scatter(index: DataFrame, key: str, window: int = 15, per_side: int = 30) -> DataFrame:
     """(key, n_days, sigma, lag1, mde): log scatter around a centred rolling median and the smallest step it lets one see."""
     by_day = W.partitionBy(key).orderBy("day")

@@ -12,7 +12,7 @@ from dustledger.operators.ranks import attach_row, exact_quantiles
 from dustledger.plans.q_series import KIMBER, eq_sql
 from dustledger.plans.q_decision import LOW_TILT
 from dustledger.plans.registry import query
-from dustledger.plans.views import ctes, m6, view
+from dustledger.plans.views import ctes, m6, sql_draw_fine, view
 
 
 def _round(df, *cols):
@@ -223,6 +223,22 @@ def _(t):
     return _round(TE.year_on_year(t.sql("indexed"), "system_id"), "rd_pct_per_yr")
 
 
+@query("e22_year_on_year_interval", ctes("indexed", extra=f"""n as (select *, count(*) over (partition by system_id) as n, min(day) over (partition by system_id) as d0 from indexed),
+ p as (select a.*, b.pi as prev from n a left join n b on b.system_id = a.system_id and b.day = a.day - 365 where a.n >= 730),
+ sy as (select system_id, count(*) as n_days, count(prev) as n_pairs, quantile_cont(pi - prev, 0.5) as step, quantile_cont(case when day < d0 + 365 then pi end, 0.5) as base,
+   list(pi - prev order by day) filter (where prev is not null) as s, cast(ceil(sqrt(count(prev))) as bigint) as b from p group by 1),
+ bl as (select system_id, n_pairs, s, b, draw, k, cast(floor({sql_draw_fine("md5(concat_ws('|', system_id::varchar, draw::varchar, k::varchar, '42'))")} * n_pairs) as bigint) as a0
+   from (select *, unnest(range(0, cast(ceil(n_pairs / b) as bigint))) as k from (select *, unnest(range(1, 1001)) as draw from sy where n_pairs > 0) x) y),
+ el as (select system_id, draw, k * b + j as place, n_pairs, s[(a0 + j) % n_pairs + 1] as v from (select *, unnest(range(0, b)) as j from bl) z),
+ md as (select system_id, draw, quantile_cont(v, 0.5) as m from el where place < n_pairs group by 1, 2),
+ bd as (select system_id, quantile_cont(m, 0.159) as lo, quantile_cont(m, 0.841) as hi from md group by 1)""")
+       + f"""select sy.system_id, n_days, n_pairs, {m6('100e0 * step / base')} as rd_pct_per_yr, {m6('100e0 * lo / base')} as rd_lo, {m6('100e0 * hi / base')} as rd_hi, cast(case when n_pairs > 0 then b end as int) as block_days
+from sy left join bd on bd.system_id = sy.system_id""")
+def _(t):
+    """Degradation with the middle 68.2 % of 1,000 circular block draws."""
+    return _round(TE.year_on_year_interval(t.sql("indexed"), "system_id"), "rd_pct_per_yr", "rd_lo", "rd_hi")
+
+
 @query("e24_residual_scatter", ctes("indexed", extra="""m as (select *, quantile_cont(pi, 0.5) over w as med, count(pi) over w as c from indexed window w as (partition by system_id order by day rows between 7 preceding and 7 following)),
  r as (select system_id, day, ln(pi / med) as r from m where c >= 5 and pi > 0), l as (select *, lag(r) over (partition by system_id order by day) as p from r),
  a as (select system_id, count(*) as n_days, stddev_samp(r) as sigma, corr(case when p is not null then r end, p) as lag1 from l group by 1),
